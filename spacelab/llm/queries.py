@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, simhash
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE = {
