@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontam, simhash
+from . import decontam, packing, quality, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op3_sharding": sharding.op3_sharding,
+    "op5_quality": quality.op5_quality,
+    "op6_packing": packing.op6_packing,
+    "op7_top_k": topk.op7_top_k,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE = {
     "op1_decontamination": decontam.ORACLE,
+    "op7_top_k": topk.ORACLE,
 }
