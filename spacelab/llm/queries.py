@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, sharding, simhash, topk, toxicity
+from . import decontam, html_text, licenses, lm_score, packing, quality, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_sharding": sharding.op3_sharding,
+    "op4_html": html_text.op4_html,
     "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
     "op7_top_k": topk.op7_top_k,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE = {
     "op1_decontamination": decontam.ORACLE,
+    "op4_html": html_text.ORACLE,
     "op7_top_k": topk.ORACLE,
 }

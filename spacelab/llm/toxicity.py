@@ -1,9 +1,9 @@
 """Toxicity by a character n-gram linear classifier on naive Bayes log-count ratios.
 
-Features are the presence of n-grams of 3 to 6 UTF-8 code units of the lower-cased text between two spaces.  Each has
-the log-ratio of its smoothed counts in toxic and other texts; a logistic model is fitted to presence times ratio and,
-as usual for this model, averaged with the plain ratios' scale through its ridge.  An n-gram of up to eight bytes is a
-number, so grams are compared exactly: a small hash table proposes a feature, equality of the number confirms it.
+Features are n-grams of 3 to 6 UTF-8 code units of the lower-cased text between two spaces that occur at least once,
+twice, three or five times.  Each has the log-ratio of its smoothed document counts in toxic and other texts, and a
+logistic model is fitted to indicator times ratio.  An n-gram of up to seven bytes is a number, so grams are compared
+exactly: a small hash table proposes a feature, equality of the number confirms it.
 
 Training uses at most ``TRAIN_BOUND`` labelled rows outside the held-out fold (ranked by a hash of their id).
 Executors count the grams, Spark adds the counts up and keeps the ``FEATURES`` strongest; the driver gets these and
@@ -33,14 +33,16 @@ FEATURES = 4000
 MIN_DOCS = 4
 SMOOTH = 1.0
 THRESHOLD = 0.5
+TIMES = (1, 2, 3, 5)  # a feature: the gram occurs so often at least
 _SLOTS = 16
+_GRAM = np.uint64((1 << 60) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 19
 
 
 def grams(text: bytes | None) -> Iterator[np.ndarray]:
     """All n-grams of a text, with repeats, as numbers whose high byte holds the order; piece by piece."""
-    padded = b" " + b" ".join((text or b"").lower().split()) + b" "
+    padded = b" " + b" ".join((text or b"").decode().lower().encode().split()) + b" "
     if len(padded) <= 2:
         return
     longest = max(ORDERS)
@@ -60,45 +62,47 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    grams: np.ndarray  # sorted feature numbers
+    features: np.ndarray  # sorted; a gram's number with the place in TIMES above it
     weights: np.ndarray
     constant: float
     prior: float
 
-    def _tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which slots any feature has."""
-        if not hasattr(self, "_used"):
-            self._used = np.zeros(1 << _SLOTS, bool)
-            self._used[_slot(self.grams)] = True
-        return self._used
+    def __post_init__(self):
+        self.base, self._of = np.unique(self.features & _GRAM, return_inverse=True)
+        self._least = np.array(TIMES)[(self.features >> np.uint64(60)).astype(int)]
+        self._used = np.zeros(1 << _SLOTS, bool)
+        self._used[_slot(self.base)] = True
 
     def present(self, text: bytes | None) -> np.ndarray:
-        """Positions of the features that occur in a text."""
-        used, found = self._tables(), []
+        """Positions of the features that hold for a text."""
+        counts = np.zeros(len(self.base) + 1, np.int64)
         for g in grams(text):
-            g = g[used[_slot(g)]]
-            at = np.searchsorted(self.grams, g)
-            at[at == len(self.grams)] = 0
-            found.append(np.unique(at[self.grams[at] == g]))
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            g = g[self._used[_slot(g)]]
+            at = np.searchsorted(self.base, g)
+            g, at = g[at < len(self.base)], at[at < len(self.base)]
+            counts += np.bincount(at[self.base[at] == g], minlength=len(counts))
+        return np.flatnonzero(counts[self._of] >= self._least)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        if not len(self.grams):
+        if not len(self.features):
             return np.full(len(texts), self.prior)
         x = np.array([self.weights[self.present(t)].sum() + self.constant for t in texts], np.float64)
         return 0.5 * (1 + np.tanh(0.5 * x))
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_used"}
+
+def levels(text: bytes) -> np.ndarray:
+    """All features that hold for a text."""
+    g, n = np.unique(np.concatenate(list(grams(text))), return_counts=True)
+    return np.concatenate([g[n >= least] | np.uint64(k << 60) for k, least in enumerate(TIMES)])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) rows -> (gram, documents of label 0 and 1 that have it), added up within each portion."""
+    """(label, text) rows -> (feature, documents of label 0 and 1 that have it), added up within each portion."""
     for batch in batches:
         for part in portions(batch, "text", 1 << 20):
             for label in (0, 1):
                 texts = [t for t, y in zip(text_bytes(part.column("text")), part.column("label").to_pylist()) if (y > 0) == label]
-                each = [np.unique(np.concatenate([np.unique(g) for g in grams(t)])) for t in texts if t and t.strip()]
+                each = [levels(t) for t in texts if t and t.strip()]
                 if each:
                     g, n = np.unique(np.concatenate(each), return_counts=True)
                     zero = np.zeros(len(g), np.int64)
@@ -107,10 +111,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         names=["gram", "n0", "n1"])
 
 
-def fit(feature_grams: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, ridge: float = 0.02, steps: int = 400) -> Model:
-    """Logistic model on presence times ratio; rows: the positions of each text's features."""
+def fit(features: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, ridge: float = 0.02, steps: int = 400) -> Model:
+    """Logistic model on indicator times ratio; rows: the positions of each text's features."""
     prior = float(labels.mean()) if len(labels) else 0.0
-    if not len(feature_grams) or prior in (0.0, 1.0):
+    if not len(features) or prior in (0.0, 1.0):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, prior)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.concatenate(rows) if len(doc) else np.zeros(0, np.int64)
@@ -119,7 +123,7 @@ def fit(feature_grams: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], la
     value = value / norm
     weight = np.where(labels == 1, 0.5 / prior, 0.5 / (1 - prior))  # both classes weigh alike; the constant undoes it
     weight = weight / len(labels)
-    w, c = np.zeros(len(feature_grams)), 0.0
+    w, c = np.zeros(len(features)), 0.0
     v, vc = np.zeros_like(w), 0.0
     for n in range(steps):  # gradient steps with momentum
         p = 0.5 * (1 + np.tanh(0.5 * (np.bincount(doc, value * w[feature], minlength=len(rows)) + c)))
@@ -127,8 +131,8 @@ def fit(feature_grams: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], la
         v = 0.9 * v + np.bincount(feature, value * d[doc], minlength=len(w)) - ridge * 1e-2 * w
         vc = 0.9 * vc + d.sum()
         w, c = w + 2.0 * v, c + 2.0 * vc
-    order = np.argsort(feature_grams)
-    return Model(feature_grams[order], (w * ratio / norm)[order], c, prior)
+    order = np.argsort(features)
+    return Model(features[order], (w * ratio / norm)[order], c, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = TRAIN_BOUND) -> Model:
@@ -142,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int
     )
     rate1, rate0 = (F.col("n1") + SMOOTH) / (n1 + 2 * SMOOTH), (F.col("n0") + SMOOTH) / (n0 + 2 * SMOOTH)
     ratio = F.log(rate1 / rate0)
-    # how much the presence says about the label, in all rows: the difference of the classes' rates times the ratio
+    # how much a feature says about the label: the difference of the classes' rates times their log-ratio
     chosen = counted.select("gram", ratio.alias("ratio"), ((rate1 - rate0) * ratio).alias("says")).orderBy(F.desc("says"), "gram").limit(FEATURES).collect()
     table = np.array([r["gram"] for r in chosen], np.int64).view(np.uint64)
     ratios = np.array([r["ratio"] for r in chosen], np.float64)
