@@ -8,8 +8,8 @@ where no sequence has room, the piece is cut to fill the cheapest one, so a grou
 Groups are runs of about ``GROUP_TOKENS`` tokens within a partition of the input.  Packing therefore needs no shuffle,
 a task holds one group, and a lost task is recomputed alone; only the last group of a partition can be small.
 
-Tokenizing: a text is cut into words by the tokenizer's own pattern and each distinct word is encoded once per worker
-(a bounded cache).  This holds for texts of plain Latin code points, where the tokenizer's normalisation is lower-casing
+Tokenizing: a text is cut into words by the tokenizer's own pattern, and each distinct word is encoded once per worker
+(a bounded cache), many in one call.  This holds for texts of plain Latin code points, where the tokenizer's normalisation is lower-casing
 alone; other texts, and those that contain a special token's name, go through the tokenizer as a whole.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives an empty
@@ -36,7 +36,7 @@ LENGTH = 2048
 END_ID = 1
 LINEAR = 4096
 GROUP_TOKENS = 1 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 
 def default_tokenizer() -> str:
@@ -61,8 +61,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         letters, digits = _letters("L"), _letters("N")
-        # fixed values: the pre-tokenizer's pattern
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\s{letters}{digits}]+").findall
+        # fixed values: the pre-tokenizer's pattern; letters may stand first, since no other part starts with one
+        self.words = re.compile(f"[{letters}]+|[{digits}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letters}{digits}]+").findall
         names = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.whole = re.compile(f"[^\t\n\r\x20-\x7e\xa0-˿]{'|' + names if names else ''}").search
         self.cache: dict[str, bytes] = {}
@@ -76,29 +76,53 @@ class Encoder:
 
     def _alike(self) -> bool:
         """Whether this tokenizer is of the kind that the short way is made for."""
-        sample = "It's AÄß 12,\n  don't\t½ x-Y_z!? İ (we'll) ... end"
-        return not self.whole(sample) and self._by_words(sample) == self._full(sample)
+        sample = "It's AÄß 12,\n  don't\t½ x-Y_z!? İ (we'll) 's ... end"
+        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        return not self.whole(sample) and self._by_words([sample]) == [self._full(sample)]
 
     def _full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _by_words(self, text: str) -> bytes:
-        cache, out = self.cache, []
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        for word in self.words(text.lower()):
-            ids = cache.get(word)
-            if ids is None:
-                ids = self._full(word)
-                if len(word) <= 64:
-                    cache[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return self._by_words(text) if self.plain and not self.whole(text) else self._full(text)
+    def _learn(self, words: list[str]) -> bool:
+        """Encode new words in one call; the token that ends a word says so in its name."""
+        for a in range(0, len(words), 2000):
+            some = words[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                return False
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, (4 * cuts).tolist()):
+                self.cache[word] = raw[start:end]
+                start = end
+        return True
+
+    def _by_words(self, texts: list[str]) -> list[bytes | None]:
+        if len(self.cache) > CACHED_WORDS:
+            self.cache.clear()
+        known, held, new = self.cache.get, [], set()
+        for text in texts:
+            words = self.words(text.lower())
+            ids = list(map(known, words))
+            gaps = [(i, words[i]) for i, x in enumerate(ids) if x is None]
+            new.update(word for _, word in gaps)
+            held.append((ids, gaps))
+        if not self._learn(list(new)):
+            return [None] * len(texts)
+        for ids, gaps in held:
+            for i, word in gaps:
+                ids[i] = self.cache[word]
+        return [b"".join(ids) for ids, _ in held]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, little-endian."""
+        short = [i for i, t in enumerate(texts) if t and self.plain and not self.whole(t)]
+        found = dict(zip(short, self._by_words([texts[i] for i in short])))
+        out = []
+        for i, t in enumerate(texts):
+            ids = found.get(i)
+            out.append(ids if ids is not None else self._full(t) if t else b"")
+        return out
 
 
 def cost(tokens, linear: int = LINEAR):
@@ -169,9 +193,9 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         pa_kind = None
         for batch in batches:
             pa_kind = batch.schema.field("id").type
-            for part in portions(batch, "text"):
-                for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    ids = encode(text) + end
+            for part in portions(batch, "text", 1 << 20):
+                for key, ids in zip(part.column("id").to_pylist(), encode(part.column("text").to_pylist())):
+                    ids += end
                     held.append((key, ids))
                     tokens += len(ids) // 4
                     if tokens >= 2 * group_tokens:  # a small remainder joins the last whole group
