@@ -84,17 +84,19 @@ class _Lines(HTMLParser):
         self.element = 0
         self.noise = self.links = self.articles = 0
         self.parts: list[str] = []
+        self.hidden: list[str] = []  # text inside noise, such as a script within a paragraph
         self.tags = self.linked = 0
 
     def parse_html_declaration(self, i):
         return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.linked, self.element, self.noise > 0))
-            self.tags = self.linked = 0
-        self.parts.clear()
+        for parts, noise in ((self.parts, False), (self.hidden, True)):
+            text = " ".join("".join(parts).split())
+            if text:
+                self.lines.append((text, self.tags, self.linked, self.element, noise))
+                self.tags = self.linked = 0
+            parts.clear()
 
     def _pop(self, at: int) -> None:
         while len(self.open) > at:
@@ -151,7 +153,7 @@ class _Lines(HTMLParser):
                 return  # an inline or paragraph end without a start in this container
 
     def handle_data(self, data):
-        self.parts.append(data)
+        (self.hidden if self.noise else self.parts).append(data)
         if self.links:
             self.linked += len(data)
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import id_type, keyed_text
 
-TRIGGER = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|spdx|\bcc[ -](?:by|0)|\bcc0|free software|as is\b", re.I)
+TRIGGER = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|spdx|\bcc[ -](?:by|0)|\bcc0|free software|as is\b|\b(?:released|distributed|available|provided|published) under\b", re.I)
 
 # Names of licences as they are written, and sentences of licence texts.
 NAMES = (
@@ -54,7 +54,7 @@ NAMES = (
 _GRANT = (
     r"(?:(?:this|the) (?:work|file|software|program|code|document|text|project|library|material|content|article|page) is )?"
     r"(?:dual[ -])?(?:licensed|released|distributed|available|provided|published|made available) under (?:the )?(?:terms of (?:the )?)?(?:{})"
-    r"(?P<later>,? or (?:\(at your option\) )?(?:any )?later(?: version)?)?"
+    r"(?: \(the license\))?(?P<later>,? or (?:\(at your option\) )?(?:any )?later(?: version)?)?"
 )
 SENTENCES = (
     *((f"grant:{name}", _GRANT.format(text)) for name, text in NAMES),
