@@ -188,12 +188,12 @@ def _affine(name: str, title: str, multiplier: int, bits: int) -> None:
         return ((m * state[0] + c) & mask,)
 
     def column(o: ColumnOps, seed: int, n: Column) -> Column:
-        """n + 1 steps, one byte of the count at a time: step counts with one byte set are maps from a table of 256."""
+        """n + 1 steps, four bits of the count at a time: the steps that one such digit stands for are one of 16 maps."""
         count, x = o.let(n + 1), o.const(seed & mask)
-        for byte in range(6):  # counts below 2^48
-            maps = [affine_power(multiplier, k << (8 * byte), bits) for k in range(256)]
-            at = o.let(F.shiftrightunsigned(count, 8 * byte).bitwiseAND(255).cast("int") + 1)
-            m, c = (F.element_at(F.array(*[F.lit(signed(p[i])).cast("long") for p in maps]), at) for i in (0, 1))
+        for digit in range(12):  # counts below 2^48
+            maps = [affine_power(multiplier, k << (4 * digit), bits) for k in range(16)]
+            at = o.let(F.shiftrightunsigned(count, 4 * digit).bitwiseAND(15).cast("int") + 1)
+            m, c = (F.element_at(F.expr(f"array({', '.join(f'{signed(p[i])}L' for p in maps)})"), at) for i in (0, 1))
             x = o.let(m * x + c)
         return F.shiftleft(x, left) if left else x
 

@@ -1,6 +1,15 @@
+import os
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).parents[1])
+if ROOT not in sys.path:
+    sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("PYTHONPATH"))))
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
