@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = written(fingerprints(docs, id_col, text_col))
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     member = written(classes(fps).join(least, "fp"))
-    named = member.join(member.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+    least_of = written(member.groupBy("root").agg(F.min("least").alias("component")))
+    named = member.join(least_of, "root").select("fp", "component")
     return fps.join(named, "fp", "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component", "id").alias("component_id"))
@@ -206,10 +207,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     whole = written(marked.mapInArrow(run, schema))
     rows = whole.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(uid).alias("c")).alias("rank"))
-    member = written(rows.join(classes(rows), "fp"))
-    best = member.groupBy("root").agg(F.min("rank").alias("best"))
-    gone = member.join(best, "root").where("rank.c <> best.c").select(F.col("rank.c").alias(uid))
-    return whole.join(gone, uid, "left_anti").select(*docs.columns)
+    member = written(rows.join(written(classes(rows)), "fp"))
+    best = member.groupBy("root").agg(F.min("rank").alias("best")).select(F.col("best.c").alias(uid))
+    gone = member.select(F.col("rank.c").alias(uid)).join(best, uid, "left_anti")
+    return whole.join(gone.hint("merge"), uid, "left_anti").select(*docs.columns)  # gone grows with the input: no side to broadcast
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
