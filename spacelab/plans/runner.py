@@ -176,21 +176,18 @@ def _birthday(kept: DataFrame, codec: CellCodec, run: Run, result: Result) -> No
 def header(run: Run) -> list[str]:
     """What a test is about to do."""
     g = run.grid
-    parts = []
-    if run.b:
-        parts.append(f"tradeoff on {run.b} top bits over {1 << run.b} passes")
-    if g.d:
-        parts.append(f"decimating {g.d} bits per dimension (~2{superscript(g.d * g.t)} candidate samples per kept sample)")
-    read = f"lowest {64 - g.s} bits" if g.s else "full 64-bit output"
-    kind = "birthday-spacings" if run.birthday else "collision"
-    effective = f" (effective cells after decimation: 2{superscript(g.width)})" if g.d else ""
-    return [
+    kind = "Birthday-spacings test" if run.birthday else "Collision test"
+    lines = [
         f"Generator: {generator(run.generator).title}",
         f"Seed: {run.seed:#018x}",
-        f"Running a {g.t}-dimensional {kind} test on the upper {g.u} bits of the {read} ({run.points} points, {g.storage}-bit cells, "
-        f"{run.points >> run.b} memory locations{''.join(', ' + p for p in parts)})",
-        f"u: {g.u} t: {g.t} cells: {g.cells} expected collisions: {run.mean!r}{effective}",
+        f"{kind} of {run.points} points in {g.t} dimension{'s' * (g.t > 1)}: {g.u} bits of each draw" + (f" below its top {g.s}" if g.s else "")
+        + f", 2{superscript(g.width)} cells of {g.storage} bits, expected count {run.mean!r}",
     ]
+    if run.b:
+        lines.append(f"Counted in {1 << run.b} {'spacing classes' if run.birthday else 'value intervals'} of about {run.points >> run.b}")
+    if g.d:
+        lines.append(f"Decimated by {g.d} bits a dimension: one of about 2{superscript(g.d * g.t)} samples is kept, {run.samples} are scanned")
+    return lines
 
 
 def report(result: Result) -> list[str]:
@@ -209,7 +206,7 @@ def report(result: Result) -> list[str]:
             text = f"{r.collisions}\tp={show(r.collisions, r.mean)}"
             lines.append(text + (f"\tcombined: {r.cum_collisions}\tp={show(r.cum_collisions, r.cum_mean)}" if run.reps > 1 else ""))
     if run.only is not None:
-        lines.append(f"Single pass {run.only} of {1 << run.b}: recombine the runs as p_value(sum of counts, sum of lambdas)")
+        lines.append(f"Unit {run.only} of {1 << run.b} alone; add up the counts and means of all units for a p-value")
     lines += [f"Warning: {a}" for a in result.alarms]
     lines.append(f"Test completed in {result.seconds:.2f} seconds")
     return lines

@@ -35,17 +35,17 @@ class Grid:
 
     def __post_init__(self):
         if self.t < 1:
-            raise SpecError("t must be at least 1")
+            raise SpecError("a sample needs one draw or more: t >= 1")
         if self.u < 1:
-            raise SpecError("u must be at least 1")
+            raise SpecError("a draw gives one bit or more: u >= 1")
         if not 0 <= self.s < 64:
-            raise SpecError(f"shift ({self.s}) must be less than 64")
+            raise SpecError(f"a shift lies between 0 and 63, not {self.s}")
         if self.u > 64 - self.s:
-            raise SpecError(f"u ({self.u}) can be at most 64 - shift ({64 - self.s})")
+            raise SpecError(f"u = {self.u} bits do not fit below a shift of {self.s}: {64 - self.s} at most")
         if not 0 <= self.d < self.u:
-            raise SpecError(f"decimation bits ({self.d}) must be less than u ({self.u})")
+            raise SpecError(f"d = {self.d} leaves no bits of u = {self.u}")
         if self.width > 128:
-            raise SpecError("the number of cells must be at most 2^128")
+            raise SpecError("cell indices have 128 bits at most")
 
     @property
     def width(self) -> int:
@@ -65,7 +65,7 @@ class Grid:
         """Samples to scan so that ``points`` are kept on average."""
         found = points << (self.t * self.d)
         if found >> 63:
-            raise SpecError("points * 2^(t d) is out of range")
+            raise SpecError("too many samples to scan: points * 2^(t d) reaches 2^63")
         return found
 
 
@@ -88,21 +88,21 @@ class Run:
     def __post_init__(self):
         g = self.grid
         if g.d and self.m is None:
-            raise SpecError("decimation requires an explicit m")
+            raise SpecError("with decimation, m has to be given")
         if self.b < 0 or self.b > g.width:
-            raise SpecError(f"tradeoff bits ({self.b}) must be at most t (u - d) ({g.width})")
+            raise SpecError(f"b = {self.b} is not within the {g.width} bits of a cell index")
         if self.b >= 64:
-            raise SpecError(f"tradeoff bits ({self.b}) must be less than 64")
+            raise SpecError(f"b = {self.b} asks for 2^64 passes or more")
         if self.checkpoints and self.birthday:
-            raise SpecError("checkpoints are incompatible with birthday spacings")
+            raise SpecError("birthday-spacings tests have no checkpoints")
         if self.checkpoints and (self.b or not g.d):
-            raise SpecError("checkpoints require decimation and no tradeoff bits")
+            raise SpecError("checkpoints need decimation (d) and exclude passes (b)")
         if self.only is not None and not (self.b and 0 <= self.only < 1 << self.b):
-            raise SpecError("a single pass requires tradeoff bits b and a number below 2^b")
+            raise SpecError("a single unit needs b and a number below 2^b")
         if self.reps < 1:
-            raise SpecError("reps must be at least 1")
+            raise SpecError("one repetition or more")
         if self.m is not None and self.m < 1:
-            raise SpecError("m must be at least 1")
+            raise SpecError("m is one point or more")
 
     @property
     def points(self) -> int:
@@ -125,11 +125,11 @@ class Run:
         """The bounds that the command line enforces; the library also runs small tests."""
         if self.birthday:
             if self.points > most_birthday_points(self.grid, self.reps):
-                raise SpecError("the given combination of memory, repetitions and cells is out of range (omit m to use the maximum)")
+                raise SpecError(f"{self.points} points are too many for these cells and repetitions: {most_birthday_points(self.grid, self.reps)} at most, which is the default")
         elif self.points > self.grid.cells:
-            raise SpecError(f"more points ({self.points}) than {'effective ' if self.grid.d else ''}cells ({self.grid.cells})")
+            raise SpecError(f"{self.points} points in only {self.grid.cells} cells")
         if self.points < 10_000:
-            raise SpecError(f"the number of points ({self.points}) is smaller than 10000")
+            raise SpecError(f"{self.points} points are too few: 10000 at least")
 
     def stages(self) -> list[int]:
         """Samples scanned at the end of each checkpoint: floor(sqrt(2^(t d))) equal stages."""
