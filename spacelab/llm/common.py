@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +80,20 @@ def portions(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(start)
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+PIECE = 1 << 20
+
+
+def pieces(text: bytes, size: int | None = None) -> Iterator[bytes]:
+    """Cut a text at ASCII white space into runs of about ``size`` bytes; no word is cut, so a long text needs no long list."""
+    size, at = size or PIECE, 0
+    while at < len(text):
+        found = _BLANK.search(text, at + size) if at + size < len(text) else None
+        cut = found.end() if found else len(text)
+        yield text[at:cut] if at or cut < len(text) else text
+        at = cut
+
+
 def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
     """The rows that ``wanted`` chooses, with the columns and schema of ``docs`` unchanged."""
     at = docs.columns.index(text_col)

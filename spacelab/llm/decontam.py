@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_type, keep_rows, keyed_text, portions, text_bytes, written
+from .common import id_type, keep_rows, keyed_text, pieces, portions, text_bytes, written
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -39,6 +39,12 @@ def split_words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def word_runs(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text in runs of bounded size."""
+    for piece in pieces(text.translate(_FOLD)) if text else ():
+        yield piece.split()
+
+
 def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     """All windows of ``size`` words; a shorter, non-empty item is one window."""
     if len(words) <= size:
@@ -66,6 +72,20 @@ class WuManber:
                 buckets.setdefault(pattern[-block:], []).append((list(pattern), owners[pattern]))
             self.plans.append((length, block, furthest, shift, buckets))
 
+    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """(words of the text, spans, items), run by run; a run starts with the words that a pattern may still need."""
+        longest = max((plan[0] for plan in self.plans), default=1)
+        count, spans, found, tail = 0, [], set(), []
+        for run in word_runs(text):
+            words = tail + run
+            here, items = self.search(words)
+            first = count - len(tail)
+            spans += [(a + first, b + first) for a, b in here]
+            found |= items
+            count += len(run)
+            tail = words[-(longest - 1) :] if longest > 1 else []
+        return count, merged(spans), found
+
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged (start, end) word spans that occurrences cover, and the ids of the items found."""
         spans: list[tuple[int, int]] = []
@@ -159,19 +179,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def one_pass(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = _searcher(block, window).search
+            scan = _searcher(block, window).scan
             for batch in batches:
                 for part in portions(batch, "text"):
                     before = zip(part.column("items").to_pylist(), part.column("spans").to_pylist()) if "items" in part.schema.names else None
                     counts, all_items, all_spans = [], [], []
                     for text in text_bytes(part.column("text")):
-                        words = split_words(text)
-                        spans, items = find(words)
+                        n_words, spans, items = scan(text)
                         if before is not None:
                             old_items, old_spans = next(before)
                             items = items | set(old_items)
                             spans = merged([*spans, *((s["start"], s["end"]) for s in old_spans)])
-                        counts.append(len(words))
+                        counts.append(n_words)
                         all_items.append(sorted(items))
                         all_spans.append([{"start": a, "end": b} for a, b in spans])
                     yield pa.RecordBatch.from_arrays(
@@ -203,8 +222,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         block = _Block(spark, rows)
 
         def clean(part: pa.RecordBatch, block=block) -> list[bool]:
-            find = _searcher(block, window).search
-            return [not find(split_words(text))[0] for text in text_bytes(part.column("text"))]
+            scan = _searcher(block, window).scan
+            return [not scan(text)[1] for text in text_bytes(part.column("text"))]
 
         docs = keep_rows(docs, text_col, clean)
         if n % 3 == 2:

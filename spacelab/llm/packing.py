@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_type, keyed_text, portions
+from .common import id_type, keyed_text, pieces, portions
 
 LENGTH = 2048
 END_ID = 1
 LINEAR = 4096
 GROUP_TOKENS = 1 << 20
 CACHED_WORDS = 800_000
+LONG_TEXT = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -114,8 +115,7 @@ class Encoder:
                 ids[i] = self.cache[word]
         return [b"".join(ids) for ids, _ in held]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, little-endian."""
+    def _some(self, texts: list[str | None]) -> list[bytes]:
         short = [i for i, t in enumerate(texts) if t and self.plain and not self.whole(t)]
         found = dict(zip(short, self._by_words([texts[i] for i in short])))
         out = []
@@ -124,6 +124,16 @@ class Encoder:
             out.append(ids if ids is not None else self._full(t) if t else b"")
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, little-endian.  White space separates tokens, so a long text is encoded piece by piece."""
+        if not self.plain or not any(t and len(t) > LONG_TEXT for t in texts):
+            return self._some(texts)
+        out = []
+        for t in texts:
+            parts = pieces(t.encode()) if t and len(t) > LONG_TEXT else ()
+            out.append(b"".join(self._some([p.decode()])[0] for p in parts) if parts else self._some([t])[0])
+        return out
+
 
 def cost(tokens, linear: int = LINEAR):
     return linear * tokens + tokens * tokens

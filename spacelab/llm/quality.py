@@ -7,8 +7,9 @@ the document's evidence, which a logistic curve turns into a score.
 Training: only documents carry labels.  Lines of good documents are good; lines of bad documents start as bad and are
 relabelled once by a line-wise logistic model, so that ordinary lines of a bad document count as good.  The chain is
 then fitted to these lines and the curve to the documents.  At most ``TRAIN_BOUND`` labelled rows outside the held-out
-fold are used (ranked by a hash of their id); their features are computed on the executors, and only features come to
-the driver.  Scoring reads every document whole, once, without a shuffle.
+fold are used (ranked by a hash of their id; texts above ``TRAIN_BYTES`` are not learnt from); their features are
+computed on the executors, and only features come to the driver.  Scoring reads every document whole, once, without a
+shuffle, and holds the features of one chunk of lines at a time.
 
 Defined results: a null or empty text is one empty line and is scored like any other; with no labelled rows, or only
 one label, every score is the share of label 1 (0.5 without rows); repeated rows score alike; an empty table gives an
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 from .common import held_out, id_type, keep_rows, keyed_text, portions, text_bytes, training_rows
 
 TRAIN_BOUND = 4000
+TRAIN_BYTES = 1 << 20  # longer texts are no training rows
 THRESHOLD = 0.3
 CHUNK = 1 << 20
 
@@ -99,13 +101,11 @@ def _own_features(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([np.asarray(p, np.float64) for p in parts], axis=1), length, whole
 
 
-def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line with its neighbours', line lengths, lines of each text)."""
-    texts = [t or b"" for t in texts]
-    per_text = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+def _line_chunks(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The texts' lines in whole, about CHUNK bytes at once; every text ends in a line feed."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    found, at = [], 0
-    while at < len(joined):  # whole lines, about CHUNK bytes at once
+    at = 0
+    while at < len(joined):
         cut = at + CHUNK
         if cut < len(joined):
             feeds = np.flatnonzero(joined[at:cut] == 10)
@@ -115,32 +115,62 @@ def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
                 while cut < len(joined) and not (joined[cut : cut + CHUNK] == 10).any():
                     cut += CHUNK
                 cut += int(np.flatnonzero(joined[cut : cut + CHUNK] == 10)[0]) + 1 if cut < len(joined) else 0
-        found.append(_own_features(joined[at:cut]))
+        yield joined[at:cut]
         at = cut
-    own, length, whole = (np.concatenate(x) for x in zip(*found))
-    doc = np.repeat(np.arange(len(texts)), per_text)
+
+
+def _twice(whole: np.ndarray, length: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """1 for every line that is not empty and stands in its text more than once."""
+    doc = np.repeat(np.arange(len(per_text)), per_text)
     order = np.lexsort((whole, doc))
     same = (whole[order][1:] == whole[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     twice = np.zeros(len(whole))
     twice[order[1:][same]] = 1
     twice[order[:-1][same]] = 1
-    own = np.c_[own, twice * (length > 0)]
-    starts = np.cumsum(per_text) - per_text
+    return twice * (length > 0)
+
+
+def _prepared(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    texts = [t or b"" for t in texts]
+    return texts, np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+
+
+def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line with its neighbours', line lengths, lines of each text)."""
+    texts, per_text = _prepared(texts)
+    own, length, whole = (np.concatenate(x) for x in zip(*map(_own_features, _line_chunks(texts))))
+    own = np.c_[own, _twice(whole, length, per_text)]
+    first = np.cumsum(per_text) - per_text
+    last = first + per_text - 1
     width = own.shape[1]
     full = np.zeros((len(own), 3 * width + 3))
     full[:, :width] = own
     full[1:, width : 2 * width] = own[:-1]
     full[:-1, 2 * width : 3 * width] = own[1:]
-    full[starts, width : 2 * width] = 0
-    full[starts + per_text - 1, 2 * width : 3 * width] = 0
-    full[starts, 3 * width] = 1
-    full[starts + per_text - 1, 3 * width + 1] = 1
-    full[:, 3 * width + 2] = 1
+    full[first, width : 2 * width] = 0
+    full[last, 2 * width : 3 * width] = 0
+    full[first, 3 * width] = full[last, 3 * width + 1] = full[:, 3 * width + 2] = 1
     return full, length, per_text
 
 
-def _softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, x)
+def line_scores(texts: list[bytes | None], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` times ``weights``, without holding the features of more than a chunk of lines."""
+    texts, per_text = _prepared(texts)
+    width = (len(weights) - 3) // 3
+    table = weights[: 3 * width].reshape(3, width).T  # own, as neighbour after, as neighbour before
+    parts = []
+    for chunk in _line_chunks(texts):
+        own, length, whole = _own_features(chunk)
+        parts.append((own @ table[:-1], length, whole))
+    shares, length, whole = (np.concatenate(x) for x in zip(*parts))
+    shares += _twice(whole, length, per_text)[:, None] * table[-1]
+    first = np.cumsum(per_text) - per_text
+    last = first + per_text - 1
+    before, after = np.r_[0.0, shares[:-1, 1]], np.r_[shares[1:, 2], 0.0]
+    before[first] = weights[3 * width]
+    after[last] = weights[3 * width + 1]
+    total = shares[:, 0] + before + after + weights[3 * width + 2]
+    return total, length, per_text
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -178,8 +208,8 @@ class Model:
 
     def marginals(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(chance that the line is good, length, lines of each text)."""
-        features, length, per_text = line_features(texts)
-        ahead, back = forward_backward(features @ self.weights, per_text, self.move)
+        unary, length, per_text = line_scores(texts, self.weights)
+        ahead, back = forward_backward(unary, per_text, self.move)
         return _sigmoid(ahead + back), length, per_text
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
@@ -264,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label"), pa.array(per_text), part.column("rank"), pa.array(data, pa.binary())], names=["label", "lines", "rank", "data"])
 
-    rows = training_rows(docs, labels, target, bound).withColumn("rank", F.xxhash64("id")).select("label", "text", "rank").mapInArrow(run, schema)
+    short = training_rows(docs, labels, target, bound).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    rows = short.withColumn("rank", F.xxhash64("id")).select("label", "text", "rank").mapInArrow(run, schema)
     got = sorted(rows.collect(), key=lambda r: (r["rank"], r["label"], r["data"]))  # bound rows of features at most
     if not got:
         return fit(np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))

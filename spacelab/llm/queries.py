@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE = {
     "op1_decontamination": decontam.ORACLE,
+    "op2_lm_score": lm_score.ORACLE,
     "op4_html": html_text.ORACLE,
     "op7_top_k": topk.ORACLE,
+    "op10_licenses": licenses.ORACLE,
 }

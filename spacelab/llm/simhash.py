@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, id_type, keyed_text, portions, shared_dir, text_bytes, written
+from .common import fresh, id_type, keyed_text, pieces, text_bytes, written
 from .components import connected_components
 
 SEED = 42
@@ -42,23 +42,32 @@ RANGES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of a UTF-8 text."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
+    ones, count, tail = np.zeros(64, np.int64), 0, []
+    for piece in pieces(text.lower()) if text else ():
+        words = tail + piece.split()
+        if len(words) >= width:
+            ones += _bit_counts(words, width)
+            count += len(words) - width + 1
+        tail = words[-(width - 1) :] if width > 1 else []
+    if not count and tail:  # fewer words than a shingle: the whole sequence
+        ones, count = _bit_counts(tail, len(tail)), 1
+    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
+
+
+def _bit_counts(words: list[bytes], width: int) -> np.ndarray:
+    """How many shingles of ``width`` words have each bit of their hash set."""
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    width = min(width, len(words))
     count = len(words) - width + 1
-    starts, ends = starts[:count], ends[width - 1 :]
+    starts, ends = (ends - lengths)[:count], ends[width - 1 :]
     ones = np.zeros(64, np.int64)
     hashed = xxhash.xxh64_intdigest
     for at in range(0, count, 1 << 15):
         cut = slice(at, at + (1 << 15))
         hashes = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[cut].tolist(), ends[cut].tolist())], "<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
+    return ones
 
 
 def _column(batch: pa.RecordBatch) -> pa.Array:

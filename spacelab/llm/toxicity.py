@@ -5,9 +5,9 @@ twice, three or five times.  Each has the log-ratio of its smoothed document cou
 logistic model is fitted to indicator times ratio.  An n-gram of up to seven bytes is a number, so grams are compared
 exactly: a small hash table proposes a feature, equality of the number confirms it.
 
-Training uses at most ``TRAIN_BOUND`` labelled rows outside the held-out fold (ranked by a hash of their id).
-Executors count the grams, Spark adds the counts up and keeps the ``FEATURES`` strongest; the driver gets these and
-each text's feature numbers.  Scoring reads every document whole, once, without a shuffle.
+Training uses at most ``TRAIN_BOUND`` labelled rows outside the held-out fold (ranked by a hash of their id; texts above
+``TRAIN_BYTES`` are not learnt from).  Executors count the grams, Spark adds the counts up and keeps the ``FEATURES``
+strongest; the driver gets these and each text's feature numbers.  Scoring reads every document whole, once, without a shuffle.
 
 Defined results: a null or empty text has no grams and gets the constant's score; with no labelled rows, or only one
 label, every score is the share of label 1 (0 without rows); repeated rows score alike; an empty table gives an empty
@@ -16,6 +16,7 @@ result; extra columns are not read (``keep_clean`` carries them along unchanged)
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, id_type, keep_rows, keyed_text, portions, text_bytes, training_rows, written
+from .common import held_out, id_type, keep_rows, keyed_text, pieces, portions, text_bytes, training_rows, written
 
 TRAIN_BOUND = 6000
+TRAIN_BYTES = 4 << 20  # longer texts are no training rows
 ORDERS = (3, 4, 5, 6)
 FEATURES = 4000
 MIN_DOCS = 4
@@ -37,23 +39,25 @@ TIMES = (1, 2, 3, 5)  # a feature: the gram occurs so often at least
 _SLOTS = 16
 _GRAM = np.uint64((1 << 60) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PIECE = 1 << 19
+_PIECE = 1 << 18
 
 
 def grams(text: bytes | None) -> Iterator[np.ndarray]:
     """All n-grams of a text, with repeats, as numbers whose high byte holds the order; piece by piece."""
-    padded = b" " + b" ".join((text or b"").decode().lower().encode().split()) + b" "
-    if len(padded) <= 2:
-        return
-    longest = max(ORDERS)
-    for at in range(0, len(padded), _PIECE):
-        piece = padded[at : at + _PIECE + longest - 1]
-        raw = piece + bytes(8)
-        whole = np.ndarray((len(piece),), "<u8", raw, strides=(1,))
-        for n in ORDERS:
-            count = min(len(piece) - n + 1, _PIECE)
-            if count > 0:
-                yield (whole[:count] & np.uint64((1 << 8 * n) - 1)) | np.uint64(n << 56)
+    longest, tail, any_word = max(ORDERS), b" ", False
+    for piece in itertools.chain(pieces(text, _PIECE) if text else (), (None,)):
+        words = piece.decode().lower().encode().split() if piece is not None else []
+        any_word = any_word or bool(words)
+        if words:
+            tail += b" ".join(words) + b" "
+        if len(tail) > longest and words or piece is None and any_word:
+            last = piece is None
+            whole = np.ndarray((len(tail),), "<u8", tail + bytes(8), strides=(1,))
+            for n in ORDERS:  # a gram is yielded where it starts before the part that the next piece begins with
+                count = len(tail) - n + 1 if last else len(tail) - longest + 1
+                if count > 0:
+                    yield (whole[:count] & np.uint64((1 << 8 * n) - 1)) | np.uint64(n << 56)
+            tail = b"" if last else tail[len(tail) - longest + 1 :]
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
@@ -137,7 +141,7 @@ def fit(features: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], labels:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = TRAIN_BOUND) -> Model:
     """Fit on at most ``bound`` labelled rows; the driver gets ``FEATURES`` grams and each row's feature positions."""
-    rows = written(training_rows(docs, labels, target, bound).select("label", "text", F.xxhash64("id").alias("rank")))
+    rows = written(training_rows(docs, labels, target, bound).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).select("label", "text", F.xxhash64("id").alias("rank")))
     totals = {r["y"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(False, 0), totals.get(True, 0)
     counted = (

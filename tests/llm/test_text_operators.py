@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from spacelab.llm import decontam, html_text, licenses, lm_score, quality, toxicity
+from spacelab.llm import common, decontam, html_text, licenses, lm_score, packing, quality, simhash, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, score double, n_words string, items string, lang string"
@@ -313,3 +313,34 @@ def test_html_smoothing_is_a_gaussian_mean():
     for i, got in enumerate(html_text.smoothed(x)):
         near = [(math.exp(-0.5 * (i - j) ** 2), x[j]) for j in range(6) if abs(i - j) <= 2]
         assert got == pytest.approx(sum(w * v for w, v in near) / sum(w for w, _ in near))
+
+
+# ----- long texts -----
+
+
+def test_long_texts_are_read_piece_by_piece(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(ITEMS[i][1] or "\t" for i in rng.integers(0, len(ITEMS), n)).encode() for n in (0, 1, 3, 40)] + [b"", None, b" \n ", "é\nü ".encode() * 50]
+    owners = {p: {str(i)} for i, t in ITEMS for p in decontam.windows(decontam.split_words((t or "").encode()))}
+    searcher, index = decontam.WuManber(owners), {b"one": 2, b"x": 3, b"item": 4}
+    encoder = packing.Encoder.of(packing.default_tokenizer())
+
+    def everything():
+        return (
+            [searcher.scan(t) for t in texts], [simhash.fingerprint(t) for t in texts], encoder.encode([t and t.decode() for t in texts]),
+            [lm_score._cells(t, index, 10).tolist() for t in texts],
+            [sorted(np.concatenate([*toxicity.grams(t), np.zeros(0, np.uint64)]).tolist()) for t in texts])
+
+    want = everything()
+    monkeypatch.setattr(common, "PIECE", 9)
+    monkeypatch.setattr(packing, "LONG_TEXT", 20)
+    monkeypatch.setattr(toxicity, "_PIECE", 11)
+    assert everything() == want
+
+
+def test_line_scores_are_features_times_weights():
+    texts = [b"", None, b"One line.", b"A\n\nB!! C!!\n", b"same\nsame\n" * 3]
+    features, length, per_text = quality.line_features(texts)
+    weights = np.random.default_rng(8).normal(size=features.shape[1])
+    got = quality.line_scores(texts, weights)
+    assert np.allclose(got[0], features @ weights) and np.array_equal(got[1], length) and np.array_equal(got[2], per_text)
