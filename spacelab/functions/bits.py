@@ -1,7 +1,7 @@
-"""Unsigned 64-bit arithmetic, once for Python integers and once for Spark columns.
+"""Unsigned 64-bit arithmetic, for Python integers, numpy arrays and Spark columns alike.
 
-A generator's output function is written against an ``Ops`` object.  ``IntOps`` evaluates it exactly on the driver;
-``ColumnOps`` turns it into built-in expressions, naming intermediate values as columns of their own so that an
+A generator's output function is written against an ``Ops`` object.  ``IntOps`` evaluates it exactly on the driver,
+``ArrayOps`` a block at a time; ``ColumnOps`` turns it into built-in expressions, naming intermediate values as columns of their own so that an
 expression used twice is not copied.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,46 @@ class IntOps:
         return int(a < b)
 
 
+class ArrayOps:
+    """The same on numpy arrays of uint64."""
+
+    def let(self, x):
+        return x
+
+    def const(self, x: int):
+        return np.uint64(x & MASK64)
+
+    def add(self, a, b):
+        return a + b
+
+    def mul(self, a, b):
+        return a * b
+
+    def xor(self, a, b):
+        return a ^ b
+
+    def shr(self, a, n):
+        return a >> np.uint64(n)
+
+    def rotl(self, a, n):
+        return (a << np.uint64(n)) | (a >> np.uint64(64 - n))
+
+    def mulhi(self, a, b):
+        return multiply(a, b)[0]
+
+    def less(self, a, b):
+        return (a < b).astype(np.uint64)
+
+
+def multiply(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(high, low) words of the 128-bit products, from four products of 32-bit limbs."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    p00, p01, p10 = a0 * b0, a0 * b1, a1 * b0
+    middle = (p00 >> half) + (p01 & low) + (p10 & low)
+    return a1 * b1 + (p01 >> half) + (p10 >> half) + (middle >> half), a * b
+
+
 class ColumnOps:
     """The same on BIGINT columns holding raw bits; ``df`` grows by one column for each ``let``."""
 

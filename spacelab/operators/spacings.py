@@ -34,7 +34,7 @@ def spacings(points: DataFrame, codec: CellCodec, bits: int) -> DataFrame:
         "rep", "_part", *(F.col(f"prev.{c}").alias(n) for c, n in zip(codec.columns, highest)))
     inside = Window.partitionBy("rep", "_part").orderBy(*codec.order())
     lagged = cut.select("rep", "_part", *codec.columns, *(F.lag(c).over(inside).alias(f"_lag_{i}") for i, c in enumerate(codec.columns)))
-    joined = lagged.join(F.broadcast(carried), ["rep", "_part"])  # 2^bits rows a repetition, 2^16 at most
+    joined = lagged.join(carried, ["rep", "_part"])  # by the keys that the rows are dealt by already
     ends = borders.groupBy("rep").agg(
         F.max_by("hi", F.struct("_part")).alias("hi"), F.min_by("lo", F.struct("_part")).alias("lo"))
     with wrapping(points.sparkSession):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.stats import expected_collisions, format_p_value, headroom, p_value, superscript, test_mean
 from ..operators.cells import CellCodec, points
 from ..operators.collisions import checkpoint_counts, pass_counts
+from ..operators.packed import MOST_IN_INTERVAL, Source, interval_borders, packed_class_counts, packed_pass_counts
 from ..operators.spacings import class_counts, interval_bits, spacings
 from ..sources.generators import generator
 from ..sources.orbit import orbit
@@ -88,7 +89,11 @@ def run_points(spark: SparkSession, run: Run) -> DataFrame:
     """The kept points of all repetitions, which continue one orbit: rep, sample_id, cell words."""
     draws = orbit(spark, run.generator, run.seed, run.samples * run.reps, run.grid.t)
     rep = (F.expr(f"sample_id DIV {run.samples}L") + 1).cast("int") if run.reps > 1 else F.lit(1)
-    kept = points(draws, run.grid).withColumn("rep", rep)
+    return points(draws, run.grid).withColumn("rep", rep)
+
+
+def _again(kept: DataFrame, run: Run) -> DataFrame:
+    """Points that are read more than once: stored if making them is the expensive part."""
     return kept if generator(run.generator).column else stored(kept)
 
 
@@ -99,7 +104,8 @@ def execute(spark: SparkSession, run: Run, source: DataFrame | None = None) -> R
     kept = points(source, run.grid).withColumn("rep", F.lit(1)) if source is not None else run_points(spark, run)
     result = Result(run)
     work = _birthday if run.birthday else _checkpoints if run.checkpoints else _collisions
-    work(kept, codec, run, result)
+    made = Source(spark, run.grid, run.points * run.reps, kept, run if source is None else None)
+    work(kept, made, codec, run, result)
     if run.strict and result.alarms:
         raise NonUniformGenerator("; ".join(result.alarms))
     result.seconds = time.perf_counter() - began
@@ -118,9 +124,13 @@ def _add_rep(result: Result, rep: int, n: int, collisions: int, mean: float) ->
         mean + (last.cum_mean if last else 0.0)))
 
 
-def _collisions(kept: DataFrame, codec: CellCodec, run: Run, result: Result) -> None:
+def _collisions(kept: DataFrame, made: Source, codec: CellCodec, run: Run, result: Result) -> None:
     """Passes in value order; what has added up is compared with as many of the 2^b equal parts of the cells."""
-    got = {(r["rep"], r["pass"]): r for r in pass_counts(kept, codec, run.b, run.only).collect()}  # 2^b rows a repetition
+    if codec.width <= 64:
+        counted = packed_pass_counts(made, run.b, run.only)
+    else:
+        counted = pass_counts(kept, codec, run.b, run.only)
+    got = {(r["rep"], r["pass"]): r for r in counted.collect()}  # 2^b rows a repetition
     cells = float(run.grid.cells)
     part = cells / 2.0**run.b
     cap = headroom(run.samples, run.grid.t * run.grid.d + run.b)
@@ -136,8 +146,9 @@ def _collisions(kept: DataFrame, codec: CellCodec, run: Run, result: Result) ->
         _add_rep(result, rep, n, c, expected_collisions(n, cells))
 
 
-def _checkpoints(kept: DataFrame, codec: CellCodec, run: Run, result: Result) -> None:
+def _checkpoints(kept: DataFrame, made: Source, codec: CellCodec, run: Run, result: Result) -> None:
     ends = run.stages()
+    kept = _again(kept, run)
     got = {(r["rep"], r["stage"]): r for r in checkpoint_counts(kept, codec, run.samples, len(ends)).collect()}
     cells, bits = float(run.grid.cells), run.grid.t * run.grid.d
     for rep in range(1, run.reps + 1):
@@ -153,11 +164,19 @@ def _checkpoints(kept: DataFrame, codec: CellCodec, run: Run, result: Result) ->
         _add_rep(result, rep, n, c, expected_collisions(n, cells))
 
 
-def _birthday(kept: DataFrame, codec: CellCodec, run: Run, result: Result) -> None:
+def _birthday(kept: DataFrame, made: Source, codec: CellCodec, run: Run, result: Result) -> None:
     """Spacing classes; a class's mean is its share of the nominal one, a repetition's depends on the points kept."""
-    bits = interval_bits(codec, run.points)
-    got = {(r["rep"], r["klass"]): r for r in class_counts(spacings(kept, codec, bits), codec.width, run.b, run.only).collect()}
+    kept = _again(kept, run)
     loads = {(r["rep"], r["pass"]): r["n"] for r in kept.groupBy("rep", codec.top(run.b).alias("pass")).agg(F.count("*").alias("n")).collect()}
+    counted = None
+    if codec.width <= 64:
+        bits = interval_bits(codec, run.points * run.reps, target=1 << 21)
+        borders = stored(interval_borders(kept, codec, bits))  # 2^16 rows a repetition at most
+        if (borders.agg(F.max("n")).first()[0] or 0) <= MOST_IN_INTERVAL:
+            counted = packed_class_counts(made, borders, bits, run.b, run.only)
+    if counted is None:
+        counted = class_counts(spacings(kept, codec, interval_bits(codec, run.points)), codec.width, run.b, run.only)
+    got = {(r["rep"], r["klass"]): r for r in counted.collect()}
     cells, share = float(run.grid.cells), run.mean / 2.0**run.b
     decimated = run.grid.t * run.grid.d
     for rep in range(1, run.reps + 1):

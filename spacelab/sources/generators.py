@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.bits import MASK64, ColumnOps, IntOps, signed
+from ..functions.bits import MASK64, ArrayOps, ColumnOps, IntOps, multiply, signed
 
 State = tuple[int, ...]
 
@@ -29,8 +29,9 @@ class Generator:
     """Outputs are 64 bits; narrower words are left-justified.
 
     start(seed) -> state; step(state) -> (output, state); jump(state, n) -> state after n steps, or None if there is no
-    way but stepping.  ``column(ops, seed, n)`` is draw n (from 0) as an expression.  ``lanes(states)`` steps a matrix
-    of states (one row a lane, uint64) once and returns the outputs; it changes the states in place.
+    way but stepping.  ``column(ops, seed, n)`` is draw n (from 0) as an expression; ``block(seed, first, count)`` is
+    a run of draws as uint64.  ``lanes(states)`` steps a matrix of states (one row a lane, uint64) once and returns the
+    outputs; it changes the states in place.
     """
 
     name: str
@@ -39,6 +40,7 @@ class Generator:
     jump: Callable[[State, int], State] | None = None
     column: Callable[[ColumnOps, int, Column], Column] | None = None
     lanes: Callable[[np.ndarray], np.ndarray] | None = None
+    block: Callable[[int, int, int], np.ndarray] | None = None
     words: int = 1  # 64-bit words that hold a state for ``lanes``
     title: str = ""
 
@@ -104,7 +106,12 @@ def _counter(name: str, title: str, increment: int, mix: Callable[[Any, Any, Any
         return mix(ops, x, ops.let(x + ops.const(increment)))
 
     register_generator(Generator(
-        name, lambda seed: (seed & MASK64,), step, lambda state, n: ((state[0] + n * increment) & MASK64,), column, title=title))
+        name, lambda seed: (seed & MASK64,), step, lambda state, n: ((state[0] + n * increment) & MASK64,), column, block=_block_of(column), title=title))
+
+
+def _block_of(column: Callable[[Any, int, Any], Any]) -> Callable[[int, int, int], np.ndarray]:
+    """The column form over a run of draw numbers."""
+    return lambda seed, first, count: column(ArrayOps(), seed, np.arange(first, first + count, dtype=np.uint64))
 
 
 def _fold(o, a, b):
@@ -152,7 +159,7 @@ def _wide_step(state: State) -> tuple[int, State]:
 
 def _wide_column(o: ColumnOps, seed: int, n: Column) -> Column:
     """The 128-bit counter in two words: seed + (n + 1) * (add_high : add_low), with the carry of the low word."""
-    count = o.let(n + 1)
+    count = o.let(n + o.const(1))
     product = o.let(count * o.const(WY4_XOR))
     low = o.let(product + o.const(seed))
     carry = o.less(low, product)
@@ -162,7 +169,7 @@ def _wide_column(o: ColumnOps, seed: int, n: Column) -> Column:
 
 register_generator(Generator(
     "wyrand128", lambda seed: (seed & MASK64,), _wide_step, lambda state, n: ((state[0] + n * _WIDE) & _WIDE_MASK,), _wide_column,
-    title="wyrand128"))
+    block=_block_of(_wide_column), title="wyrand128"))
 
 
 # ----- affine: x <- a x + 1, the output is the new state -----
@@ -197,7 +204,15 @@ def _affine(name: str, title: str, multiplier: int, bits: int) -> None:
             x = o.let(m * x + c)
         return F.shiftleft(x, left) if left else x
 
-    register_generator(Generator(name, lambda seed: (seed & mask,), step, jump, column, title=title))
+    def block(seed: int, first: int, count: int) -> np.ndarray:
+        """Powers of the map by doubling, applied to the state before the run."""
+        m, c = np.array([multiplier], np.uint64), np.array([1], np.uint64)
+        while len(m) < count:  # the next half of the powers is the last one applied after the first half
+            m, c = np.r_[m, m * m[-1]], np.r_[c, c * m[-1] + c[-1]]
+        x = (m[:count] * np.uint64(jump((seed & mask,), first)[0]) + c[:count]) & np.uint64(mask)
+        return x << np.uint64(left) if left else x
+
+    register_generator(Generator(name, lambda seed: (seed & mask,), step, jump, column, block=block, title=title))
 
 
 #: Multipliers and word sizes.
@@ -208,22 +223,6 @@ _affine("lcg_32_32_0x915f77f5", "LCG32 (0x915f77f5)", 0x915F77F5, 32)
 
 # ----- multiply-with-carry -----
 
-_LOW = np.uint64(0xFFFFFFFF)
-_HALF = np.uint64(32)
-
-
-def _multiply_add(a: int, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(high, low) words of a * x + c."""
-    a0, a1 = np.uint64(a & 0xFFFFFFFF), np.uint64(a >> 32)
-    x0, x1 = x & _LOW, x >> _HALF
-    p00, p01, p10 = a0 * x0, a0 * x1, a1 * x0
-    middle = (p00 >> _HALF) + (p01 & _LOW) + (p10 & _LOW)
-    high = a1 * x1 + (p01 >> _HALF) + (p10 >> _HALF) + (middle >> _HALF)
-    low = (middle << _HALF) | (p00 & _LOW)
-    total = low + c
-    return high + (total < low), total
-
-
 class _Mwc(Generator):
     """The state is one number: words from the oldest up, the carry on top.  A step multiplies it by the inverse of
     2^bits modulo multiplier * 2^(bits lag) - 1, and the output is the newest word."""
@@ -253,7 +252,9 @@ def _mwc(name: str, title: str, multiplier: int, bits: int, lag: int, first: Cal
     def lanes(states: np.ndarray) -> np.ndarray:
         out = states[:, lag - 1].copy()
         if bits == 64:
-            carry, word = _multiply_add(multiplier, states[:, 0], states[:, lag])
+            high, low = multiply(np.uint64(multiplier), states[:, 0])
+            word = low + states[:, lag]
+            carry = high + (word < low)
         else:
             product = states[:, 0] * np.uint64(multiplier) + states[:, lag]
             carry, word = product >> np.uint64(bits), product & np.uint64(base - 1)
@@ -261,7 +262,7 @@ def _mwc(name: str, title: str, multiplier: int, bits: int, lag: int, first: Cal
         states[:, lag - 1], states[:, lag] = word, carry
         return out << np.uint64(left) if left else out
 
-    made = _Mwc(name, start, step, jump, None, lanes, lag + 1, title)
+    made = _Mwc(name, start, step, jump, lanes=lanes, words=lag + 1, title=title)
     object.__setattr__(made, "pack", pack)
     register_generator(made)
 
@@ -299,7 +300,7 @@ def _romu(name: str, title: str, first: Callable[[int], State], move: Callable[.
             states[:, i] = w & np.uint64(mask)
         return out << np.uint64(left) if left else out
 
-    register_generator(Generator(name, first, step, None, None, lanes, len(first(1)), title))
+    register_generator(Generator(name, first, step, lanes=lanes, words=len(first(1)), title=title))
 
 
 def _times(k: int, x, bits: int = 64):

@@ -15,8 +15,9 @@ from .generators import Generator, generator
 from .storage import stored
 
 LANE = 1024  # samples of a lane
-LANES = 256  # lanes stepped together
+LANES = 2048  # lanes stepped together
 PER_TASK = 1 << 24  # samples of a task at most
+BLOCK = 1 << 18  # samples made at once
 
 
 def draw_names(t: int) -> list[str]:
@@ -82,24 +83,50 @@ def segments(spark: SparkSession, g: Generator, seed: int, samples: int, t: int,
     return stored(spark.range(0, 1, 1, 1).mapInArrow(walking, schema)).repartition(_tasks(spark, samples), "lane")
 
 
+def lane_draws(g: Generator, batches: Iterator[pa.RecordBatch], samples: int, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``segments`` rows -> (sample numbers, draws of each sample), lanes stepped side by side."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, LANES):
+            part = batch.slice(a, LANES)
+            states = np.array(part.column("words").to_pylist(), np.int64).view(np.uint64)
+            out = np.empty((LANE, t, len(states)), np.uint64)
+            for j in range(LANE):
+                for i in range(t):
+                    out[j, i] = g.lanes(states)
+            sample = np.arange(LANE)[:, None] + part.column("lane").to_numpy()[None, :] * LANE
+            inside = sample < samples
+            yield sample[inside], out.transpose(0, 2, 1)[inside]
+
+
 def _in_lanes(spark: SparkSession, g: Generator, seed: int, samples: int, t: int, first: int) -> DataFrame:
-    """Lanes of the orbit, stepped side by side."""
+    """Lanes of the orbit as rows."""
     names = draw_names(t)
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("sample_id", *names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, LANES):
-                part = batch.slice(a, LANES)
-                states = np.array(part.column("words").to_pylist(), np.int64).view(np.uint64)
-                out = np.empty((LANE, t, len(states)), np.uint64)
-                for j in range(LANE):
-                    for i in range(t):
-                        out[j, i] = g.lanes(states)
-                sample = np.arange(LANE)[:, None] + part.column("lane").to_numpy()[None, :] * LANE
-                inside = sample < samples
-                columns = [pa.array((sample + first)[inside])]
-                columns += [pa.array(out[:, i][inside].view(np.int64)) for i in range(t)]
-                yield pa.RecordBatch.from_arrays(columns, names=["sample_id", *names])
+        for sample, draws in lane_draws(g, batches, samples, t):
+            columns = [pa.array(sample + first), *(pa.array(np.ascontiguousarray(draws[:, i]).view(np.int64)) for i in range(t))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sample_id", *names])
 
     return segments(spark, g, seed, samples, t, first).mapInArrow(run, schema)
+
+
+def map_orbit(spark: SparkSession, name: str, seed: int, samples: int, t: int, make, schema: str) -> DataFrame:
+    """Feed the orbit to ``make`` without rows in between.
+
+    make(iterator of (sample numbers, uint64 draws of each sample)) -> Arrow batches of ``schema``.
+    """
+    g = generator(name)
+    if samples * t >> 48:
+        raise ValueError("draws beyond 2^48 are out of range")
+    if g.block is None:
+        return segments(spark, g, seed, samples, t).mapInArrow(lambda batches: make(lane_draws(g, batches, samples, t)), schema)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for n in batch.column("id").to_pylist():
+                count = min(BLOCK, samples - n * BLOCK)
+                yield np.arange(n * BLOCK, n * BLOCK + count), g.block(seed, n * BLOCK * t, count * t).reshape(count, t)
+
+    total = -(-samples // BLOCK)
+    return spark.range(0, total, 1, min(max(total, 1), _tasks(spark, samples))).mapInArrow(lambda batches: make(blocks(batches)), schema)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spacelab import cli
-from spacelab.functions.bits import ColumnOps, IntOps, biased, signed, wrapping
+from spacelab.functions.bits import ArrayOps, ColumnOps, IntOps, biased, multiply, signed, wrapping
 from spacelab.functions.stats import (
     PValue, expected_collisions, format_p_value, headroom, p_value, poisson_tails, superscript, test_mean)
 from spacelab.operators.cells import CellCodec, points
@@ -62,6 +62,10 @@ def test_generator(name):
         assert g.at(SEED, 100_000) == g.jump(g.at(SEED, 99_000), 1000)
         far = (1 << 40) + (1 << 41) + 12345
         assert g.at(SEED, far) == g.jump(g.at(SEED, 1 << 40), far - (1 << 40))
+    if g.block:
+        for first, count in ((0, 40), (5, 1), (700, 33), (3, 0)):
+            assert g.block(SEED, first, count).tolist() == out[first : first + count]
+        assert int(g.block(SEED, 10**12, 1)[0]) == g.outputs(SEED, 1, 10**12)[0]
     if g.lanes:
         states = np.array([g.pack(g.at(SEED, k)) for k in (0, 3, 700)], np.uint64)
         got = np.array([g.lanes(states) for _ in range(50)])
@@ -94,6 +98,17 @@ def test_registering_a_generator(spark):
     assert orbit(spark, "test-halves", 9, 3, 1).select("draw_0").distinct().collect()[0][0] == 9
 
 
+def test_array_arithmetic():
+    values = [0, 1, 2, 3, 2**31, 2**32 - 1, 2**32, 2**63 - 1, 2**63, 2**64 - 2, 2**64 - 1, 0x9E3779B97F4A7C15]
+    a, b = (np.array(x, np.uint64) for x in zip(*((x, y) for x in values for y in values)))
+    ints, arrays = IntOps(), ArrayOps()
+    for name in ("add", "mul", "xor", "mulhi", "less"):
+        got = getattr(arrays, name)(a, b).tolist()
+        assert got == [getattr(ints, name)(x, y) for x, y in zip(a.tolist(), b.tolist())], name
+    assert arrays.rotl(a, 17).tolist() == [ints.rotl(x, 17) for x in a.tolist()] and arrays.shr(a, 9).tolist() == [x >> 9 for x in a.tolist()]
+    assert multiply(a, b)[1].tolist() == [x * y % 2**64 for x, y in zip(a.tolist(), b.tolist())]
+
+
 def test_column_arithmetic(spark):
     values = [0, 1, 2, 3, 2**31, 2**32 - 1, 2**32, 2**63 - 1, 2**63, 2**64 - 2, 2**64 - 1, 0x9E3779B97F4A7C15]
     pairs = [(signed(a), signed(b)) for a in values for b in values]
