@@ -90,7 +90,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
             yield from out(held, number)
 
     content = [F.crc32(F.col(text_col).cast("binary"))] if text_col in docs.columns else []
-    lying = written(rows.repartition(buckets, bucket).sortWithinPartitions(bucket, tie, id_col, *content).mapInArrow(run, schema))
+    lying = written(rows.repartitionById(buckets, bucket).sortWithinPartitions(bucket, tie, id_col, *content).mapInArrow(run, schema))
     counts = {r[bucket]: r["n"] for r in lying.groupBy(bucket).agg(F.count("*").alias("n")).collect()}  # a row for each bucket
     before, table = 0, []
     for number in sorted(counts):
