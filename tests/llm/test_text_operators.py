@@ -238,6 +238,43 @@ def test_cross_entropy_difference_by_brute_force(spark):
     assert {r["n_tokens"] for r in lm_score.cross_entropy_difference(table, table.limit(0), size).collect()} == {0, 3, 4, 6}
 
 
+def test_every_word_of_the_corpus_is_modelled(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK", 1000)
+    rng = np.random.default_rng(3)
+    common_words = " ".join(f"w{i}" for i in range(2100)) + " "
+    texts = [common_words * 2, "rare gold word", "rare lead word", None, " ", *(" ".join(f"w{i}" for i in rng.integers(0, 300, 50)) for _ in range(40)), "rare gold word"]
+    table, chosen = docs(spark, texts), [0, 1, 7]
+    good = spark.createDataFrame([(i,) for i in [*chosen, 7, 999, None]], "doc_id long")
+    tokens = [(t or "").lower().split() for t in texts]
+
+    def losses(corpus):
+        bi = Counter(p for t in corpus for p in zip(["<s>", *t], t))
+        before, single = Counter(), Counter()
+        for (a, b), n in bi.items():
+            before[a] += n
+            single[b] += n
+        total, words = sum(single.values()), len({w for t in tokens for w in t}) + 2
+
+        def loss(a, b):
+            w = 0.75 if before[a] else 0
+            return -math.log((w * bi[a, b] / before[a] if w else 0) + (1 - w) * (single[b] + 1) / (total + words - 1))
+
+        return lambda t: sum(loss(a, b) for a, b in zip(["<s>", *t], t)) / len(t)
+
+    near, far = losses([tokens[i] for i in chosen]), losses(tokens)
+    for found in (lm_score.cross_entropy_difference(table, table.where("doc_id IN (0, 1, 7)")), lm_score.labelled_difference(table, good)):
+        got = {r["doc_id"]: r for r in found.collect()}
+        assert len(got) == len(texts) and got[1]["score"] < got[2]["score"]
+        for i, t in enumerate(tokens):
+            assert got[i]["n_tokens"] == len(t)
+            if t:
+                assert got[i]["target_loss"] == pytest.approx(near(t)) and got[i]["background_loss"] == pytest.approx(far(t))
+            else:
+                assert got[i]["score"] is None and got[i]["target_loss"] is None
+    assert lm_score.labelled_difference(table.limit(0), good).count() == 0
+    assert {r["n_tokens"] for r in lm_score.labelled_difference(table.where("doc_id < 5"), good.limit(0)).collect()} == {4200, 3, 0}
+
+
 # ----- licences -----
 
 MIT = """Copyright (c) 2020 Somebody
