@@ -3,8 +3,8 @@
 The standard library's parser streams events; block-level tags end a line, and each line keeps its text and its number
 of tags.  The ratios of characters to tags are smoothed with a Gaussian over neighbouring lines, and a threshold at
 their standard deviation splits lines into content and the rest.  The content lines point to the region: the nearest
-article or main element around most of them, else the deepest element that holds nine tenths of them, from its first
-to its last content line.  The region is returned whole, so short paragraphs and headings stay; only elements whose
+article or main element around most of them, else the deepest element of several lines that holds nine tenths of them.
+The region is returned whole, so short paragraphs, headings and lists of links stay; only elements whose
 name, role, class or id says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 or reader comments are left out.
 
@@ -41,6 +41,8 @@ SPACE_TAGS = frozenset(("br", "td", "th", "option"))
 #: An element of the key closes an open element of the value, up to the nearest element of ``_FENCES``.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCES = frozenset("html body article aside section main nav header footer div form table ul ol dl td th blockquote".split())
+#: Blocks that are parts of a text, never the whole.
+_PARTS = frozenset("address blockquote dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 legend li ol p pre summary ul".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
@@ -198,11 +200,11 @@ def main_lines(lines: list[tuple[str, int, int, int, bool]], parents: list[int],
         return []
     total = weight.get(0, 0)
     top = max(e for e, w in weight.items() if w >= 0.9 * total)  # a child's number is above its parent's
-    within = [i for i in content if inside(lines[i][3], top)]
-    return [
-        lines[i][0] for i in usable
-        if within[0] <= i <= within[-1] and inside(lines[i][3], top) and lines[i][2] <= 0.6 * len(lines[i][0])
-    ]
+    own = {e: sum(inside(lines[i][3], e) for i in usable) for e in (top, 0)}
+    while top and (kinds[top] in _PARTS or own[top] < 2 <= own[0]):
+        top = parents[top]  # a single paragraph, list or cell is no region
+        own[top] = sum(inside(lines[i][3], top) for i in usable)
+    return [lines[i][0] for i in usable if inside(lines[i][3], top)]
 
 
 def extract(html: str | None) -> str:

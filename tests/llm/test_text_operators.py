@@ -345,6 +345,17 @@ def test_html(spark):
     assert html_text.main_text(table.limit(0)).count() == 0
 
 
+def test_html_regions_without_article_are_whole():
+    long = [f"Paragraph {i}. " + "A sentence of the text. " * 12 for i in range(10)]
+    start, end = ["By A. Writer", "12 May"], [f"Closing item number {i}" for i in range(6)]
+    links = [f"Reference number {i} of the list" for i in range(3)]
+    page = ("<body><nav><a href=/>Home</a></nav><div id=content><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in start + long) + "<ul>"
+            + "".join(f"<li>{x}</li>" for x in end) + "</ul><ol>" + "".join(f"<li><a href=x>{x}</a></li>" for x in links) + "</ol></div></body>")
+    assert html_text.extract(page).split("\n\n") == ["Title", *start, *(x.strip() for x in long), *end, *links]
+    page = f"<body><div><h1>Title</h1><p>Short.</p><p>{'One paragraph with nearly all of the text. ' * 30}</p><p>End.</p></div></body>"
+    assert html_text.extract(page).split("\n\n") == ["Title", "Short.", ("One paragraph with nearly all of the text. " * 30).strip(), "End."]
+
+
 def test_html_smoothing_is_a_gaussian_mean():
     x = np.array([1.0, 5.0, 2.0, 8.0, 0.0, 3.0])
     for i, got in enumerate(html_text.smoothed(x)):
