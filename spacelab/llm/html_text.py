@@ -6,7 +6,9 @@ their standard deviation splits lines into content and the rest.  The content li
 article or main element around most of them, else the deepest element of several lines that holds nine tenths of them.
 The region is returned whole, so short paragraphs, headings and lists of links stay; only elements whose
 name, role, class or id says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-or reader comments are left out.
+or reader comments are left out.  A form, class or id leaves nothing out where the element holds the page's article or
+most of its text, and inside the region headings, paragraphs and sections stay whatever their class or id, unless that
+is the whole name of an advert, or of reader comments on a section.
 
 Pages are independent: one pass, no shuffle, one page's events in memory at once.
 
@@ -32,7 +34,7 @@ SIGMA = 1.0
 RADIUS = 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset(
-    "nav footer aside form script style noscript template iframe object svg math canvas button select textarea head title dialog menu "
+    "nav footer aside script style noscript template iframe object svg math canvas button select textarea head title dialog menu "
     "audio video map".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -49,10 +51,18 @@ NOISE_WORDS = frozenset(
     "cookies disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay "
     "pager pagination popup promo promotion recommended related replies respond share sharing sidebar skip social sponsor sponsored "
     "sponsors subscribe teaser toc toolbar topbar widget".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense promo promotion sponsor sponsored sponsors".split())
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Never the frame of a page, unless the page's article or heading lies inside.
+_ASIDES = ADVERTS | READERS | frozenset("consent cookie cookies gdpr newsletter popup recommended related subscribe teaser".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _WORD = re.compile(r"[^\W_]+")
 
 
 def _is_noise(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Noise wherever it is, by name, role or style."""
     if tag in NOISE_TAGS:
         return True
     if tag == "header":
@@ -62,19 +72,30 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if not value:
-            continue
-        if name == "role" and value.strip().lower() in NOISE_ROLES:
+        if name == "role" and value and value.strip().lower() in NOISE_ROLES:
             return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
+        if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id"):
-            words = NOISE_WORDS.intersection(_WORD.findall(value.lower()))
-            if words and (tag != "article" or words & {"comment", "comments"}):
-                return True
     return False
 
 
+def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[frozenset[str], bool]:
+    """The noise words of a class, an id or a form, and whether a heading, paragraph or section is noise even in the region."""
+    words, always = {"form"} if tag == "form" else set(), False
+    if tag in ("html", "body", "main"):
+        return frozenset(), False
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            found = NOISE_WORDS.intersection(_WORD.findall(value.lower()))
+            if tag == "article":
+                found &= {"comment", "comments"}
+            words |= found
+            if found:
+                names = set(value.lower().split())
+                always |= bool(names & ADVERTS or tag == "section" and names & READERS)
+    return frozenset(words), always
+
+
 class _Lines(HTMLParser):
     """Events -> lines (text, tags, link characters, element, noise)."""
 
@@ -82,6 +103,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.parents, self.kinds = [-1], [""]
+        self.named: dict[int, tuple[str, frozenset[str], bool]] = {}  # elements that are noise by class, id or form
         self.open: list[tuple[str, int, bool]] = []  # tag, element before it, whether it is noise
         self.element = 0
         self.noise = self.links = self.articles = 0
@@ -103,6 +125,8 @@ class _Lines(HTMLParser):
     def _pop(self, at: int) -> None:
         while len(self.open) > at:
             tag, element, noise = self.open.pop()
+            if self.element in self.named and element != self.element and tag not in BLOCK_TAGS:
+                self.flush()
             self.element = element
             self.noise -= noise
             self.links -= tag == "a"
@@ -120,16 +144,23 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         noise = _is_noise(tag, attrs, self.articles > 0)
+        words, always = _named_noise(tag, attrs) if attrs or tag == "form" else ((), False)
+        if words and tag in _INLINE:
+            noise, words = True, ()
+        if words and tag not in BLOCK_TAGS:
+            self.flush()
         self.open.append((tag, self.element, noise))
         self.noise += noise
         if tag == "a":
             self.links += 1
-        elif tag in BLOCK_TAGS:
+        elif tag in BLOCK_TAGS or words:
             self.articles += tag == "article"
             self.parents.append(self.element)
             main = tag in ("article", "main") or any(n == "role" and v == "main" or n == "itemprop" and v == "articleBody" for n, v in attrs)
-            self.kinds.append("main" if main and not self.noise else tag)
+            self.kinds.append("main" if main and not self.noise and not (tag == "article" and words) else tag)
             self.element = len(self.parents) - 1
+            if words:
+                self.named[self.element] = (tag, words, always)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # as in a browser, the slash does not close
@@ -169,9 +200,45 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return own / np.convolve(np.ones(len(ratios)), _KERNEL)[RADIUS : RADIUS + len(ratios)]
 
 
-def main_lines(lines: list[tuple[str, int, int, int, bool]], parents: list[int], kinds: list[str]) -> list[str]:
+def _frames(lines: list[tuple[str, int, int, int, bool]], parents: list[int], kinds: list[str], named: dict) -> set[int]:
+    """Elements named like noise that hold the page's article or most of its text."""
+    chains = []  # of each line that no name, role or style hides: size, elements around it
+    for text, _, _, element, noise in lines:
+        if not noise:
+            around = []
+            while element >= 0:
+                around.append(element)
+                element = parents[element]
+            chains.append((len(text), around))
+    headed = lambda around: any(kinds[e] in ("main", "h1") for e in around)
+    holds = {e for _, around in chains for k, e in enumerate(around) if e in named and headed(around[:k])}
+    asides = {e for e, (_, words, _) in named.items() if words & _ASIDES and e not in holds}
+    kept = [c for c in chains if asides.isdisjoint(c[1])] or chains
+    total, size = sum(n for n, _ in kept), dict.fromkeys(named, 0)
+    for n, around in kept:
+        for e in around:
+            if e in size:
+                size[e] += n
+    shown = any(headed(around) and not any(e in named for e in around) for _, around in chains)
+    return {e for e, n in size.items() if n > total / 2 and e in holds or n > 0.75 * total and not shown and kinds[e] != "article"}
+
+
+def _hidden(element: int, parents: list[int], named: dict, shown: set[int]) -> bool:
+    while element >= 0:
+        if element in named and element not in shown:
+            return True
+        element = parents[element]
+    return False
+
+
+def main_lines(lines: list[tuple[str, int, int, int, bool]], parents: list[int], kinds: list[str], named: dict) -> list[str]:
     if not lines:
         return []
+    shown = _frames(lines, parents, kinds, named) if named else set()
+    if named:
+        # a heading is never the frame of something else
+        shown |= {e for e, (tag, _, always) in named.items() if tag in _HEADINGS and not always}
+        whole, lines = lines, [(*x[:4], x[4] or _hidden(x[3], parents, named, shown)) for x in lines]
     ratios = smoothed(np.array([len(x[0]) / max(x[1], 1) for x in lines]))
     threshold = min(ratios.std(), ratios.mean())
     usable = [i for i, x in enumerate(lines) if not x[4]]
@@ -193,9 +260,16 @@ def main_lines(lines: list[tuple[str, int, int, int, bool]], parents: list[int],
             element = parents[element]
         return element == top
 
+    def region(top: int) -> list[str]:
+        found = [i for i in usable if inside(lines[i][3], top)]
+        if named:
+            page_wide = kinds[top] in ("", "html", "body")
+            texts = {e for e, (tag, words, always) in named.items() if not always and (tag == "p" or tag == "section") and not (page_wide and words & _ASIDES)}
+            found = [i for i, x in enumerate(whole) if not x[4] and inside(x[3], top) and not _hidden(x[3], parents, named, shown | texts)]
+        return [lines[i][0] for i in found]
+
     if main:
-        top = max(main, key=lambda e: (main[e], -e))
-        return [lines[i][0] for i in usable if inside(lines[i][3], top)]
+        return region(max(main, key=lambda e: (main[e], -e)))
     if not content:
         return []
     total = weight.get(0, 0)
@@ -204,7 +278,7 @@ def main_lines(lines: list[tuple[str, int, int, int, bool]], parents: list[int],
     while top and (kinds[top] in _PARTS or own[top] < 2 <= own[0]):
         top = parents[top]  # a single paragraph, list or cell is no region
         own[top] = sum(inside(lines[i][3], top) for i in usable)
-    return [lines[i][0] for i in usable if inside(lines[i][3], top)]
+    return region(top)
 
 
 def extract(html: str | None) -> str:
@@ -215,7 +289,7 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return "\n\n".join(main_lines(parser.lines, parser.parents, parser.kinds))
+    return "\n\n".join(main_lines(parser.lines, parser.parents, parser.kinds, parser.named))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

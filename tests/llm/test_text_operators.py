@@ -356,6 +356,25 @@ def test_html_regions_without_article_are_whole():
     assert html_text.extract(page).split("\n\n") == ["Title", "Short.", ("One paragraph with nearly all of the text. " * 30).strip(), "End."]
 
 
+def test_html_names_do_not_hide_the_article():
+    text = "A sentence of the text that goes on for a while. " * 8
+    want = ["Title", text.strip(), "Related work", "Short.", "Cookies", "Effects on people."]
+    article = (f"<h1>Title</h1><p>{text}</p><h2 id='related-work'>Related work</h2><p>Short.</p><h3 id='cookies'>Cookies</h3>"
+               "<section id='social-effects'><p>Effects on people.</p></section><div class='share-buttons'>Share this</div>")
+    tail = "<div class='sidebar'><p>Side text</p></div><section class='comments'><article><p>A reader says so.</p></article></section>"
+    for inner in (f"<article>{article}</article>", f"<main>{article}</main>", f"<div id=content>{article}</div>"):
+        for page in (
+            f"<div class='site has-sidebar'><div class='content-sidebar-wrap'>{inner}{tail}</div></div>", f"<form method=post action=x.aspx>{inner}{tail}</form>",
+            f"<app-root class='nav-open'>{inner}{tail}</app-root>", f"<div id=page>{inner}{tail}</div>",
+            f"<div class='header'><h1>Site</h1></div><div class='page comments-open'>{inner}</div><form><p>Send me the newsletter</p></form>",
+        ):
+            assert html_text.extract(f"<body><nav>Home</nav>{page}</body>").split("\n\n") == want, page
+    assert html_text.extract(f"<article>{article}<p class=ad>Buy it</p><section class=comments><p>{text * 3}</p></section></article>").split("\n\n") == want
+    notice = "<div class='cookie-consent'><p>" + "We use cookies. " * 90 + "</p></div>"
+    assert html_text.extract(f"<body><div><p>Short page.</p><p>{text}</p></div>{notice}</body>").split("\n\n") == ["Short page.", text.strip()]
+    assert html_text.extract("<p>one <span class=ad>buy</span>two</p>") == "one two"
+
+
 def test_html_smoothing_is_a_gaussian_mean():
     x = np.array([1.0, 5.0, 2.0, 8.0, 0.0, 3.0])
     for i, got in enumerate(html_text.smoothed(x)):
