@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules.
 
 Text is cut into sentences and normalised; known sentences become identifiers, and the sequence of a document's
-identifiers is matched against ordered rules, the first that fits at a place consuming it.  A sentence ends at a stop
+identifiers is matched against ordered rules, the first that fits at a place consuming it.  A grant ("licensed under"
+and the like with one or more names) counts wherever it stands in a sentence of at most ``MOST_WORDS`` words, unless it
+is denied; sentences of licence texts count as a whole.  A sentence ends at a stop
 before white space or at a line's end; lines without a stop are also tried joined to those after them, so that wrapped
 licence texts are found as well as licence lines that follow an unfinished line.
 
@@ -28,37 +30,55 @@ from .common import id_type, keyed_text
 TRIGGER = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|spdx|\bcc[ -](?:by|0)|\bcc0|free software|as is\b|\b(?:released|distributed|available|provided|published) under\b", re.I)
 
 # Names of licences as they are written, and sentences of licence texts.
+_V = r",?[ -]?(?:version |v\.? ?)?"
+
+
+def _gnu(kind: str, short: str, version: str) -> str:
+    name = rf"(?:gnu )?(?:{kind}general public license|{short})"
+    return rf"(?:{name}(?: \({short}\))?{_V}{version}(?: license)?|(?:version |v\.? ?){version} of the {name}(?: \({short}\))?)"
+
+
+_CC_WORDS = {"by": "attribution", "nc": "non[- ]?commercial", "sa": "share[- ]?alike", "nd": "no[- ]?deriv(?:ative)?s?(?: works)?"}
+
+
+def _cc(parts: list[str], version: str) -> str:
+    short, long = "[ -]".join(parts), "[ -]{1,3}".join(_CC_WORDS[p] for p in parts)
+    place = r"(?: (?:international|unported|generic|[a-z]+(?= (?:public )?license)))?"
+    return (rf"(?:(?:cc|creative commons)[ -](?:{short}|{long})|{long}(?= \S+ (?:international|unported|generic)))(?: license)?(?: \(cc[ -]{short}\))?{_V}{re.escape(version)}"
+            rf"{place}(?: public)?(?: license)?(?: \(cc[ -]{short}(?:[ -]{re.escape(version)})?\))?")
+
+
+_CC_KINDS = (["by", "nc", "sa"], ["by", "nc", "nd"], ["by", "nc"], ["by", "sa"], ["by", "nd"], ["by"])
 NAMES = (
-    ("Apache-2.0", r"apache(?: software)?(?: license)?,?[ -](?:version |v\.? ?)?2(?:\.0)?(?: license)?"),
-    ("GPL-3.0", r"(?:gnu )?(?:general public license|gpl),?[ -]?(?:version |v\.? ?)?3(?:\.0)?"),
-    ("GPL-2.0", r"(?:gnu )?(?:general public license|gpl),?[ -]?(?:version |v\.? ?)?2(?:\.0)?"),
-    ("LGPL-3.0", r"(?:gnu )?(?:lesser general public license|lgpl),?[ -]?(?:version |v\.? ?)?3(?:\.0)?"),
-    ("LGPL-2.1", r"(?:gnu )?(?:lesser general public license|lgpl),?[ -]?(?:version |v\.? ?)?2\.1"),
-    ("AGPL-3.0", r"(?:gnu )?(?:affero general public license|agpl),?[ -]?(?:version |v\.? ?)?3(?:\.0)?"),
-    ("MPL-2.0", r"(?:mozilla public license|mpl),?[ -]?(?:version |v\.? ?)?2(?:\.0)?"),
-    ("MIT", r"(?:mit|expat)(?: license)?"),
-    ("BSD-3-Clause", r"(?:3-clause bsd|bsd[ -]3-clause|new bsd|modified bsd)(?: license)?"),
-    ("BSD-2-Clause", r"(?:2-clause bsd|bsd[ -]2-clause|simplified bsd)(?: license)?"),
+    ("Apache-2.0", rf"(?:apache(?: software)?(?: license)?{_V}2(?:\.0)?(?: license)?|version 2\.0 of the apache(?: software)? license)"),
+    ("GPL-3.0", _gnu("", "gpl", r"3(?:\.0)?")),
+    ("GPL-2.0", _gnu("", "gpl", r"2(?:\.0)?")),
+    ("LGPL-3.0", _gnu("lesser ", "lgpl", r"3(?:\.0)?")),
+    ("LGPL-2.1", _gnu("lesser ", "lgpl", r"2\.1")),
+    ("AGPL-3.0", _gnu("affero ", "agpl", r"3(?:\.0)?")),
+    ("MPL-2.0", rf"(?:mozilla public license|mpl)(?: \(mpl\))?{_V}2(?:\.0)?(?: license)?"),
+    ("MIT", r"(?:mit|expat)(?: \((?:mit|expat|x11)\))?(?:[ /]x11)?(?: license)?(?: \(mit\))?"),
+    ("BSD-3-Clause", r"(?:(?:3|three)[ -]clause bsd|bsd[ -](?:3|three)[ -]clause(?: (?:new or revised|new|revised|modified))?|new bsd|modified bsd|revised bsd)(?: license)?"),
+    ("BSD-2-Clause", r"(?:(?:2|two)[ -]clause bsd|bsd[ -](?:2|two)[ -]clause(?: simplified)?|simplified bsd|freebsd)(?: license)?"),
     ("ISC", r"isc(?: license)?"),
-    ("CC0-1.0", r"(?:creative commons zero|cc0)(?:[ -](?:v\.?)?1\.0)?(?: universal)?(?: license)?"),
-    ("CC-BY-NC-SA-4.0", r"(?:cc|creative commons)[ -]by-nc-sa[ -]4\.0(?: license)?"),
-    ("CC-BY-NC-ND-4.0", r"(?:cc|creative commons)[ -]by-nc-nd[ -]4\.0(?: license)?"),
-    ("CC-BY-NC-4.0", r"(?:cc|creative commons)[ -]by-nc[ -]4\.0(?: license)?"),
-    ("CC-BY-SA-4.0", r"(?:cc|creative commons)[ -]by-sa[ -]4\.0(?: license)?"),
-    ("CC-BY-ND-4.0", r"(?:cc|creative commons)[ -]by-nd[ -]4\.0(?: license)?"),
-    ("CC-BY-4.0", r"(?:cc|creative commons)[ -]by[ -]4\.0(?: license)?"),
+    ("CC0-1.0", r"(?:creative commons zero|creative commons cc0|cc0|cc zero)(?:[ -](?:v\.?)?1\.0)?(?: universal)?(?: public domain dedication)?(?: license)?"),
+    *((f"CC-{'-'.join(kind).upper()}-{v}", _cc(kind, v)) for kind in _CC_KINDS for v in ("4.0", "3.0", "2.5", "2.0", "1.0")),
     ("Unlicense", r"unlicense"),
-    ("BSL-1.0", r"boost software license(?:,?[ -]?(?:version |v\.? ?)?1\.0)?"),
-    ("Zlib", r"zlib(?: license)?"),
-)
-_GRANT = (
-    r"(?:(?:this|the) (?:work|file|software|program|code|document|text|project|library|material|content|article|page) is )?"
-    r"(?:dual[ -])?(?:licensed|released|distributed|available|provided|published|made available) under (?:the )?(?:terms of (?:the )?)?(?:{})"
-    r"(?: \(the license\))?(?P<later>,? or (?:\(at your option\) )?(?:any )?later(?: version)?)?"
+    ("BSL-1.0", rf"boost software license(?:{_V}1\.0)?"),
+    ("Zlib", r"zlib(?:/libpng)?(?: license)?"),
 )
+_NAME = re.compile("(?:" + "|".join(f"(?P<n{k}>{text})" for k, (_, text) in enumerate(NAMES)) + r")(?!\w|-(?!or-later|only)|\.\d)")
+_SPDX_NAMES = {name.lower(): name for name, _ in NAMES}
+_LATER = re.compile(r"\+|-or-later|(?: of the license)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?")
+#: A grant, wherever it stands in its sentence; names follow, with words like "and" or "or" between.
+_GRANT = re.compile(
+    r"(?:(?:licensed|released|distributed|available|provided|published|shared|offered|covered|governed|redistributed|used|reused) (?:to you )?(?:under|by)|(?:is|are) subject to|bound by) "
+    r"(?:either(?: of)? )?(?:(?:the )?(?:terms(?: and conditions)?|conditions) of )?(?:either(?: of)? )?(?:the |this |an? )?")
+_DENIED = re.compile(r"\b(?:not|never|no longer|neither)(?: \w+)? $|\b(?:not|never|no longer) (?:be|been|being) (?:\w+ )?$")
+_AND = re.compile(r"(?: license)?(?: \(the license\))?(?:,? (?:and/or|and|or) |, ?|/)(?:(?:under|the terms of) )?(?:the |an? )?")
+_SPDX = re.compile(r"spdx-license-identifier: ?\(?")
+_TITLE = re.compile(r"(?:license: ?(?:the )?|(?=(?:creative commons|attribution)\b.* \d\.\d|cc0 1\.0 universal))")
 SENTENCES = (
-    *((f"grant:{name}", _GRANT.format(text)) for name, text in NAMES),
-    *((f"grant:{name}", rf"spdx-license-identifier: ?{re.escape(name.lower())}(?P<later>-or-later|\+)?(?:-only)?") for name, _ in NAMES),
     ("mit:permission", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software .*"),
     ("mit:notice", r"the above copyright notice and this permission notice (?:\(.*\) )?shall be included in all copies or substantial portions of the software"),
     ("mit:warranty", r"the software is provided as is, without warranty of any kind.*"),
@@ -71,6 +91,17 @@ SENTENCES = (
     ("gpl:free", r"(?:this program|.*) is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu (?:(?P<kind>lesser|affero) )?general public "
                  r"license as published by the free software foundation[;,] either version (?P<version>2\.1|2|3) of the license(?P<later>, or \(at your option\) any later version)?"),
     ("gpl:hope", r"(?:this program|.*) is distributed in the hope that it will be useful, but without any warranty.*"),
+    ("gpl:title", r"gnu (?:(?P<kind>lesser|affero) )?general public license,? version (?P<version>2\.1|2|3), (?:\d+ )?(?:june|february|november) \d{4}"),
+    ("apache:title", r"apache license,? version 2\.0, january 2004.*"),
+    ("apache:copyright", r"subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, .* copyright license to .*"),
+    ("apache:patent", r"subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, .* patent license to .*"),
+    ("apache:copy", r"you may obtain a copy of the license at:? \S*apache\.org/licenses/license-2\.0\S*"),
+    ("apache:basis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties .*"),
+    ("mpl:title", r"mozilla public license,? version 2\.0"),
+    ("mpl:grant", r"each contributor hereby grants you a world-wide, royalty-free, non-exclusive license:?.*"),
+    ("mpl:copy", r"if a copy of the mpl was not distributed with this file, you can obtain one at \S*mozilla\.org/mpl/2\.0\S*"),
+    ("bsl:permission", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .*"),
+    ("zlib:permission", r"permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.*"),
     ("domain", r"this is free and unencumbered software released into the public domain"),
     ("reserved", r"(?:copyright .*)?all rights reserved"),
     ("copyright", r"(?:\(c\) |©)?copyright .*"),
@@ -83,10 +114,17 @@ RULES = (
     ("BSD-3-Clause", ("bsd:start", "bsd:source", "bsd:binary", "bsd:endorse")),
     ("BSD-2-Clause", ("bsd:start", "bsd:source", "bsd:binary")),
     ("ISC", ("isc:permission",)),
+    ("Apache-2.0", ("apache:title",)),
+    ("Apache-2.0", ("apache:copyright", "apache:patent")),
+    ("Apache-2.0", ("apache:copy",)),
+    ("MPL-2.0", ("mpl:title",)),
+    ("MPL-2.0", ("mpl:copy",)),
+    ("BSL-1.0", ("bsl:permission",)),
+    ("Zlib", ("zlib:permission",)),
     ("Unlicense", ("domain",)),
 )
 MOST_WORDS = 160
-_STOP = re.compile(r"(?<=[.!?])(?=\s|$)")
+_STOP = re.compile(r"(?<=[.!?])(?<![ (][vV]\.)(?=\s|$)")
 _DECORATION = re.compile(r"^[\s*#/;<!>%-]+|[\s*#/]+$")
 
 
@@ -96,20 +134,71 @@ def normalise(sentence: str) -> str:
     return re.sub(r"\s+", " ", text).strip(" .!?,;:")
 
 
-def identify(sentence: str) -> str | None:
-    """The identifier of a known sentence, completed by what it says of version and later versions."""
+def _names(text: str, at: int, spdx: bool = False) -> tuple[list[str], int]:
+    """Identifiers of the licence names that stand at a place, and where they end."""
+    out = []
+    while True:
+        if spdx:
+            found = re.compile(r"([a-z0-9.-]+?)(?:-only)?(?=-or-later|\+|[\s)]|$)").match(text, at)
+            name = found and _SPDX_NAMES.get(found[1])
+        else:
+            found = _NAME.match(text, at)
+            name = found and NAMES[int(found.lastgroup[1:])][0]
+        if not name:
+            return out, at
+        at = found.end()
+        later = _LATER.match(text, at)
+        out.append(f"grant:{name}" + ("+" if later else ""))
+        at = later.end() if later else at + 5 * text.startswith("-only", at)
+        more = re.compile(r" (?:or|and) \(?").match(text, at) if spdx else _AND.match(text, at)
+        if not more:
+            return out, at
+        end, at = at, more.end()
+        if not (spdx or _NAME.match(text, at)):
+            return out, end
+
+
+def _grants(text: str, before: int) -> tuple[list[str], int]:
+    """Identifiers of the grants in a normalised sentence, and the end of the last; the first has to start before ``before``."""
+    out, at = [], 0
+    for start in (_SPDX, _TITLE):
+        if (m := start.match(text)) and (found := _names(text, m.end(), start is _SPDX))[0] and (start is _SPDX or found[1] == len(text)):
+            return found
+    for m in _GRANT.finditer(text):
+        if m.start() and (text[m.start() - 1].isalnum() or _DENIED.search(text[max(0, m.start() - 40) : m.start()])):
+            continue
+        if not out and m.start() >= before:
+            break
+        if m.start() >= at and (found := _names(text, m.end()))[0]:
+            out += found[0]
+            at = found[1]
+    return out, at
+
+
+def identifiers(sentence: str, first: str | None = None) -> list[str]:
+    """What is known of a sentence, completed by what it says of versions; a grant counts if it starts in ``first``."""
     text = normalise(sentence)
+    known = None
     for name, pattern in _KNOWN:
         if m := pattern.fullmatch(text):
             said = m.groupdict()
-            if name == "gpl:free":
+            if name in ("gpl:free", "gpl:title"):
                 name = "grant:" + {None: "GPL-", "lesser": "LGPL-", "affero": "AGPL-"}[said["kind"]] + (said["version"] if "." in said["version"] else said["version"] + ".0")
-            return name + ("+" if said.get("later") else "")
-    return None
+            known = name + ("+" if said.get("later") else "")
+            break
+    if known not in (None, "copyright", "reserved") or text.count(" ") >= MOST_WORDS:
+        return [known] if known else []
+    before = len(text) if first is None else len(normalise(first))
+    return ([known] if known else []) + _grants(text, before)[0]
+
+
+def identify(sentence: str) -> str | None:
+    """The first identifier of a sentence."""
+    return next(iter(identifiers(sentence)), None)
 
 
-def sentences(text: str) -> Iterator[tuple[str, str | None]]:
-    """(sentence, identifier) in order; unfinished lines are joined to later ones where that makes a known sentence."""
+def sentences(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(sentence, identifiers) in order; unfinished lines are joined to later ones where that makes a known sentence."""
     pieces: list[tuple[str, bool]] = []  # text, whether it ends a sentence
     for line in text.splitlines():
         line = _DECORATION.sub("", line)
@@ -119,14 +208,14 @@ def sentences(text: str) -> Iterator[tuple[str, str | None]]:
             pieces[-1] = (pieces[-1][0], True)  # an empty line ends what stands above
     at = 0
     while at < len(pieces):
-        joined, end, found = pieces[at][0], at + 1, None
-        found = identify(joined) if TRIGGER.search(joined) else None
-        while found is None and not pieces[end - 1][1] and end < len(pieces) and len(joined.split()) < MOST_WORDS:
+        joined, end = pieces[at][0], at + 1
+        found = identifiers(joined) if TRIGGER.search(joined) else []
+        while not found and not pieces[end - 1][1] and end < len(pieces) and len(joined.split()) < MOST_WORDS:
             joined += " " + pieces[end][0]
             end += 1
             if TRIGGER.search(joined):
-                found = identify(joined)
-        if found is None:
+                found = identifiers(joined, pieces[at][0])
+        if not found:
             joined, end = pieces[at][0], at + 1
         yield joined, found
         at = end
@@ -157,7 +246,7 @@ def scan(text: str | None) -> tuple[list[str], list[str], int]:
     known, unknown = [], 0
     for sentence, found in sentences(text):
         if found:
-            known.append(found)
+            known += found
         elif re.search(r"\blicen[cs]ed? under\b|\bspdx", sentence, re.I):
             unknown += 1
     return licences(known), known, unknown

@@ -311,6 +311,30 @@ def test_every_known_sentence_has_a_trigger_word():
         assert name.startswith("grant:") or licenses.TRIGGER.search(text), name
 
 
+@pytest.mark.parametrize("text, want", [
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', ["Apache-2.0"]),
+    ("The tables, which we made in 2019, are released under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", ["CC-BY-NC-SA-3.0"]),
+    ("Photos are available under CC BY-SA 2.0 and CC-BY-ND-2.5.", ["CC-BY-SA-2.0", "CC-BY-ND-2.5"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("# SPDX-License-Identifier: CC-BY-SA-3.0", ["CC-BY-SA-3.0"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\n"
+     "file, You can obtain one at http://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+    ("It is free and licensed under the\nGNU GPL version 2 or later, so use it.", ["GPL-2.0+"]),
+    ("                 Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/", ["Apache-2.0"]),
+    ("2. Grant of Copyright License. Subject to the terms and conditions of\nthis License, each Contributor hereby grants to You a perpetual,\nworldwide copyright license to "
+     "reproduce the Work.\n\n3. Grant of Patent License. Subject to the terms and conditions of\nthis License, each Contributor hereby grants to You a perpetual,\n"
+     "worldwide patent license to make the Work.", ["Apache-2.0"]),
+    ("Mozilla Public License Version 2.0", ["MPL-2.0"]), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", ["LGPL-2.1"]),
+    ("Creative Commons Attribution-NoDerivatives 4.0 International Public License", ["CC-BY-ND-4.0"]),
+    ("Copyright 2020 Somebody, licensed under the ISC license.", ["ISC"]), ("It is not licensed under the MIT License.", []), ("Licensed under an MIT-style license.", []),
+    ("He shared under the table.", []), ("Licensed under CC BY 4.1.", []),
+])
+def test_licences_as_they_are_written(text, want):
+    assert licenses.scan(text)[0] == want
+
+
 def test_license_lines_of_the_documents(spark):
     lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
              "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "MIT": "Released under the MIT License."}
