@@ -7,7 +7,7 @@ is denied; sentences of licence texts count as a whole.  A sentence ends at a st
 before white space or at a line's end; lines without a stop are also tried joined to those after them, so that wrapped
 licence texts are found as well as licence lines that follow an unfinished line.
 
-Only texts that hold a trigger word, one of which is in every known sentence, are cut into sentences.  One pass, no
+Only texts that hold a trigger, one of which is in every known sentence however it is wrapped, are cut into sentences.  One pass, no
 shuffle, one document at a time.
 
 Defined results: a null or empty text, or one without licence sentences, has empty lists; repeated rows are scanned
@@ -27,7 +27,12 @@ from pyspark.sql import types as T
 
 from .common import id_type, keyed_text
 
-TRIGGER = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|spdx|\bcc[ -](?:by|0)|\bcc0|free software|as is\b|\b(?:released|distributed|available|provided|published) under\b", re.I)
+#: What may stand between two words of a sentence in the raw text: white space, line decoration, quotes.
+_GAP = r"""[\s*#/;<!>%"'`“”‘’-]+"""
+TRIGGER = re.compile(
+    r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|spdx|\bcc(?:[ -](?:by|0|zero)|0)|free software|as is\b|rights reserved|\bmpl\b|attribution|creative commons|"
+    r"\b(?:released|distributed|available|provided|published|shared|offered|covered|governed|used|reused)(?: to you)? (?:under|by)\b|\b(?:is|are) subject to\b|\bbound by\b"
+    .replace("[ -]", _GAP).replace(" ", _GAP), re.I)
 
 # Names of licences as they are written, and sentences of licence texts.
 _V = r",?[ -]?(?:version |v\.? ?)?"

@@ -335,6 +335,24 @@ def test_licences_as_they_are_written(text, want):
     assert licenses.scan(text)[0] == want
 
 
+def test_triggers_find_sentences_however_they_are_wrapped():
+    verbs = ("licensed under", "released under", "distributed to you under", "available under", "provided under", "published under", "shared under", "offered under",
+             "covered by", "governed by", "redistributed under", "used under", "reused under", "is subject to", "bound by")
+    names = ("GPL, version 3", "ISC", "MPL 2.0", "CC BY 4.0", "CC0", "MIT", "Apache 2.0", "Zlib")
+    said = [f"This program is {v} the {n}." for v in verbs for n in names] + [
+        "All rights reserved.", "Attribution 4.0 International", "Creative Commons Attribution-ShareAlike 3.0 Unported", "CC0 1.0 Universal",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "This is free and unencumbered software released into the public domain.", "GNU General Public License, version 2, June 1991",
+        "This program is distributed in the hope that it will be useful, but without any warranty."]
+    for text in said:
+        assert licenses.identify(text), text
+        for gap in (" ", "  ", "\n", "\n# ", "\t"):
+            licences, known, _ = licenses.scan(text.replace(" ", gap))
+            assert known == licenses.identifiers(text), (text, gap)
+    assert licenses.scan("This program is released\nunder the GPL, version 3.")[0] == ["GPL-3.0"]
+    assert licenses.scan("All rights reserved.") == ([], ["reserved"], 0)
+
+
 def test_license_lines_of_the_documents(spark):
     lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
              "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "MIT": "Released under the MIT License."}
