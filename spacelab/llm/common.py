@@ -116,18 +116,20 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT_FOLDS == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
-    """(text, label) of at most ``bound`` labelled rows outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, target: str, bound: int, most_bytes: int) -> DataFrame:
+    """(id, text, label) of at most ``bound`` labelled ids outside the held-out fold that have a text of at most ``most_bytes``.
 
     Rows are ranked by a hash of their id, so the same rows come from the same tables at every partitioning.
     Conflicting or repeated labels of one id become one row, with the larger label; null labels are left out.
     """
     spark = docs.sparkSession
+    short = keyed_text(docs, "doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
     chosen = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col(target).cast("int")).alias("label"))
+        .join(short.select("id").hint("merge"), "id", "left_semi")  # ids without a document must not use up the bound
         .orderBy(F.xxhash64("id"), "id").limit(bound)
     )
     rows = [(r["id"], r["label"]) for r in chosen.collect()]  # bound rows at most
     table = spark.createDataFrame(rows, T.StructType([T.StructField("id", labels.schema["doc_id"].dataType), T.StructField("label", T.IntegerType())]))
-    return keyed_text(docs, "doc_id", "text").join(F.broadcast(table), "id").select("id", "text", "label")
+    return short.join(F.broadcast(table), "id").select("id", "text", "label")

@@ -294,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label"), pa.array(per_text), part.column("rank"), pa.array(data, pa.binary())], names=["label", "lines", "rank", "data"])
 
-    short = training_rows(docs, labels, target, bound).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    short = training_rows(docs, labels, target, bound, TRAIN_BYTES)
     rows = short.withColumn("rank", F.xxhash64("id")).select("label", "text", "rank").mapInArrow(run, schema)
     got = sorted(rows.collect(), key=lambda r: (r["rank"], r["label"], r["data"]))  # bound rows of features at most
     if not got:

@@ -141,7 +141,7 @@ def fit(features: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], labels:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = TRAIN_BOUND) -> Model:
     """Fit on at most ``bound`` labelled rows; the driver gets ``FEATURES`` grams and each row's feature positions."""
-    rows = written(training_rows(docs, labels, target, bound).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).select("label", "text", F.xxhash64("id").alias("rank")))
+    rows = written(training_rows(docs, labels, target, bound, TRAIN_BYTES).select("label", "text", F.xxhash64("id").alias("rank")))
     totals = {r["y"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(False, 0), totals.get(True, 0)
     counted = (

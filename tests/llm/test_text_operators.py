@@ -156,6 +156,16 @@ def test_classifiers_on_odd_rows(spark, module, target, keep):
         assert {r["score"] for r in module.score(odd, model).collect()} == {model.prior}
 
 
+@pytest.mark.parametrize("module, target", [(quality, "quality"), (toxicity, "toxic")])
+def test_labels_without_a_usable_document_do_not_use_up_the_bound(spark, module, target):
+    table = docs(spark, ["The quick fox runs over a hill." if i % 2 else "idiot scum trash idiot" for i in range(60)] + ["x" * 50] * 60)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], f"doc_id long, {target} int")
+    rows = common.training_rows(table, labels, target, 20, 40).collect()
+    assert len(rows) == 20 and {r["label"] for r in rows} == {0, 1} and all(len(r["text"]) <= 40 for r in rows)
+    got = {r["doc_id"]: r["score"] for r in module.score(table, module.train(table.where("doc_id < 60"), labels, target, 20)).collect()}
+    assert got[1] > 0.5 > got[0]
+
+
 # ----- toxicity -----
 
 
