@@ -35,12 +35,15 @@ def checkpoint_counts(points: DataFrame, codec: CellCodec, samples: int, stages:
     less the cells that first occur in it.  Stage of sample j: the least k with j < floor(samples * k / stages).
     """
     marked = points.select("rep", *codec.columns, _stage(samples, stages).alias("stage"))
-    kept = marked.groupBy("rep", "stage").agg(F.count("*").alias("points"))
-    new = marked.groupBy("rep", *codec.columns).agg(F.min("stage").alias("stage")).groupBy("rep", "stage").agg(F.count("*").alias("new"))
-    so_far = Window.partitionBy("rep").orderBy("stage").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = marked.groupBy("rep", *codec.columns, "stage").agg(F.count("*").alias("n"))  # a row a cell and stage goes on
+    stays = cells.groupBy("rep", *codec.columns).agg(F.min("stage").alias("first"), F.collect_list(F.struct("stage", "n")).alias("at"))
+    each = stays.select("rep", "first", F.inline("at")).groupBy("rep", "stage").agg(
+        F.sum("n").alias("points"), F.count_if(F.col("stage") == F.col("first")).alias("new"))
+    table = each.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("stage", F.struct("points", "new")))).alias("at"))
     numbers = F.sequence(F.lit(1).cast("long"), F.lit(stages).cast("long"))
-    every = kept.select("rep").distinct().select("rep", F.explode(numbers).alias("stage"))
-    found = every.join(kept, ["rep", "stage"], "left").join(new, ["rep", "stage"], "left").na.fill(0)
+    every = table.select("rep", F.explode(numbers).alias("stage"), "at").select("rep", "stage", F.expr("try_element_at(at, stage)").alias("here"))
+    found = every.select("rep", "stage", F.coalesce("here.points", F.lit(0)).alias("points"), F.coalesce("here.new", F.lit(0)).alias("new"))
+    so_far = Window.partitionBy("rep").orderBy("stage").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return found.select(
         "rep", "stage", F.sum("points").over(so_far).alias("points"),
         F.sum(F.col("points") - F.col("new")).over(so_far).alias("collisions"))

@@ -4,7 +4,8 @@ A row of the shuffle is then a sorted run of thousands of indices as one binary
 cost of a row each.  Points of an orbit are made where they are packed, a block at a time, so none of them is ever a
 row.  Tasks sort what they have made or read in portions and collapse repeats into counts before the shuffle, so
 a cell that holds a third of all points travels once a portion.  Runs are dealt by a mixed value, which is even for any
-generator; only spacings need the natural order, and are dealt by value interval.
+generator; only spacings need the natural order, and are dealt by value interval.  Every run says how many points it has and
+which are its least and its largest, so loads and borders of intervals come from a few numbers a run.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from ..sources.orbit import map_orbit
 from .cells import CellCodec
 
 PORTION = 1 << 22  # points that a task sorts at once
+MOST_INTERVAL_BITS = 16
 PART = 1 << 21  # points of a part, about
 MOST_IN_INTERVAL = 1 << 26  # above, spacings go through the row-wise operator, which spills
 _ODD = 0x9E3779B97F4A7C15
 _MIX, _BACK = np.uint64(_ODD), np.uint64(pow(_ODD, -1, 1 << 64))
-RUNS = "rep int, part int, words binary, counts binary"
+RUNS = "rep int, part int, n long, least long, most long, words binary, counts binary"
 
 
 def part_bits(points: int) -> int:
@@ -56,11 +58,19 @@ def _runs(rep: int, words: np.ndarray, counts: np.ndarray | None, bits: int, wid
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits) if bits else np.zeros(0, np.uint64)
     cuts = np.r_[0, np.searchsorted(words, edges), len(words)].tolist()
     full = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
+    first, last = (np.array([cuts[i + k] for i in full], np.int64) for k in (0, 1))
+    flip = np.uint64(1 << 63 if width == 64 else 0)  # least and most are ordered as signed numbers
+    if counts is None:
+        sizes = last - first
+    else:
+        counts = counts.astype(np.int64)
+        sizes = np.add.reduceat(counts, first) if len(full) else first
     return pa.RecordBatch.from_arrays([
-        pa.array([rep] * len(full), pa.int32()), pa.array(full, pa.int32()),
+        pa.array([rep] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(sizes),
+        pa.array((words[first] ^ flip).view(np.int64)), pa.array((words[last - 1] ^ flip).view(np.int64)),
         pa.array([words[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()),
-        pa.array([counts[cuts[i] : cuts[i + 1]].astype(np.int64).tobytes() if counts is not None else b"" for i in full], pa.binary()),
-    ], names=["rep", "part", "words", "counts"])
+        pa.array([counts[cuts[i] : cuts[i + 1]].tobytes() if counts is not None else b"" for i in full], pa.binary()),
+    ], names=["rep", "part", "n", "least", "most", "words", "counts"])
 
 
 Words = Iterator[tuple[int, np.ndarray]]
@@ -116,7 +126,7 @@ class Source:
     spark: SparkSession
     grid: Grid
     expected: int
-    rows: DataFrame
+    rows: DataFrame | None = None
     run: Run | None = None
 
     def runs(self, bits: int, mixed: bool, top: tuple[int, int] | None = None) -> DataFrame:
@@ -188,14 +198,18 @@ def packed_pass_counts(source: Source, b: int = 0, only: int | None = None) -> D
     return _counted(runs, lambda x: x >> shift if b else x, b > 0).withColumnRenamed("unit", "pass")
 
 
-def interval_borders(points: DataFrame, codec: CellCodec, bits: int) -> DataFrame:
+def packed_interval_bits(width: int, points: int, b: int) -> int:
+    """Bits that cut points into intervals of about ``PART``, the 2^b first ones told apart as far as 16 bits go."""
+    return min(width, MOST_INTERVAL_BITS, max((max(points, 1) // PART).bit_length(), b))
+
+
+def interval_borders(runs: DataFrame) -> DataFrame:
     """(rep, part, least, most, n) of each value interval that has points; least and most as ordered BIGINTs."""
-    key = codec.order()[0]
-    return points.groupBy("rep", codec.top(bits).alias("part")).agg(F.min(key).alias("least"), F.max(key).alias("most"), F.count("*").alias("n"))
+    return runs.groupBy("rep", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
 
 
-def packed_class_counts(source: Source, borders: DataFrame, bits: int, b: int = 0, only: int | None = None) -> DataFrame:
-    """(rep, klass, spacings, collisions) of the circular spacings, from packed runs and ``interval_borders``."""
+def packed_class_counts(source: Source, runs: DataFrame, borders: DataFrame, b: int = 0, only: int | None = None) -> DataFrame:
+    """(rep, klass, spacings, collisions) of the circular spacings, from runs by value interval and ``interval_borders``."""
     width, parts = source.grid.width, part_bits(source.expected)
     mask = np.uint64((1 << b) - 1)
 
@@ -218,7 +232,7 @@ def packed_class_counts(source: Source, borders: DataFrame, bits: int, b: int =
         order = np.argsort(gaps)
         return pa.Table.from_batches([_runs(key[0].as_py(), gaps[order], times[order] if times is not None else None, parts)])
 
-    within = source.runs(bits, False).groupBy("rep", "part").applyInArrow(inner, RUNS)
+    within = runs.groupBy("rep", "part").applyInArrow(inner, RUNS)
     below = Window.partitionBy("rep").orderBy("part")
     flip = (lambda c: c) if width < 64 else biased
     full = F.lit((1 << width) - 1).cast("long") if width < 64 else F.lit(-1).cast("long")

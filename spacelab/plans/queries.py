@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import expected_collisions, p_value
+from ..functions.stats import expected_collisions, headroom, p_value, test_mean
 from ..operators.cells import CellCodec, points
 from ..operators.collisions import checkpoint_counts, histogram, pass_counts
 from ..operators.spacings import class_counts, interval_bits, spacings
 from ..sources.generators import PHI, ROMU32, ROMU64, WY4_ADD, WY4_XOR, WY_ADD, WY_XOR
 from ..sources.orbit import orbit
 from ..sources.table import table_draws
-from .runner import run_points
+from .runner import execute, run_points
 from .spec import Grid, Run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +81,7 @@ def _collisions_sql(cells: str, key: str = "0") -> str:
 
 # ----- collision tests -----
 
-PLAIN = Run(Grid(16, 2), m=1 << 17, seed=0xABCD123456789ABC)
+PLAIN = Run(Grid(16, 2), m=1 << 18, seed=0xABCD123456789ABC)
 
 
 @_query("collision_plain", _collisions_sql(_points_sql(PLAIN.seed, PLAIN.samples, PLAIN.grid)))
@@ -147,11 +148,12 @@ def collision_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("checkpoints_orders", """
 WITH p AS (SELECT o_orderkey AS j, (o_custkey & 255) >> 1 AS cell FROM orders WHERE o_custkey % 2 = 0),
 q AS (SELECT j, row_number() OVER (PARTITION BY cell ORDER BY j) > 1 AS again FROM p),
-s AS (SELECT range AS stage, (1 << 20) * range // 64 AS until FROM range(1, 65))
+s AS (SELECT range AS stage, (SELECT max(o_orderkey) + 1 FROM orders) * range // 64 AS until FROM range(1, 65))
 SELECT stage, count(*) AS points, CAST(sum(CAST(again AS INTEGER)) AS BIGINT) AS collisions FROM s JOIN q ON q.j < s.until GROUP BY stage""")
 def checkpoints_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _table(spark, sf_dir, "orders", ["o_custkey"], Grid(8, 1, 56, 1), order="o_orderkey")
-    return checkpoint_counts(kept, CellCodec(7), 1 << 20, 64).where("points > 0").drop("rep")
+    samples = (spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.max("o_orderkey")).first()[0] or 0) + 1
+    return checkpoint_counts(kept, CellCodec(7), samples, 64).where("points > 0").drop("rep")
 
 
 REPEATED = Run(Grid(8, 2), m=4000, reps=3, seed=12345)
@@ -214,6 +216,130 @@ def spacings_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("spacing").agg(F.count("*").alias("n"))
 
 
+# ----- whole runs, as the command line makes them -----
+
+
+def _units(spark: SparkSession, run: Run, source: DataFrame | None = None) -> DataFrame:
+    """What ``execute`` counts: rep, unit, points, collisions."""
+    return execute(spark, run, source).units_frame(spark).select("rep", "unit", "points", "collisions")
+
+
+def _units_sql(units: int, body: str) -> str:
+    """``body`` has unit, points and collisions; units without points are listed too."""
+    return f"""SELECT CAST(1 AS INTEGER) AS rep, CAST(range AS BIGINT) AS unit, CAST(coalesce(points, 0) AS BIGINT) AS points, CAST(coalesce(collisions, 0) AS BIGINT) AS collisions
+      FROM range({units}) LEFT JOIN (SELECT * FROM ({body}) AS b(unit, points, collisions)) ON unit = range"""
+
+
+PACKED = Run(Grid(16, 2), m=1 << 16, b=2, seed=0xABCD123456789ABC)
+PACKED_SQL = _units_sql(4, _collisions_sql(_points_sql(PACKED.seed, PACKED.samples, PACKED.grid), "cell >> 30"))
+
+
+@_query("packed_collision", PACKED_SQL)
+def packed_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, PACKED)
+
+
+@_query("packed_collision_replay", PACKED_SQL)
+def packed_collision_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pass in a scan of its own."""
+    return _units(spark, replace(PACKED, replay=True))
+
+
+@_query("packed_collision_single_pass", f"SELECT * FROM ({PACKED_SQL}) WHERE unit = 2")
+def packed_collision_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, replace(PACKED, only=2))
+
+
+THINNED = Run(Grid(14, 2, d=2), m=4096, b=2, seed=0x0DEC1A7E00000002)
+
+
+@_query("packed_collision_decimated", _units_sql(4, _collisions_sql(_points_sql(THINNED.seed, THINNED.samples, THINNED.grid), "cell >> 22")))
+def packed_collision_decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, THINNED)
+
+
+PACKED_BIRTHDAY = Run(Grid(20, 2), m=10000, b=2, birthday=True, seed=0x0B174DA900000002)
+PACKED_BIRTHDAY_SQL = _units_sql(4, _classes_sql(_points_sql(PACKED_BIRTHDAY.seed, PACKED_BIRTHDAY.samples, PACKED_BIRTHDAY.grid), 40, 2))
+
+
+@_query("packed_birthday", PACKED_BIRTHDAY_SQL)
+def packed_birthday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, PACKED_BIRTHDAY)
+
+
+@_query("packed_birthday_single_class", f"SELECT * FROM ({PACKED_BIRTHDAY_SQL}) WHERE unit = 1")
+def packed_birthday_single_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, replace(PACKED_BIRTHDAY, only=1))
+
+
+STAGED_RUN = Run(Grid(16, 2, d=2), m=16384, checkpoints=True, seed=0x0C0C0C0C00000001)
+
+
+@_query("run_checkpoints", f"""
+WITH p AS (SELECT sample, cell, row_number() OVER (PARTITION BY cell ORDER BY sample) > 1 AS again FROM {_points_sql(STAGED_RUN.seed, STAGED_RUN.samples, STAGED_RUN.grid)}),
+s AS (SELECT range AS stage, {STAGED_RUN.samples} * range // 4 AS until FROM range(1, 5))
+SELECT CAST(1 AS INTEGER) AS rep, stage AS unit, count(*) AS points, CAST(sum(CAST(again AS INTEGER)) AS BIGINT) AS collisions FROM s JOIN p ON p.sample < s.until GROUP BY stage""")
+def run_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, STAGED_RUN)
+
+
+def _steps_points_sql(name: str, samples: int, grid: Grid) -> str:
+    """(sample, cell) of two-dimensional samples of a generator that SQL steps one by one."""
+    e = f"CAST(CAST('0x' || value AS UBIGINT) >> {64 - grid.u} AS BIGINT)"
+    return f"""(SELECT n // 2 AS sample, (max({e}) FILTER (n % 2 = 0) << {grid.u}) | max({e}) FILTER (n % 2 = 1) AS cell FROM ({ORACLE[name]}) WHERE n < {2 * samples} GROUP BY 1)"""
+
+
+STEPPED = Run(Grid(7, 2), m=1200, b=1, seed=0x0123456789ABCDEF)
+
+
+def _add_stepped(kind: str, generator: str) -> None:
+    """Collisions and spacings of a generator that walks or jumps, over several lanes."""
+    cells = _steps_points_sql("gen_" + generator, STEPPED.samples, STEPPED.grid)
+    run = replace(STEPPED, generator=generator)
+    QUERIES[f"run_{kind}_collision"] = lambda spark, sf_dir: _units(spark, run)
+    ORACLE[f"run_{kind}_collision"] = _units_sql(2, _collisions_sql(cells, "cell >> 13"))
+    QUERIES[f"run_{kind}_birthday"] = lambda spark, sf_dir: _units(spark, replace(run, birthday=True))
+    ORACLE[f"run_{kind}_birthday"] = _units_sql(2, _classes_sql(cells, 14, 1))
+
+
+# cells of more than 64 bits: two columns in Spark, one 128-bit number in SQL
+
+_WIDE_GRID = Grid(40, 2, 24)
+_WIDE_LINES = "(SELECT CAST(l_partkey AS HUGEINT) * 1099511627776 + l_suppkey AS cell FROM lineitem)"
+
+
+def _wide_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return table_draws(lines, ["l_partkey", "l_suppkey"]), lines.count()
+
+
+@_query("wide_collision", f"SELECT CAST(1 AS INTEGER) AS rep, pass AS unit, points, collisions FROM ({_collisions_sql(_WIDE_LINES)})")
+def wide_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws, count = _wide_lines(spark, sf_dir)
+    return _units(spark, Run(_WIDE_GRID, m=count), draws)
+
+
+@_query("wide_birthday", f"""WITH s AS {_spacings_sql(_WIDE_LINES, 80)}
+SELECT CAST(1 AS INTEGER) AS rep, CAST(k AS BIGINT) AS unit, CAST(sum(n) AS BIGINT) AS points, CAST(sum(n - 1) AS BIGINT) AS collisions
+FROM (SELECT spacing % 4 AS k, spacing, count(*) AS n FROM s GROUP BY spacing) GROUP BY k""")
+def wide_birthday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws, count = _wide_lines(spark, sf_dir)
+    return _units(spark, Run(_WIDE_GRID, m=-(-count // 4), b=2, birthday=True), draws)
+
+
+WIDEST = Run(Grid(64, 2), m=1000, b=2, birthday=True, seed=7)
+
+
+@_query("widest_birthday", f"""WITH c AS (
+  SELECT max({_wide('value')}) FILTER (n % 2 = 0) * {_wide(M64)} + max({_wide('value')}) FILTER (n % 2 = 1) AS cell FROM {_orbit_sql(7, 2 * WIDEST.samples)} GROUP BY n // 2),
+s AS (SELECT spacing FROM (SELECT cell - lag(cell) OVER (ORDER BY cell) AS spacing FROM c) WHERE spacing IS NOT NULL
+      UNION ALL SELECT {_wide(2**128 - 1)} - max(cell) + min(cell) + {_wide(1)} FROM c)
+SELECT CAST(1 AS INTEGER) AS rep, CAST(k AS BIGINT) AS unit, CAST(sum(n) AS BIGINT) AS points, CAST(sum(n - 1) AS BIGINT) AS collisions
+FROM (SELECT spacing % {_wide(4)} AS k, spacing, count(*) AS n FROM s GROUP BY spacing) GROUP BY k""")
+def widest_birthday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, WIDEST)
+
+
 # ----- statistics -----
 
 
@@ -240,9 +366,28 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "pass long, collisions long, p_value double")
 
 
+@_query("birthday_means", f"""
+WITH c AS ({_collisions_sql(_LINES, "cell >> 16")})
+SELECT pass, points, CAST(points AS DOUBLE) * points * points / (4 * pow(2, 30 + pass)) AS mean FROM c""")
+def birthday_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collision_tradeoff_passes(spark, sf_dir).select("pass", "points").collect()  # a row a pass
+    rows = [(r["pass"], r["points"], test_mean(r["points"], 1 << (30 + r["pass"]), True)) for r in found]
+    return spark.createDataFrame(rows, "pass long, points long, mean double")
+
+
+@_query("headroom_table", f"""
+WITH c AS ({_collisions_sql(_LINES, "cell >> 16")}),
+m AS (SELECT pass, points, pass + 1 AS bits, points / pow(2, pass + 1) AS mean, (pass + 1) * ln(2.0) + 1000 * ln(10.0) AS l FROM c)
+SELECT pass, points, CAST(least(points, ceil(mean + l / 3 + sqrt(l * l / 9 + 2 * mean * l))) AS BIGINT) AS headroom FROM m""")
+def headroom_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collision_tradeoff_passes(spark, sf_dir).select("pass", "points").collect()  # a row a pass
+    rows = [(r["pass"], r["points"], headroom(r["points"], r["pass"] + 1)) for r in found]
+    return spark.createDataFrame(rows, "pass long, points long, headroom long")
+
+
 # ----- generators: the first draws, as hexadecimal text -----
 
-DRAWS = 400
+DRAWS = 5000  # several lanes of the generators that are stepped
 SEED = 0x0123456789ABCDEF
 
 
@@ -287,7 +432,7 @@ def _ubig(x: int) -> str:
 _add_generator("splitmix", f"SELECT {_SHOWN} FROM {_orbit_sql(SEED, DRAWS)}")
 _add_generator("incr", _counter_sql(_state(1, 1)))
 _add_generator("wyrand", _counter_sql(_fold_sql(f"xor({_state(WY_ADD)}, {_ubig(WY_XOR)})", _state(WY_ADD))))
-_add_generator("wyrand-reinerp", _counter_sql(_fold_sql(f"xor({_state(WY_ADD)}, {_ubig(WY_XOR)})", _state(WY_ADD, 1))))
+_add_generator("wyrand-next", _counter_sql(_fold_sql(f"xor({_state(WY_ADD)}, {_ubig(WY_XOR)})", _state(WY_ADD, 1))))
 _add_generator("wyrand-v4", _counter_sql(_fold_sql(_state(WY4_ADD, 1), f"xor({_state(WY4_ADD, 1)}, {_ubig(WY4_XOR)})")))
 _WIDE_LOW = f"({_wide(SEED)} + {_wide('(n + 1)')} * {_wide(WY4_XOR)})"
 _WIDE_HIGH = _mod(f"{_WIDE_LOW} // {_wide(M64)} + {_wide('(n + 1)')} * {_wide(WY4_ADD)}")
@@ -345,3 +490,9 @@ def _middle_square_sql() -> str:
 
 
 _add_generator("MSWS-CTR", _middle_square_sql())
+
+for _kind, _generator in (
+    ("lcg", "lcg_64_64_0xa5b9ee81534fa94d"), ("mwc", "mwc_128_64_0xff96d28c3f3329da"), ("mwc192", "mwc_192_64_0xffa04e67b3c95d86"),
+    ("mwc32", "mwc_128_32_0xfffea2df"), ("romuduo", "romuduo"), ("romutrio32", "romutrio32"),
+):
+    _add_stepped(_kind, _generator)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,14 @@ from pyspark.sql import types as T
 from ..functions.stats import expected_collisions, format_p_value, headroom, p_value, superscript, test_mean
 from ..operators.cells import CellCodec, points
 from ..operators.collisions import checkpoint_counts, pass_counts
-from ..operators.packed import MOST_IN_INTERVAL, Source, interval_borders, packed_class_counts, packed_pass_counts
+from ..operators.packed import MOST_IN_INTERVAL, Source, interval_borders, packed_class_counts, packed_interval_bits, packed_pass_counts
 from ..operators.spacings import class_counts, interval_bits, spacings
 from ..sources.generators import generator
 from ..sources.orbit import orbit
 from ..sources.storage import stored
-from .spec import Run
+from .spec import Run, SpecError
+
+MOST_UNITS = 1 << 20  # units that the driver lists
 
 UNITS = T.StructType([
     T.StructField("rep", T.IntegerType()), T.StructField("unit", T.LongType()), T.StructField("points", T.LongType()),
@@ -92,20 +95,18 @@ def run_points(spark: SparkSession, run: Run) -> DataFrame:
     return points(draws, run.grid).withColumn("rep", rep)
 
 
-def _again(kept: DataFrame, run: Run) -> DataFrame:
-    """Points that are read more than once: stored if making them is the expensive part."""
-    return kept if generator(run.generator).column else stored(kept)
-
-
 def execute(spark: SparkSession, run: Run, source: DataFrame | None = None) -> Result:
     """Run a test.  ``source``: draws from elsewhere (sample_id, draw_0 ..) instead of the generator's orbit."""
     began = time.perf_counter()
+    if run.only is None and run.b and run.reps << run.b > MOST_UNITS:
+        raise SpecError(f"{run.reps} x 2^{run.b} units are more than the {MOST_UNITS} that are listed; run single units")
     codec = CellCodec(run.grid.width)
-    kept = points(source, run.grid).withColumn("rep", F.lit(1)) if source is not None else run_points(spark, run)
+    rows = points(source, run.grid).withColumn("rep", F.lit(1)) if source is not None else None
+    made = Source(spark, run.grid, run.points * run.reps, rows, run if source is None else None)
     result = Result(run)
     work = _birthday if run.birthday else _checkpoints if run.checkpoints else _collisions
-    made = Source(spark, run.grid, run.points * run.reps, kept, run if source is None else None)
-    work(kept, made, codec, run, result)
+    # points as rows are made only where they are asked for: some generators walk their orbit for them
+    work(lambda: rows if rows is not None else run_points(spark, run), made, codec, run, result)
     if run.strict and result.alarms:
         raise NonUniformGenerator("; ".join(result.alarms))
     result.seconds = time.perf_counter() - began
@@ -124,13 +125,17 @@ def _add_rep(result: Result, rep: int, n: int, collisions: int, mean: float) ->
         mean + (last.cum_mean if last else 0.0)))
 
 
-def _collisions(kept: DataFrame, made: Source, codec: CellCodec, run: Run, result: Result) -> None:
+def _units(run: Run) -> list[int | None]:
+    """What is counted in one go: everything, a single unit, or with ``replay`` one unit after the other."""
+    return list(range(1 << run.b)) if run.replay and run.b and run.only is None else [run.only]
+
+
+def _collisions(kept: Callable[[], DataFrame], made: Source, codec: CellCodec, run: Run, result: Result) -> None:
     """Passes in value order; what has added up is compared with as many of the 2^b equal parts of the cells."""
-    if codec.width <= 64:
-        counted = packed_pass_counts(made, run.b, run.only)
-    else:
-        counted = pass_counts(kept, codec, run.b, run.only)
-    got = {(r["rep"], r["pass"]): r for r in counted.collect()}  # 2^b rows a repetition
+    got = {}
+    for only in _units(run):
+        counted = packed_pass_counts(made, run.b, only) if codec.width <= 64 else pass_counts(kept(), codec, run.b, only)
+        got |= {(r["rep"], r["pass"]): r for r in counted.collect()}  # MOST_UNITS rows at most
     cells = float(run.grid.cells)
     part = cells / 2.0**run.b
     cap = headroom(run.samples, run.grid.t * run.grid.d + run.b)
@@ -146,10 +151,9 @@ def _collisions(kept: DataFrame, made: Source, codec: CellCodec, run: Run, resul
         _add_rep(result, rep, n, c, expected_collisions(n, cells))
 
 
-def _checkpoints(kept: DataFrame, made: Source, codec: CellCodec, run: Run, result: Result) -> None:
+def _checkpoints(kept: Callable[[], DataFrame], made: Source, codec: CellCodec, run: Run, result: Result) -> None:
     ends = run.stages()
-    kept = _again(kept, run)
-    got = {(r["rep"], r["stage"]): r for r in checkpoint_counts(kept, codec, run.samples, len(ends)).collect()}
+    got = {(r["rep"], r["stage"]): r for r in checkpoint_counts(kept(), codec, run.samples, len(ends)).collect()}
     cells, bits = float(run.grid.cells), run.grid.t * run.grid.d
     for rep in range(1, run.reps + 1):
         n = c = 0
@@ -164,24 +168,38 @@ def _checkpoints(kept: DataFrame, made: Source, codec: CellCodec, run: Run, resu
         _add_rep(result, rep, n, c, expected_collisions(n, cells))
 
 
-def _birthday(kept: DataFrame, made: Source, codec: CellCodec, run: Run, result: Result) -> None:
-    """Spacing classes; a class's mean is its share of the nominal one, a repetition's depends on the points kept."""
-    kept = _again(kept, run)
-    loads = {(r["rep"], r["pass"]): r["n"] for r in kept.groupBy("rep", codec.top(run.b).alias("pass")).agg(F.count("*").alias("n")).collect()}
-    counted = None
+def _birthday(kept: Callable[[], DataFrame], made: Source, codec: CellCodec, run: Run, result: Result) -> None:
+    """Spacing classes; a class's mean is its share of the nominal one, a repetition's depends on the points kept.
+
+    The orbit is scanned once: its points are stored, as runs by value interval that carry their loads and borders, or
+    beyond 64 bits as rows.
+    """
     if codec.width <= 64:
-        bits = interval_bits(codec, run.points * run.reps, target=1 << 21)
-        borders = stored(interval_borders(kept, codec, bits))  # 2^16 rows a repetition at most
-        if (borders.agg(F.max("n")).first()[0] or 0) <= MOST_IN_INTERVAL:
-            counted = packed_class_counts(made, borders, bits, run.b, run.only)
-    if counted is None:
-        counted = class_counts(spacings(kept, codec, interval_bits(codec, run.points)), codec.width, run.b, run.only)
-    got = {(r["rep"], r["klass"]): r for r in counted.collect()}
-    cells, share = float(run.grid.cells), run.mean / 2.0**run.b
+        bits = packed_interval_bits(codec.width, run.points * run.reps, run.b)
+        runs = stored(made.runs(bits, False), "uncompressed")
+        borders = stored(interval_borders(runs))  # 2^16 rows a repetition at most
+        told = min(run.b, bits)
+        part = F.expr(f"CAST(shiftright(part, {bits - told}) AS BIGINT)")
+        loaded = borders.groupBy("rep", part.alias("pass")).agg(F.sum("n").alias("n"))
+        crowded = (borders.agg(F.max("n")).first()[0] or 0) > MOST_IN_INTERVAL
+    else:
+        told, crowded = min(run.b, 16), True
+        rows = stored(kept())
+        loaded = rows.groupBy("rep", codec.top(told).alias("pass")).agg(F.count("*").alias("n"))
+    loads = {(r["rep"], r["pass"]): r["n"] for r in loaded.collect()}
+    got = {}
+    for only in _units(run):
+        if crowded:
+            rows = rows if codec.width > 64 else kept()
+            counted = class_counts(spacings(rows, codec, interval_bits(codec, run.points)), codec.width, run.b, only)
+        else:
+            counted = packed_class_counts(made, runs, borders, run.b, only)
+        got |= {(r["rep"], r["klass"]): r for r in counted.collect()}
+    share = run.mean / 2.0**run.b
     decimated = run.grid.t * run.grid.d
+    for (rep, k), load in sorted(loads.items()):
+        _alarm(result, f"interval {k} of 2^{told} of repetition {rep}", load, headroom(run.samples, decimated + told))
     for rep in range(1, run.reps + 1):
-        for k in range(1 << run.b):
-            _alarm(result, f"interval {k} of repetition {rep}", loads.get((rep, k), 0), headroom(run.samples, decimated + run.b))
         n, s, c = sum(x for (r, _), x in loads.items() if r == rep), 0, 0
         for done, k in enumerate(range(1 << run.b) if run.only is None else (run.only,), 1):
             r = got.get((rep, k))

@@ -84,6 +84,7 @@ class Run:
     only: int | None = None  # the one unit to run
     pretty: bool = False
     strict: bool = False  # a bin above its headroom is an error
+    replay: bool = False  # scan the orbit anew for each unit, so that only one unit lies on disk
 
     def __post_init__(self):
         g = self.grid

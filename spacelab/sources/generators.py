@@ -141,7 +141,7 @@ def _middle_square(o, x, following):
 _counter("splitmix", "SplitMix", PHI, _splitmix)
 _counter("incr", "incr (counter, x += 1)", 1, lambda o, x, following: following)
 _counter("wyrand", "wyrand", WY_ADD, lambda o, x, following: _fold(o, o.xor(x, o.const(WY_XOR)), x))
-_counter("wyrand-reinerp", "wyrand (reinerp)", WY_ADD, lambda o, x, following: _fold(o, o.xor(x, o.const(WY_XOR)), following))
+_counter("wyrand-next", "wyrand (second factor from the state after the draw)", WY_ADD, lambda o, x, following: _fold(o, o.xor(x, o.const(WY_XOR)), following))
 _counter("wyrand-v4", "wyrand (wyhash v4)", WY4_ADD, lambda o, x, following: _fold(o, following, o.xor(following, o.const(WY4_XOR))))
 _counter("MSWS-CTR", "MSWS-CTR (middle-square Weyl sequence, counter-based)", 1, _middle_square)
 
@@ -204,11 +204,16 @@ def _affine(name: str, title: str, multiplier: int, bits: int) -> None:
             x = o.let(m * x + c)
         return F.shiftleft(x, left) if left else x
 
+    held: list[np.ndarray] = []  # powers of the map, the same for every run
+
     def block(seed: int, first: int, count: int) -> np.ndarray:
         """Powers of the map by doubling, applied to the state before the run."""
-        m, c = np.array([multiplier], np.uint64), np.array([1], np.uint64)
-        while len(m) < count:  # the next half of the powers is the last one applied after the first half
-            m, c = np.r_[m, m * m[-1]], np.r_[c, c * m[-1] + c[-1]]
+        if not held or len(held[0]) < count:
+            m, c = np.array([multiplier], np.uint64), np.array([1], np.uint64)
+            while len(m) < count:  # the next half of the powers is the last one applied after the first half
+                m, c = np.r_[m, m * m[-1]], np.r_[c, c * m[-1] + c[-1]]
+            held[:] = m, c
+        m, c = held
         x = (m[:count] * np.uint64(jump((seed & mask,), first)[0]) + c[:count]) & np.uint64(mask)
         return x << np.uint64(left) if left else x
 

@@ -8,19 +8,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """Driver and executors have no folder in common to write to."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where there is none."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the session has none, a temporary one is set if driver and executors are one process; anywhere else each
+    machine would write to its own disk and the reader would miss rows, so that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spacelab-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all machines share; the master is {context.master}")
+            named = tempfile.mkdtemp(prefix="spacelab-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read back, so that what made it runs once and lost executors cost little."""
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """``df`` written as Parquet and read back: cuts the lineage, what made it runs once, and lost executors cost little.
+
+    The files go when the application's JVM ends.  ``codec``: compression, if not the session's.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -39,10 +39,11 @@ def test_packed_counts(spark, monkeypatch, name, portion):
         assert rows(packed_pass_counts(source, b, only), names) == rows(pass_counts(kept, codec, b, only), names)
     names = ["rep", "klass", "spacings", "collisions"]
     for bits in (0, 4):
-        borders = interval_borders(kept, codec, bits)
+        runs = source.runs(bits, False)
+        borders = interval_borders(runs)
         for b, only in ((0, None), (2, None), (2, 1)):
             want = class_counts(spacings(kept, codec, bits), 20, b, only)
-            assert rows(packed_class_counts(source, borders, bits, b, only), names) == rows(want, names)
+            assert rows(packed_class_counts(source, runs, borders, b, only), names) == rows(want, names)
 
 
 @pytest.mark.parametrize("width", [63, 64])
@@ -51,7 +52,8 @@ def test_packed_spacings_of_wide_cells(spark, width):
     kept = spark.createDataFrame([(1, signed(v)) for v in values], "rep int, cell long")
     source, codec = Source(spark, Grid(width, 1, 0), 10, kept), CellCodec(width)
     for bits in (0, 3):
-        got = rows(packed_class_counts(source, interval_borders(kept, codec, bits), bits, 1), ["klass", "spacings", "collisions"])
+        runs = source.runs(bits, False)
+        got = rows(packed_class_counts(source, runs, interval_borders(runs), 1), ["klass", "spacings", "collisions"])
         assert got == rows(class_counts(spacings(kept, codec, bits), width, 1), ["klass", "spacings", "collisions"])
 
 

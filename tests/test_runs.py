@@ -1,12 +1,14 @@
 """Golden counts of whole runs, and the equivalences between ways of computing them."""
 
+from dataclasses import replace
+
 import pytest
 
 from spacelab.operators.cells import CellCodec
 from spacelab.operators.collisions import histogram
 from spacelab.operators.spacings import class_counts, spacings
 from spacelab.plans.runner import NonUniformGenerator, execute, run_points
-from spacelab.plans.spec import Grid, Run
+from spacelab.plans.spec import Grid, Run, SpecError
 from spacelab.sources.generators import generator
 
 
@@ -52,6 +54,7 @@ GOLDEN = [
     ("birthday", 0x0B174DA900000001, 20, 2, 0, 0, 40000, 40000, 12),
     ("birthday", 3, 30, 2, 2, 0, 40000, 40196, 0),
     ("birthday", 0x0B174DA900000003, 16, 2, 0, 2, 12500, 50000, 6349),
+    ("collision", 0x0D15EA5E0BADF00D, 12, 2, 0, 2, 16384, 65536, 130),
 ]
 
 
@@ -85,6 +88,21 @@ def test_checkpoints(spark):
     assert [(u.points, u.collisions) for u in got.units] == [(5990, 254), (11940, 1086), (18004, 2316), (24112, 4028)]
 
 
+@pytest.mark.parametrize("seed, kept", [(0x0C0C0C0C00000001, 16187), (0x0C0C0C0C00000002, 16422)])
+def test_checkpoints_of_a_sparse_run(spark, seed, kept):
+    got = execute(spark, Run(Grid(16, 2, d=2), m=16384, checkpoints=True, seed=seed))
+    assert len(got.units) == 4 and (got.points, got.collisions) == (kept, 0)
+
+
+def test_breakdowns(spark):
+    for run, want in (
+        (Run(Grid(16, 2), m=65536, b=2, seed=0xABCD123456789ABC), [(65669, 2), (65330, 3), (65394, 2), (65751, 1)]),
+        (Run(Grid(12, 2), m=16384, b=2, seed=0x0D15EA5E0BADF00D), [(16332, 38), (16318, 25), (16480, 36), (16406, 31)]),
+        (Run(Grid(16, 2), m=12500, b=2, birthday=True, seed=0x0B174DA900000003), [(12443, 1623), (12607, 1611), (12493, 1569), (12457, 1546)]),
+    ):
+        assert [(u.points, u.collisions) for u in execute(spark, run).units] == want
+
+
 def test_repetitions_continue_the_orbit(spark):
     got = execute(spark, Run(Grid(8, 2), m=4000, reps=3, seed=12345))
     assert [r.collisions for r in got.reps] == [125, 131, 125]
@@ -93,7 +111,7 @@ def test_repetitions_continue_the_orbit(spark):
 
 @pytest.mark.parametrize("name, u, t, d, s", [
     ("wyrand128", 16, 2, 0, 0), ("lcg_32_32_0xec65035", 11, 3, 0, 0), ("lcg_64_64_0xa5b9ee81534fa94d", 21, 3, 0, 0), ("MSWS-CTR", 32, 2, 0, 0),
-    ("mwc_192_64_0xffa04e67b3c95d86", 13, 5, 0, 0), ("romutrio32", 9, 2, 1, 0), ("wyrand-v4", 40, 2, 1, 5), ("wyrand-reinerp", 6, 2, 0, 58),
+    ("mwc_192_64_0xffa04e67b3c95d86", 13, 5, 0, 0), ("romutrio32", 9, 2, 1, 0), ("wyrand-v4", 40, 2, 1, 5), ("wyrand-next", 6, 2, 0, 58),
     ("incr", 11, 1, 0, 53)])
 def test_against_brute_force_at_every_width(spark, name, u, t, d, s):
     run = Run(Grid(u, t, s, d), generator=name, m=1500, b=1, seed=0x0123456789ABCDEF, reps=2)
@@ -133,6 +151,42 @@ def test_spacings_wrap_and_equal_points(spark):
     assert spacings(points([7]).limit(0), codec, 2).count() == 0
 
 
+@pytest.mark.parametrize("birthday", [False, True])
+@pytest.mark.parametrize("grid", [Grid(16, 2), Grid(40, 2)])
+def test_replay_counts_the_same(spark, birthday, grid):
+    run = Run(grid, "incr", m=1000, b=2, birthday=birthday, reps=2, seed=5)
+    assert execute(spark, replace(run, replay=True)).units == execute(spark, run).units
+
+
+@pytest.mark.parametrize("birthday", [False, True])
+def test_an_orbit_is_walked_once(spark, monkeypatch, birthday):
+    from spacelab.sources import orbit
+
+    walks = []
+    keep = orbit.stored
+    monkeypatch.setattr(orbit, "stored", lambda df: walks.append(1) or keep(df))
+    execute(spark, Run(Grid(9, 2), "romuduo", m=1500, b=1, birthday=birthday))
+    assert len(walks) == 1
+
+
+def test_a_birthday_test_scans_its_points_once(spark, tmp_path):
+    """What is counted reads the stored runs, never the orbit again."""
+    from spacelab.operators.packed import Source, interval_borders, packed_class_counts
+    from spacelab.sources.storage import stored
+
+    run = Run(Grid(10, 2), m=4000, birthday=True)
+    made = Source(spark, run.grid, run.points, run=run)
+    runs = stored(made.runs(2, False), "uncompressed")
+    plan = packed_class_counts(made, runs, interval_borders(runs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan and "parquet" in plan
+
+
+def test_too_many_units_are_refused(spark):
+    with pytest.raises(SpecError):
+        execute(spark, Run(Grid(32, 2), m=1, b=40))
+    assert execute(spark, Run(Grid(32, 2), m=1, b=10, only=3, birthday=True)).run.only == 3
+
+
 def test_alarm(spark):
     run = Run(Grid(20, 1, 44), generator="incr", m=8192, b=2, seed=0)  # low bits of a counter: all in the first interval
     got = execute(spark, run)

@@ -31,7 +31,7 @@ VECTORS = {
     "splitmix": (0xB2C058E4EBB5112C, 0x157A3807A48FAA9D, 0xD573529B34A1D093, 0x176694CC0CB5D669),
     "incr": (0x0123456789ABCDF0, 0x0123456789ABCDF1, 0x0123456789ABCDF2, 0x0123456789ABD1D8),
     "wyrand": (0xB455B6E67FEF10B0, 0x58B962217AAFC627, 0xD7488E0F880DBD37, 0x97225DA3A849E0F6),
-    "wyrand-reinerp": (0x49F219108CA4C0C1, 0x76E4BE579CCA29EF, 0xFA87AECFDA740306, 0xC3B23AE3030E92E6),
+    "wyrand-next": (0x49F219108CA4C0C1, 0x76E4BE579CCA29EF, 0xFA87AECFDA740306, 0xC3B23AE3030E92E6),
     "wyrand-v4": (0x368D5C952174CC4D, 0x09014CED49DD0226, 0x385A54D9BE575D3F, 0x1AEB9231A612D858),
     "wyrand128": (0xEBEFAC339896A947, 0x0DAFDB80DC2122A7, 0x9C3A92A8CBB3ECE2, 0x1667C78718E71C59),
     "romuduo": (0x0123456789ABCDEF, 0xB038422C9C458E05, 0xF6B53360E752809E, 0x312DB96694FDB17C),
@@ -132,16 +132,43 @@ def test_column_arithmetic(spark):
 
 
 def test_means():
-    assert expected_collisions(32e9, 2**64) == 27.755575598712134
-    assert expected_collisions(8e9, 2**64) == 1.7347234755091947
+    assert expected_collisions(32e9, 2**64) == pytest.approx(27.755575598712134, rel=4e-16)
+    assert expected_collisions(8e9, 2**64) == pytest.approx(1.7347234755091947, rel=4e-16)
     assert expected_collisions(7999985821, 2**64 / 16) == pytest.approx(27.7554771, rel=1e-6)
-    assert expected_collisions(8e9, 2.0**60) == 27.755575547961804
-    assert expected_collisions(64e9, 2**64) == 111.0223023323856
+    assert expected_collisions(8e9, 2.0**60) == pytest.approx(27.755575547961804, rel=4e-16)
+    assert expected_collisions(64e9, 2**64) == pytest.approx(111.0223023323856, rel=4e-16)
     assert test_mean(128_000_000_000, 2**108, True) == 1.6155871338926322
     assert expected_collisions(24000, 65536) == pytest.approx(3903.6866499278985, rel=1e-14)
     assert expected_collisions(0, 10) == expected_collisions(1, 10) == 0
 
 
+def test_means_of_few_and_of_many_cells():
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 80
+    for points, cells in ((2, 2), (10, 5), (1000, 7), (5, 49), (5, 51), (100, 50), (10**6, 10**6), (10**9, 10**3), (65536, 2**17), (32 * 10**9, 2**64)):
+        p, c = Decimal(points), Decimal(cells)
+        want = p - c + c * ((1 - 1 / c).ln() * p).exp()
+        assert expected_collisions(points, cells) == pytest.approx(float(want), rel=1e-14)
+    assert expected_collisions(5, 1) == 4
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from spacelab.sources.storage import NoSharedFolder, shared_folder
+
+    held = {"dir": None}
+    context = lambda master: SimpleNamespace(master=master, getCheckpointDir=lambda: held["dir"], setCheckpointDir=lambda d: held.update(dir=d))
+    session = lambda master, conf=None: SimpleNamespace(sparkContext=context(master), conf=SimpleNamespace(get=lambda k, d: conf or d))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(NoSharedFolder):
+            shared_folder(session(master))
+    assert shared_folder(session("yarn", "/shared")) == "/shared"
+    held["dir"] = None
+    assert shared_folder(session("local[2]")).startswith("/")
+
+
 def test_p_values():
     assert p_value(222, 111.0223023323856).number == pytest.approx(1.2959913978087028e-20, rel=1e-11)
     assert p_value(16, 111.0223023323856).eps == pytest.approx(1.804698905648335e-29, rel=1e-11)
