@@ -3,46 +3,19 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import stored as written  # noqa: F401  the operators take it from here
+
 #: Rows whose crc32(doc_id as text) leaves this remainder are never learnt from.
 HELD_OUT_FOLDS = 5
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session has none, as in a bare local test, a temporary one is set.
-    """
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        found = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
-
-    The files go when the application's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

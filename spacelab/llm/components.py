@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps.
 
 Each step replaces edges by edges to the least neighbour, so the list never grows beyond its first size; minima are
-aggregated before the shuffle, and each round is checkpointed in the shared folder.  No part of the graph is collected.
+aggregated before the shuffle, and each step is written in the shared folder once.  No part of the graph is collected.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,19 +19,16 @@ def _mark(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) edges of two longs -> (node, root): the least node reachable, for every node that has an edge to another."""
-    shared_dir(edges.sparkSession)
-    now = (
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    )
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _mark(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = (
+        now = written(
             large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(down.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+            .union(down.select("u", F.col("m").alias("v"))).distinct()
         )
         after = _mark(now)
         if after == before:

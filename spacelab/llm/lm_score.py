@@ -1,24 +1,27 @@
 """Language-model scores: cross-entropy difference of two matched word bigram models.
 
 The target model learns from a chosen part of the corpus, the background model from all of it.  Both share order,
-smoothing and one vocabulary: every word of the corpus, or with ``size`` only the most frequent ones (ties: smaller
-word), any other word being one unknown token.  A token's loss is its negative log-probability given the word before; a
-document's score is the mean over its tokens of target loss minus background loss, lower for texts nearer the target.
+smoothing and one vocabulary, every word of the corpus and one place for a word that is in none of it.  A token's loss
+is its negative log-probability given the word before; a document's score is the mean over its tokens of target loss
+minus background loss, lower for texts nearer the target.  A scored document is part of the background, and of the
+target if it was chosen; its own counts are not taken out, so a document that occurs twice is likelier than one that
+occurs once.
 
 Counting covers every document, word and pair of words.  Documents are dealt by a hash of their id into chunks of about
 ``CHUNK`` bytes, so the number of chunks grows with the corpus.  A chunk counts each of its words and pairs once and
 sends them, as sorted hashes, to buckets; a bucket adds up its share of the count tables and sends each chunk the sums
 of what it asked for; the chunk scores its documents with them.  No table of the model is ever in one place, and none
-goes to the driver.  Words and pairs are told apart by 64-bit hashes.  With ``size`` the model is a dense table instead,
-bounded by the vocabulary and broadcast.
+goes to the driver.  Words and pairs are told apart by 64-bit hashes.
 
 Defined results: a null, empty or blank text has 0 tokens and null losses and score; an empty target gives the uniform
-model; repeated rows count and score each; an empty table gives an empty result; extra columns are not read.
+model; repeated rows count and score each; rows with a null id are dealt by their text; a very long text is cut into
+words piece by piece, and its word numbers (4 bytes a word) are held at once; an empty table gives an empty result;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import count
@@ -31,11 +34,8 @@ from pyspark.sql import types as T
 
 from .common import id_type, keyed_text, pieces, text_bytes
 
-VOCABULARY = 2048  # of the SQL below
 WEIGHT = 0.75  # of the bigram estimate, the rest is the unigram's
-HELD_WORDS = 300_000
 CHUNK = 8 << 20
-UNKNOWN, START = 0, 1
 
 
 def word_runs(text: bytes | None) -> Iterator[list[bytes]]:
@@ -44,83 +44,6 @@ def word_runs(text: bytes | None) -> Iterator[list[bytes]]:
         yield piece.split()
 
 
-def vocabulary(texts: DataFrame, size: int) -> list[bytes]:
-    """The most frequent words; the two first places are the unknown word and the start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out():
-            done = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return done
-
-        for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                for words in word_runs(text):
-                    held.update(words)
-                    if len(held) > HELD_WORDS:
-                        yield out()
-        if held:
-            yield out()
-
-    counted = texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counted.orderBy(F.desc("n"), "word").limit(size - 2).collect()
-    return [b"", b"", *(bytes(r["word"]) for r in best)]
-
-
-def _cells(text: bytes | None, index: dict[bytes, int], size: int) -> np.ndarray:
-    """Bigram cells (word before * size + word) of a text, the start before its first word."""
-    get, before, found = index.get, START, []
-    for words in word_runs(text):
-        if words:
-            ids = np.fromiter((get(w, UNKNOWN) for w in words), np.int64, len(words))
-            found.append((np.r_[before, ids[:-1]] * size + ids).astype(np.int32))
-            before = ids[-1]
-    return np.concatenate(found) if found else np.zeros(0, np.int32)
-
-
-def bigrams(texts: DataFrame, words: list[bytes], size: int) -> np.ndarray:
-    """Counts of all bigrams, as a table of size x size."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i for i, w in enumerate(shared.value) if i > START}
-        counts = np.zeros(size * size, np.int64)
-        for batch in batches:
-            held, waiting = [], 0
-            for text in text_bytes(batch.column("text")):
-                held.append(_cells(text, index, size))
-                waiting += len(held[-1])
-                if waiting > 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held, waiting = [], 0
-            if waiting:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        cells = np.flatnonzero(counts)
-        for a in range(0, len(cells), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(cells[a : a + 100_000].astype(np.int32)), pa.array(counts[cells[a : a + 100_000]])], names=["cell", "n"])
-
-    got = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size^2 rows at most
-    table = np.zeros(size * size, np.int64)
-    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return table.reshape(size, size)
-
-
-def losses(table: np.ndarray, words: int, weight: float = WEIGHT) -> np.ndarray:
-    """Negative log-probability of each word after each word; ``words``: entries in use, the start among them."""
-    size = table.shape[0]
-    once = table.sum(axis=0)
-    single = (once + 1.0) / (once.sum() + words - 1)
-    before = table.sum(axis=1)[:, None]
-    share = np.where(before > 0, weight, 0.0)
-    out = np.empty((size, size))
-    for a in range(0, size, 256):
-        rows = slice(a, a + 256)
-        out[rows] = -np.log(share[rows] * table[rows] / np.maximum(before[rows], 1) + (1 - share[rows]) * single)
-    return out
-
-
 # ----- every word: count tables in buckets -----
 
 SCORED, TARGET, NAMED = 0, 1, 2  # a row to count and score, a further row of the target, the id of a scored row of the target
@@ -276,42 +199,17 @@ def _schema(docs: DataFrame, id_col: str) -> T.StructType:
 
 
 def labelled_difference(docs: DataFrame, good: DataFrame, weight: float = WEIGHT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``cross_entropy_difference`` with every word; the target are the rows whose id is in ``good``."""
+    """As ``cross_entropy_difference``; the target are the rows whose id is in ``good``."""
     names = good.select(F.col(id_col).cast(id_type(docs, id_col)).alias("id"), F.lit(None).cast("string").alias("text"), F.lit(NAMED).alias("kind"))
     rows = keyed_text(docs, id_col, text_col).withColumn("kind", F.lit(SCORED)).union(names.where("id IS NOT NULL"))
     return _differences(_with_every_word(rows, weight, _schema(docs, id_col)), id_col)
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | None = None, weight: float = WEIGHT, id_col: str = "doc_id",
-                             text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_tokens, target_loss, background_loss, score.  ``target``: rows with ``text_col``.
-
-    ``size``: places of the vocabulary; None keeps every word.
-    """
-    spark = docs.sparkSession
-    every = keyed_text(docs, id_col, text_col)
-    schema = _schema(docs, id_col)
-    if size is None:
-        further = target.select(F.lit(None).cast(id_type(docs, id_col)).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(TARGET).alias("kind"))
-        return _differences(_with_every_word(every.withColumn("kind", F.lit(SCORED)).union(further), weight, schema), id_col)
-    words = vocabulary(every, size)
-    tables = (
-        losses(bigrams(target.select(F.col(text_col).cast("string").alias("text")), words, size), len(words), weight).ravel(),
-        losses(bigrams(every, words, size), len(words), weight).ravel(),
-    )
-    shared = spark.sparkContext.broadcast((words, *tables))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, near, far = shared.value
-        index = {w: i for i, w in enumerate(words) if i > START}
-        for batch in batches:
-            found = [_cells(t, index, size) for t in text_bytes(batch.column("text"))]
-            mean = lambda table: pa.array([float(table[c].mean()) if len(c) else None for c in found], pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(c) for c in found], pa.int64()), mean(near), mean(far)],
-                names=["id", "n_tokens", "target_loss", "background_loss"])
-
-    return _differences(every.mapInArrow(run, schema), id_col)
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, weight: float = WEIGHT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, n_tokens, target_loss, background_loss, score.  ``target``: rows with ``text_col``."""
+    every = keyed_text(docs, id_col, text_col).withColumn("kind", F.lit(SCORED))
+    further = target.select(F.lit(None).cast(id_type(docs, id_col)).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(TARGET).alias("kind"))
+    return _differences(_with_every_word(every.union(further), weight, _schema(docs, id_col)), id_col)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,17 +220,16 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
+#: Words, pairs and their counts as plain tables; a target without rows of its own is the uniform model here too.
 ORACLE = rf"""
 WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents),
 tok AS (SELECT doc_id, unnest(w) AS w, unnest(generate_series(1, len(w))) AS i FROM doc WHERE len(w) > 0),
-voc AS (SELECT w FROM (SELECT w, count(*) AS n FROM tok GROUP BY w ORDER BY n DESC, w LIMIT {VOCABULARY - 2})),
-ids AS (SELECT doc_id, i, coalesce(voc.w, ' unknown') AS w FROM tok LEFT JOIN voc USING (w)),
-bi AS (SELECT doc_id, i, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS a FROM ids),
+bi AS (SELECT doc_id, i, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS a FROM tok),
 pair AS (
   SELECT a, w, CAST(count(*) AS DOUBLE) AS f, CAST(count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS DOUBLE) AS t FROM bi GROUP BY a, w),
 bef AS (SELECT a, sum(f) AS bf, sum(t) AS bt FROM pair GROUP BY a),
 one AS (SELECT w, sum(f) AS sf, sum(t) AS st FROM pair GROUP BY w),
-tot AS (SELECT sum(f) AS nf, sum(t) AS nt, (SELECT count(*) FROM voc) + 2 AS v FROM pair),
+tot AS (SELECT sum(f) AS nf, sum(t) AS nt, (SELECT count(*) FROM one) + 2 AS v FROM pair),
 loss AS (
   SELECT a, w, -ln((CASE WHEN bf > 0 THEN {WEIGHT} ELSE 0 END) * f / greatest(bf, 1) + (CASE WHEN bf > 0 THEN {1 - WEIGHT} ELSE 1 END) * (sf + 1) / (nf + v - 1)) AS lf,
          -ln((CASE WHEN bt > 0 THEN {WEIGHT} ELSE 0 END) * t / greatest(bt, 1) + (CASE WHEN bt > 0 THEN {1 - WEIGHT} ELSE 1 END) * (st + 1) / (nt + v - 1)) AS lt

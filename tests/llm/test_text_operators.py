@@ -210,12 +210,11 @@ def test_toxicity_of_held_out_documents(spark):
 
 def test_cross_entropy_difference_by_brute_force(spark):
     texts = [None, "", "  ", "a b a c", "a b a b a b", "Zz zz q", "a b a c"]
-    size, weight = 6, 0.75
+    weight = 0.75
     table = docs(spark, texts)
-    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(table, table.where("doc_id = 4"), size, weight).collect()}
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(table, table.where("doc_id = 4"), weight).collect()}
     tokens = [(t or "").lower().split() for t in texts]
-    counts = Counter(w for t in tokens for w in t)
-    vocabulary = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][: size - 2]
+    vocabulary = {w for t in tokens for w in t}
 
     def losses(corpus):
         bi = Counter()
@@ -244,8 +243,8 @@ def test_cross_entropy_difference_by_brute_force(spark):
             assert got[i]["score"] == pytest.approx(near(ids) - far(ids), abs=1e-5)
         else:
             assert got[i]["score"] is None and got[i]["target_loss"] is None
-    assert lm_score.cross_entropy_difference(table.limit(0), table.limit(0), size).count() == 0
-    assert {r["n_tokens"] for r in lm_score.cross_entropy_difference(table, table.limit(0), size).collect()} == {0, 3, 4, 6}
+    assert lm_score.cross_entropy_difference(table.limit(0), table.limit(0)).count() == 0
+    assert {r["n_tokens"] for r in lm_score.cross_entropy_difference(table, table.limit(0)).collect()} == {0, 3, 4, 6}
 
 
 def test_every_word_of_the_corpus_is_modelled(spark, monkeypatch):
@@ -441,13 +440,13 @@ def test_long_texts_are_read_piece_by_piece(monkeypatch):
     rng = np.random.default_rng(7)
     texts = [" ".join(ITEMS[i][1] or "\t" for i in rng.integers(0, len(ITEMS), n)).encode() for n in (0, 1, 3, 40)] + [b"", None, b" \n ", "é\nü ".encode() * 50]
     owners = {p: {str(i)} for i, t in ITEMS for p in decontam.windows(decontam.split_words((t or "").encode()))}
-    searcher, index = decontam.WuManber(owners), {b"one": 2, b"x": 3, b"item": 4}
+    searcher = decontam.WuManber(owners)
     encoder = packing.Encoder.of(packing.default_tokenizer())
 
     def everything():
         return (
             [searcher.scan(t) for t in texts], [simhash.fingerprint(t) for t in texts], encoder.encode([t and t.decode() for t in texts]),
-            [lm_score._cells(t, index, 10).tolist() for t in texts],
+            [sum(lm_score.word_runs(t), []) for t in texts],
             [sorted(np.concatenate([*toxicity.grams(t), np.zeros(0, np.uint64)]).tolist()) for t in texts])
 
     want = everything()
