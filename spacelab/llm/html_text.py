@@ -1,19 +1,25 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams events; block-level tags end a line, and each line keeps its text and its number
-of tags.  The ratios of characters to tags are smoothed with a Gaussian over neighbouring lines, and a threshold at
-their standard deviation splits lines into content and the rest.  The content lines point to the region: the nearest
-article or main element around most of them, else the deepest element of several lines that holds nine tenths of them.
-The region is returned whole, so short paragraphs, headings and lists of links stay; only elements whose
-name, role, class or id says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-or reader comments are left out.  A form, class or id leaves nothing out where the element holds the page's article or
-most of its text, and inside the region headings, paragraphs and sections stay whatever their class or id, unless that
-is the whole name of an advert, or of reader comments on a section.
-
-Pages are independent: one pass, no shuffle, one page's events in memory at once.
-
-Defined results: null or empty html, or a page without content, gives an empty text with 0 characters; repeated rows
-are extracted each; a null id or url is passed on; an empty table gives an empty result; extra columns are not read.
+of tags.  A line's ratio is its characters outside links to its tags, on a logarithmic scale.  The ratios are smoothed
+with a Gaussian over neighbouring lines, and the threshold that parts them best into two clusters tells content lines
+from the rest.  The smoothed ratios of the content lines, added up along the tree of block elements, choose the region:
+an article or main element, or where there is none the deepest element of several lines that holds nine tenths of the
+sum.  Menus compete by their ratios like anything else, at half their sum; that they are menus is what links show, and
+a menu wins only on a page whose ratios say so.
+
+The region is returned whole, so short paragraphs, headings and lists of links stay; only elements whose name, role,
+class or id says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
+comments are left out of it.  A form, class or id leaves nothing out where the element holds the page's article or most
+of its text, and inside the region headings, paragraphs and sections stay whatever their class or id, unless that is the
+whole name of an advert, or of reader comments on a section.
+
+Pages are independent: one pass, no shuffle, one page's events in memory at once, time in proportion to the page however
+deeply it is nested.
+
+Defined results: null or empty html, or a page without content, gives an empty text with 0 characters; a very long page
+is read whole; ties between regions go to the earlier one; repeated rows are extracted each; a null id or url is passed
+on; an empty table gives an empty result; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +39,9 @@ from .common import portions
 SIGMA = 1.0
 RADIUS = 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+MENUS = frozenset(("nav",))  # they compete with the other regions by their ratios
 NOISE_TAGS = frozenset(
-    "nav footer aside script style noscript template iframe object svg math canvas button select textarea head title dialog menu "
+    "footer aside script style noscript template iframe object svg math canvas button select textarea head title dialog menu "
     "audio video map".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -96,15 +103,21 @@ def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[frozens
     return frozenset(words), always
 
 
+#: text, tags, link characters, element, whether a name, role or style hides it
+Line = tuple[str, int, int, int, bool]
+
+
 class _Lines(HTMLParser):
     """Events -> lines (text, tags, link characters, element, noise)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[Line] = []
         self.parents, self.kinds = [-1], [""]
         self.named: dict[int, tuple[str, frozenset[str], bool]] = {}  # elements that are noise by class, id or form
         self.open: list[tuple[str, int, bool]] = []  # tag, element before it, whether it is noise
+        self.at: dict[str, list[int]] = {}  # places of each tag's open elements in ``open``
+        self.fences: list[int] = []  # places of the open elements of ``_FENCES``
         self.element = 0
         self.noise = self.links = self.articles = 0
         self.parts: list[str] = []
@@ -125,6 +138,9 @@ class _Lines(HTMLParser):
     def _pop(self, at: int) -> None:
         while len(self.open) > at:
             tag, element, noise = self.open.pop()
+            self.at[tag].pop()
+            if self.fences and self.fences[-1] == len(self.open):
+                self.fences.pop()
             if self.element in self.named and element != self.element and tag not in BLOCK_TAGS:
                 self.flush()
             self.element = element
@@ -149,6 +165,9 @@ class _Lines(HTMLParser):
             noise, words = True, ()
         if words and tag not in BLOCK_TAGS:
             self.flush()
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in _FENCES:
+            self.fences.append(len(self.open))
         self.open.append((tag, self.element, noise))
         self.noise += noise
         if tag == "a":
@@ -165,25 +184,24 @@ class _Lines(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # as in a browser, the slash does not close
 
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags, -1 if none is open."""
+        return max((found[-1] for t in tags if (found := self.at.get(t))), default=-1)
+
     def _close_open(self, tags, fences) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in tags:
-                self.flush()
-                self._pop(at)
-                return
-            if self.open[at][0] in fences:
-                return
+        """Close the innermost open element of ``tags`` unless one of ``fences`` stands in between."""
+        at = self._last(tags)
+        if at >= 0 and at >= ((self.fences or (-1,))[-1] if fences is _FENCES else self._last(fences)):
+            self.flush()
+            self._pop(at)
 
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                return
-            if tag not in _FENCES and self.open[at][0] in _FENCES:
-                return  # an inline or paragraph end without a start in this container
+        at = self._last((tag,))
+        if at >= 0 and (tag in _FENCES or at > (self.fences or (-1,))[-1]):  # else an end without a start in this container
+            self._pop(at)
 
     def handle_data(self, data):
         (self.hidden if self.noise else self.parts).append(data)
@@ -194,91 +212,147 @@ class _Lines(HTMLParser):
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
 
+def line_ratios(lines: list[Line]) -> np.ndarray:
+    """Logarithm of each line's characters outside links per tag."""
+    return np.log1p([max(len(text) - linked, 0) / max(tags, 1) for text, tags, linked, _, _ in lines])
+
+
 def smoothed(ratios: np.ndarray) -> np.ndarray:
     """Gaussian mean over neighbouring lines; at the ends over the lines there are."""
     own = np.convolve(ratios, _KERNEL)[RADIUS : RADIUS + len(ratios)]
     return own / np.convolve(np.ones(len(ratios)), _KERNEL)[RADIUS : RADIUS + len(ratios)]
 
 
-def _frames(lines: list[tuple[str, int, int, int, bool]], parents: list[int], kinds: list[str], named: dict) -> set[int]:
+def threshold(values: np.ndarray) -> float:
+    """The least value of the upper of two clusters: the cut of the sorted values with most variance between its sides."""
+    v = np.sort(values)
+    n = len(v)
+    if v[0] == v[-1]:
+        return float(v[0])
+    left = np.arange(1, n)
+    sums = np.cumsum(v)[:-1]
+    apart = (sums / left - (v.sum() - sums) / (n - left)) ** 2 * left * (n - left)
+    apart[v[1:] == v[:-1]] = -1  # equal values are not cut apart
+    return float(v[int(apart.argmax()) + 1])
+
+
+class _Tree:
+    """The block elements of a page, numbered in the order of their starts, so that a child is above its parent and
+    an element's descendants follow it without a gap."""
+
+    def __init__(self, parents: list[int]):
+        self.parents = parents
+        self.last = list(range(len(parents)))
+        for e in range(len(parents) - 1, 0, -1):
+            p = parents[e]
+            self.last[p] = max(self.last[p], self.last[e])
+
+    def summed(self, own: list[float]) -> list[float]:
+        """Each element's own value and those of its descendants."""
+        total = list(own)
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parents[e]] += total[e]
+        return total
+
+    def below(self, marked) -> list[bool]:
+        """Whether an element or one around it is marked."""
+        out: list[bool] = []
+        for e, p in enumerate(self.parents):
+            out.append(bool(marked(e)) or p >= 0 and out[p])
+        return out
+
+    def inside(self, element: int, top: int) -> bool:
+        return top <= element <= self.last[top]
+
+
+def _per_element(count: int, lines: list[Line], value) -> list[float]:
+    own = [0.0] * count
+    for i, x in enumerate(lines):
+        own[x[3]] += value(i, x)
+    return own
+
+
+def _frames(lines: list[Line], tree: _Tree, kinds: list[str], named: dict) -> set[int]:
     """Elements named like noise that hold the page's article or most of its text."""
-    chains = []  # of each line that no name, role or style hides: size, elements around it
-    for text, _, _, element, noise in lines:
-        if not noise:
-            around = []
-            while element >= 0:
-                around.append(element)
-                element = parents[element]
-            chains.append((len(text), around))
-    headed = lambda around: any(kinds[e] in ("main", "h1") for e in around)
-    holds = {e for _, around in chains for k, e in enumerate(around) if e in named and headed(around[:k])}
-    asides = {e for e, (_, words, _) in named.items() if words & _ASIDES and e not in holds}
-    kept = [c for c in chains if asides.isdisjoint(c[1])] or chains
-    total, size = sum(n for n, _ in kept), dict.fromkeys(named, 0)
-    for n, around in kept:
-        for e in around:
-            if e in size:
-                size[e] += n
-    shown = any(headed(around) and not any(e in named for e in around) for _, around in chains)
-    return {e for e, n in size.items() if n > total / 2 and e in holds or n > 0.75 * total and not shown and kinds[e] != "article"}
-
-
-def _hidden(element: int, parents: list[int], named: dict, shown: set[int]) -> bool:
-    while element >= 0:
-        if element in named and element not in shown:
-            return True
-        element = parents[element]
-    return False
-
-
-def main_lines(lines: list[tuple[str, int, int, int, bool]], parents: list[int], kinds: list[str], named: dict) -> list[str]:
+    count = len(kinds)
+    plain = _per_element(count, lines, lambda i, x: 0 if x[4] else len(x[0]))
+    total = tree.summed(plain)
+    heads = [0.0] * count  # text in headings or main elements below
+    for e in range(count - 1, 0, -1):
+        p = tree.parents[e]
+        heads[p] += total[e] if kinds[e] in ("main", "h1") else heads[e]
+    holds = {e for e in named if heads[e] > 0}
+    aside = tree.below(lambda e: e in named and named[e][1] & _ASIDES and e not in holds)
+    kept = [0.0 if aside[e] else n for e, n in enumerate(plain)]
+    if not any(kept):
+        kept = plain
+    size = tree.summed(kept)
+    headed, free = tree.below(lambda e: kinds[e] in ("main", "h1")), tree.below(lambda e: e in named)
+    shown = any(n and headed[e] and not free[e] for e, n in enumerate(plain))
+    return {e for e in named if size[e] > size[0] / 2 and e in holds or size[e] > 0.75 * size[0] and not shown and kinds[e] != "article"}
+
+
+def main_lines(lines: list[Line], parents: list[int], kinds: list[str], named: dict) -> list[str]:
+    """The lines of the region that the ratios choose, without noise."""
     if not lines:
         return []
-    shown = _frames(lines, parents, kinds, named) if named else set()
-    if named:
-        # a heading is never the frame of something else
-        shown |= {e for e, (tag, _, always) in named.items() if tag in _HEADINGS and not always}
-        whole, lines = lines, [(*x[:4], x[4] or _hidden(x[3], parents, named, shown)) for x in lines]
-    ratios = smoothed(np.array([len(x[0]) / max(x[1], 1) for x in lines]))
-    threshold = min(ratios.std(), ratios.mean())
-    usable = [i for i, x in enumerate(lines) if not x[4]]
-    content = [i for i in usable if ratios[i] >= threshold] or usable
-    weight: dict[int, int] = {}
-    main: dict[int, int] = {}
-    for i in content:
-        size, at, nearest = len(lines[i][0]), lines[i][3], -1
-        while at >= 0:
-            weight[at] = weight.get(at, 0) + size
-            if nearest < 0 and kinds[at] == "main":
-                nearest = at
-            at = parents[at]
-        if nearest >= 0:
-            main[nearest] = main.get(nearest, 0) + size
-
-    def inside(element: int, top: int) -> bool:
-        while element > top:
-            element = parents[element]
-        return element == top
-
-    def region(top: int) -> list[str]:
-        found = [i for i in usable if inside(lines[i][3], top)]
-        if named:
-            page_wide = kinds[top] in ("", "html", "body")
-            texts = {e for e, (tag, words, always) in named.items() if not always and (tag == "p" or tag == "section") and not (page_wide and words & _ASIDES)}
-            found = [i for i, x in enumerate(whole) if not x[4] and inside(x[3], top) and not _hidden(x[3], parents, named, shown | texts)]
-        return [lines[i][0] for i in found]
-
-    if main:
-        return region(max(main, key=lambda e: (main[e], -e)))
-    if not content:
+    tree, count = _Tree(parents), len(kinds)
+    shown = _frames(lines, tree, kinds, named) if named else set()
+    # a heading is never the frame of something else
+    shown |= {e for e, (tag, _, always) in named.items() if tag in _HEADINGS and not always}
+    hidden = tree.below(lambda e: e in named and e not in shown)
+    menu = tree.below(lambda e: kinds[e] in MENUS)
+    values = smoothed(line_ratios(lines))
+    cut = threshold(values)
+    free = [not x[4] and not hidden[x[3]] for x in lines]
+    if not any(f and not menu[x[3]] for f, x in zip(free, lines)):
+        return []
+    content = [float(v) if f and v >= cut else 0.0 for f, v in zip(free, values)]
+    if not any(content):  # no text outside links, or content lines that are all noise: the other lines count alike
+        content = [float(f and not menu[x[3]]) for f, x in zip(free, lines)]
+    sums = tree.summed(_per_element(count, lines, lambda i, x: content[i] / 2 if menu[x[3]] else content[i]))
+    tops = [e for e, kind in enumerate(kinds) if kind in MENUS or kind == "main"]
+    nested = tree.summed([sums[e] if kinds[e] == "main" else 0.0 for e in range(count)])
+    # a main element's sum without those of main elements in it, so that the nearest around the lines counts
+    own = {e: sums[e] if kinds[e] in MENUS else sums[e] - _nested(tree, kinds, sums, e, nested) for e in tops}
+    best = max(own, key=lambda e: (own[e], -e), default=0)
+    if not any(kinds[e] == "main" and own[e] > 0 for e in tops) and (not best or own[best] <= sums[0] / 2):
+        best = _common(lines, tree, kinds, [0.0 if menu[x[3]] else c for c, x in zip(content, lines)], free, menu)
+    elif own[best] <= 0:
         return []
-    total = weight.get(0, 0)
-    top = max(e for e, w in weight.items() if w >= 0.9 * total)  # a child's number is above its parent's
-    own = {e: sum(inside(lines[i][3], e) for i in usable) for e in (top, 0)}
-    while top and (kinds[top] in _PARTS or own[top] < 2 <= own[0]):
-        top = parents[top]  # a single paragraph, list or cell is no region
-        own[top] = sum(inside(lines[i][3], top) for i in usable)
-    return region(top)
+    return _region(lines, tree, kinds, named, shown, hidden, menu, best)
+
+
+def _nested(tree: _Tree, kinds: list[str], sums: list[float], top: int, nested: list[float]) -> float:
+    """Sum of the outermost main elements below ``top``."""
+    if nested[top] == sums[top]:
+        return 0.0
+    out, e = 0.0, top + 1
+    while e <= tree.last[top]:
+        if kinds[e] == "main":
+            out += sums[e]
+            e = tree.last[e]
+        e += 1
+    return out
+
+
+def _common(lines: list[Line], tree: _Tree, kinds: list[str], content: list[float], free: list[bool], menu: list[bool]) -> int:
+    """The deepest element of several lines that holds nine tenths of the sum outside menus."""
+    sums = tree.summed(_per_element(len(kinds), lines, lambda i, x: content[i]))
+    lying = tree.summed(_per_element(len(kinds), lines, lambda i, x: float(free[i] and not menu[x[3]])))
+    top = max(e for e, n in enumerate(sums) if n >= 0.9 * sums[0])
+    while top and (kinds[top] in _PARTS or lying[top] < 2 <= lying[0]):
+        top = tree.parents[top]  # a single paragraph, list or cell is no region
+    return top
+
+
+def _region(lines, tree: _Tree, kinds: list[str], named: dict, shown: set[int], hidden: list[bool], menu: list[bool], top: int) -> list[str]:
+    if named:  # headings, paragraphs and sections of the region stay whatever their names
+        page_wide = kinds[top] in ("", "html", "body")
+        texts = {e for e, (tag, words, always) in named.items() if not always and (tag == "p" or tag == "section") and not (page_wide and words & _ASIDES)}
+        hidden = tree.below(lambda e: e in named and e not in shown and e not in texts)
+    asked = menu[top]
+    return [x[0] for x in lines if not x[4] and tree.inside(x[3], top) and not hidden[x[3]] and (asked or not menu[x[3]])]
 
 
 def extract(html: str | None) -> str:

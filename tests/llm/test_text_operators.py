@@ -433,6 +433,38 @@ def test_html_smoothing_is_a_gaussian_mean():
         assert got == pytest.approx(sum(w * v for w, v in near) / sum(w for w, _ in near))
 
 
+def test_html_ratios_choose_the_region(monkeypatch):
+    text = "A sentence of the text that goes on for a while. " * 6
+    links = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(12))
+    pages = {
+        f"<body><nav><ul>{links}</ul></nav><article><h1>Title</h1><p>{text}</p></article></body>": ["Title", text.strip()],
+        f"<body><div><ul>{links}</ul></div><div><h1>Title</h1><p>{text}</p><p>{text}</p><p>Short.</p></div></body>": ["Title", text.strip(), text.strip(), "Short."],
+        f"<body><article><p>Teaser.</p></article><article><p>{text}</p><p>End.</p></article></body>": [text.strip(), "End."],
+    }
+    for page, want in pages.items():
+        assert html_text.extract(page).split("\n\n") == want
+    for made in (lambda lines: np.ones(len(lines)), lambda lines: np.linspace(3, 0, len(lines)) ** 2):
+        monkeypatch.setattr(html_text, "line_ratios", made)
+        assert all(html_text.extract(page).split("\n\n") != want for page, want in list(pages.items())[:2])
+
+
+def test_html_threshold_parts_two_clusters():
+    assert html_text.threshold(np.array([0.1, 5.0, 0.3, 4.0, 4.5, 0.2])) == 4.0
+    assert html_text.threshold(np.array([2.0, 2.0])) == 2.0 and html_text.threshold(np.array([7.0])) == 7.0
+
+
+def test_html_of_deeply_nested_and_long_pages():
+    import time
+
+    n = 50_000
+    for part in ("<div>some words", "<b>x<h1>y", "<article>ab cd", "<div class=sidebar>some words", "<table><tr><td>x"):
+        began = time.perf_counter()
+        html_text.extract(part * n)
+        assert time.perf_counter() - began < 20, part
+    long = "word " * 400_000
+    assert html_text.extract(f"<article><p>{long}</p></article>") == long.strip()
+
+
 # ----- long texts -----
 
 
