@@ -38,6 +38,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def decoded(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
+    """Texts of a string column; bytes that are not UTF-8 become replacement characters."""
+    return [None if b is None else b.decode("utf-8", "replace") for b in text_bytes(column)]
+
+
 def portions(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows with about ``limit`` bytes of text, so that work arrays stay small."""
     import pyarrow.compute as pc
