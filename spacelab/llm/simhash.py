@@ -3,17 +3,23 @@
 Fingerprint: 64 majority bits over the XXH64 hashes (seed 42) of a text's three-word shingles.  Two fingerprints link
 at ``DISTANCE`` or fewer differing bits; documents of a connected component are near-duplicates of each other.
 
-Linking works on distinct fingerprints.  A pivot table holds each fingerprint's Hamming distances to ``PIVOTS`` fixed
-reference fingerprints.  Hamming distance is a metric, so a pair whose distances to one pivot differ by more than
-``DISTANCE`` cannot link; it is discarded, and survivors are verified bit by bit.  A table alone would still visit
-every pair of the corpus, so the pairs are dealt first, without losing any: of five bit ranges, three differing bits
+Linking works on distinct fingerprints.  A table holds each one's Hamming distances to ``PIVOTS`` fixed reference
+fingerprints; it is computed once and stored, and its rows travel with the fingerprints.  Hamming distance is a metric,
+so a pair with a distance to any pivot that differs by more than ``DISTANCE`` cannot link.  A table alone would still
+meet every pair of the corpus, so pairs are dealt first, without losing any: of five bit ranges, three differing bits
 leave two untouched, so linked fingerprints agree in both ranges of at least one of ten range pairs and meet in that
-group.  A group above ``GROUP`` fingerprints is cut into pieces and each pair of pieces becomes a task of its own, so
-memory stays bounded and no group goes to one task.  A group yields a spanning star of each local component, not pairs.
+group.  Inside a group fingerprints are sorted by the pivot distance that spreads most, each meets only the window
+within ``DISTANCE`` of its own, the largest difference over all pivots discards, and survivors are verified bit by bit.
+
+A group above ``GROUP`` fingerprints is cut into pivot cells, ranges of ``CELL`` distances to a few pivots.  A linked
+pair lies in the same or in neighbouring cells, so a fingerprint goes to its own cell and, where one of its distances is
+among the first ``DISTANCE`` of a cell, to the cell below: 2^``MOST_SPLITS`` copies at most, however large the group.
+A group yields a spanning star of each local component, not pairs.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; repeated rows share a
-component; a null id never names a component unless all its ids are null; an empty table gives an empty result; extra
-columns are not read (``dedup`` carries them along unchanged).
+component; a null id never names a component unless all its ids are null; of equal least ids ``dedup`` keeps the first;
+a very long text is hashed piece by piece; an empty table gives an empty result; extra columns, whatever their names,
+are not read (``dedup`` carries them along unchanged).
 """
 
 from __future__ import annotations
@@ -34,8 +40,12 @@ from .components import connected_components
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-PIVOTS = 16
+PIVOTS = 32
 GROUP = 2048
+CELL = 8
+MOST_SPLITS = 6
+#: A fingerprint of more than this share of the rows is joined by broadcast; there are fewer than its inverse.
+HOT_SHARE = 1 / 1000
 #: (first bit, bits) of the five ranges.
 RANGES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -92,6 +102,24 @@ def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ np.uint64(r)) for r in refs], axis=1).astype(np.int8)
 
 
+def pivoted(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (column fp) with the column pivots: the bytes of the fingerprint's row of the pivot table."""
+    schema = T.StructType([*distinct.schema.fields, T.StructField("pivots", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column("fp").to_numpy().view(np.uint64))
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(table.shape[1]), len(table), [None, pa.py_buffer(table.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows.cast(pa.binary())], names=[*batch.schema.names, "pivots"])
+
+    return distinct.mapInArrow(run, schema)
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """The pivot table that a binary column holds."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
+
+
 def _survivors(table: np.ndarray, fps: np.ndarray, i, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) link: pivot coordinates discard, bits verify.  i: an index or an array like j."""
     left = np.arange(len(j))
@@ -104,58 +132,90 @@ def _survivors(table: np.ndarray, fps: np.ndarray, i, j: np.ndarray) -> np.ndarr
     return left[np.bitwise_count(fps[j[left]] ^ ours) <= DISTANCE]
 
 
-def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _star(fps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the components among some fingerprints, by windows along one pivot distance."""
+    along = int(table.astype(np.float32).std(axis=0).argmax())
+    order = np.argsort(table[:, along], kind="stable")
+    fps, table = fps[order], table[order]
+    ends = np.searchsorted(table[:, along], table[:, along] + np.int8(DISTANCE), side="right").tolist()
+    label = np.arange(len(fps))
+    for i, end in enumerate(ends):
+        others = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
+        near = others[_survivors(table, fps, i, others)]
+        if len(near):
+            joined = np.unique(np.r_[label[near], label[i]])
+            label[np.isin(label, joined)] = joined[0]
+    off = np.flatnonzero(label != np.arange(len(fps)))
+    return fps[off], fps[label[off]]
+
+
+def _links(keys: np.ndarray, fps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges among fingerprints of equal key; ``keys`` is sorted, fingerprints of a key are distinct."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     inside = np.repeat(sizes > 1, sizes)
     if not inside.any():
         return fps[:0], fps[:0]
-    keys, fps = keys[inside], fps[inside]
+    fps, table = fps[inside], table[inside]
     sizes = sizes[sizes > 1]
     starts = np.cumsum(sizes) - sizes
-    table = pivot_table(fps)
     left, right = [], []
     small = sizes <= 8
     last = np.repeat(np.where(small, starts + sizes, 0), sizes)
-    for lag in range(1, int(sizes[small].max(initial=1))):
+    for lag in range(1, int(sizes[small].max(initial=1))):  # all small groups at once
         i = np.flatnonzero(np.arange(len(fps)) + lag < last)
         kept = _survivors(table, fps, i, i + lag)
         left.append(fps[i[kept]])
         right.append(fps[i[kept] + lag])
     for start, size in zip(starts[~small].tolist(), sizes[~small].tolist()):
-        own, member = table[start : start + size], fps[start : start + size]
-        label = np.arange(size)
-        for i in range(size - 1):
-            others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-            near = others[_survivors(own, member, i, others)]
-            if len(near):
-                joined = np.unique(np.r_[label[near], label[i]])
-                label[np.isin(label, joined)] = joined[0]
-        off = np.flatnonzero(label != np.arange(size))
-        left.append(member[off])
-        right.append(member[label[off]])
+        u, v = _star(fps[start : start + size], table[start : start + size])
+        left.append(u)
+        right.append(v)
     return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
 
 def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream of (key, fp) sorted by key -> edges (u, v); holds one batch and the key that runs across its end."""
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Stream of (key, fp, pivots) sorted by key -> edges (u, v); holds one batch and the key that runs across its end."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of one key that may go on
 
-    def edges(k, f):
-        u, v = _links(k, f)
+    def edges(keys, fps, table):
+        u, v = _links(keys, fps, table)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     for batch in batches:
-        keys = np.r_[keys, batch.column("key").to_numpy()]
-        fps = np.r_[fps, batch.column("fp").to_numpy().view(np.uint64)]
-        if len(keys):
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield edges(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:], fps[cut:]
-    if len(keys):
-        yield edges(keys, fps)
+        if not batch.num_rows:
+            continue
+        keys, fps, table = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), _rows_of(batch.column("pivots"))
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or held[-1][0][0] != keys[0]):
+            yield edges(*(np.concatenate(x) for x in zip(*held, (keys[:cut], fps[:cut], table[:cut]))))
+            held = []
+        elif cut:
+            yield edges(keys[:cut], fps[:cut], table[:cut])
+        held.append((keys[cut:], fps[cut:], table[cut:]))
+    if held:
+        yield edges(*(np.concatenate(x) for x in zip(*held)))
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, pivots, splits) of crowded groups -> (key of the pivot cell, fp, pivots), copies for the cells below."""
+    for batch in batches:
+        table, splits = _rows_of(batch.column("pivots")), batch.column("splits").to_numpy()
+        place, low = table.astype(np.int64) // CELL, table % CELL < DISTANCE
+        for k in np.unique(splits).tolist():
+            for below in range(1 << k):
+                down = np.array([below >> c & 1 for c in range(k)], bool)
+                rows = np.flatnonzero((splits == k) & (low[:, :k] | ~down).all(axis=1))
+                if len(rows):
+                    key = batch.column("key").to_numpy()[rows].view(np.uint64)
+                    with np.errstate(over="ignore"):
+                        for c in range(k):  # keys of different cells may meet by chance; that only adds pairs to discard
+                            key = (key ^ (key >> np.uint64(29))) * _MIX[0] + (place[rows, c] - int(down[c]) + 1).astype(np.uint64) * _MIX[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), batch.column("fp").take(pa.array(rows)), batch.column("pivots").take(pa.array(rows))], names=["key", "fp", "pivots"])
 
 
 def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
@@ -165,39 +225,50 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
         F.lit(k << 26).bitwiseOR(F.shiftleft(bits[a], 13)).bitwiseOR(bits[b])
         for k, (a, b) in enumerate(combinations(range(len(RANGES)), 2))
     ]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    large = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group))
-    dealt = rows.select(F.shiftleft("key", 24).alias("key"), "fp")
-    if not large.isEmpty():
-        pieces = F.least(F.ceil(F.col("n") / (group // 2)), F.lit(4096)).cast("int")
-        piece = F.pmod(F.xxhash64("fp"), F.col("g")).cast("long")
-        cut = (
-            rows.join(large, "key").withColumn("g", pieces).withColumn("p", piece)
-            .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-            .select(F.shiftleft("key", 24).bitwiseOR(F.shiftleft(F.least("p", "q"), 12)).bitwiseOR(F.greatest("p", "q")).alias("key"), "fp")
-        )
-        dealt = rows.join(large, "key", "left_anti").select(F.shiftleft("key", 24).alias("key"), "fp").union(cut)
+    each = F.explode(F.array(*keys)).alias("key")
+    crowded = written(distinct.select(each).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group))
+    table = distinct if "pivots" in distinct.columns else written(pivoted(distinct.select("fp")))
+    rows = table.select(each, "fp", "pivots")
+    dealt = rows
+    if not crowded.isEmpty():
+        salts = 16  # a group may hold a third of all rows; the join has to spread it
+        splits = F.least(F.ceil(F.log2(F.col("n") / (group // 2))), F.lit(MOST_SPLITS)).cast("int").alias("splits")
+        spread = crowded.select("key", splits, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["key", "salt"], "left")
+        salted = written(salted.select("key", "fp", "pivots", "splits"))
+        dealt = salted.where("splits IS NULL").select("key", "fp", "pivots").union(
+            salted.where("splits IS NOT NULL").mapInArrow(_cells, "key long, fp long, pivots binary"))
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sorted, "u long, v long")
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """(fp, root) of every fingerprint that several rows have or that links to another; fps has a column fp."""
-    distinct = written(fps.groupBy("fp").agg(F.count("*").alias("n")))
+    """(fp, n, root) of every fingerprint that several rows have or that links to another; fps has a column fp."""
+    distinct = written(pivoted(fps.groupBy("fp").agg(F.count("*").alias("n"))))
     found = connected_components(links(distinct))
     return (
-        distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-        .where("n > 1 or root is not null").select("fp", F.coalesce("root", "fp").alias("root"))
+        distinct.select("fp", "n").join(found.withColumnRenamed("node", "fp"), "fp", "left")
+        .where("n > 1 or root is not null").select("fp", "n", F.coalesce("root", "fp").alias("root"))
     )
 
 
+def _with_classes(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined by fp with ``table`` (fp, n and more).  The few fingerprints that a great share of the rows has,
+    such as that of empty texts, are joined by broadcast, so that no task gets all rows of one."""
+    total = rows.count()
+    hot = table.where(F.col("n") > max(HOT_SHARE * total, 1000))
+    once = hot.select("fp")
+    return rows.join(F.broadcast(hot), "fp").unionByName(
+        rows.join(F.broadcast(once), "fp", "left_anti").join(table.join(F.broadcast(once), "fp", "left_anti"), "fp", how))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: id, fingerprint (16 hex digits), component_id (least id of its component)."""
     fps = written(fingerprints(docs, id_col, text_col))
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     member = written(classes(fps).join(least, "fp"))
     least_of = written(member.groupBy("root").agg(F.min("least").alias("component")))
-    named = member.join(least_of, "root").select("fp", "component")
-    return fps.join(named, "fp", "left").select(
+    named = written(member.join(least_of, "root").select("fp", "n", "component"))
+    return _with_classes(fps, named, "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component", "id").alias("component_id"))
 
@@ -216,7 +287,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     whole = written(marked.mapInArrow(run, schema))
     rows = whole.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(uid).alias("c")).alias("rank"))
-    member = written(rows.join(written(classes(rows)), "fp"))
+    member = written(_with_classes(rows, written(classes(rows)), "inner"))
     best = member.groupBy("root").agg(F.min("rank").alias("best")).select(F.col("best.c").alias(uid))
     gone = member.select(F.col("rank.c").alias(uid)).join(best, uid, "left_anti")
     return whole.join(gone.hint("merge"), uid, "left_anti").select(*docs.columns)  # gone grows with the input: no side to broadcast
