@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -72,6 +74,20 @@ def pieces(text: bytes, size: int | None = None) -> Iterator[bytes]:
         at = cut
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; gives back at its end what the allocators keep, since a worker lives on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
     """The rows that ``wanted`` chooses, with the columns and schema of ``docs`` unchanged."""
     at = docs.columns.index(text_col)
@@ -86,7 +102,7 @@ def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[pa.RecordBatch],
                 if kept.num_rows:
                     yield pa.RecordBatch.from_arrays(kept.columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(id_col: str):
@@ -94,20 +110,20 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT_FOLDS == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str, bound: int, most_bytes: int) -> DataFrame:
-    """(id, text, label) of at most ``bound`` labelled ids outside the held-out fold that have a text of at most ``most_bytes``.
+def training_rows(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
+    """(id, text, label) of at most ``bound`` labelled ids outside the held-out fold that have a document, of any length.
 
     Rows are ranked by a hash of their id, so the same rows come from the same tables at every partitioning.
     Conflicting or repeated labels of one id become one row, with the larger label; null labels are left out.
     """
     spark = docs.sparkSession
-    short = keyed_text(docs, "doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    every = keyed_text(docs, "doc_id", "text")
     chosen = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col(target).cast("int")).alias("label"))
-        .join(short.select("id").hint("merge"), "id", "left_semi")  # ids without a document must not use up the bound
+        .join(every.select("id").hint("merge"), "id", "left_semi")  # ids without a document must not use up the bound
         .orderBy(F.xxhash64("id"), "id").limit(bound)
     )
     rows = [(r["id"], r["label"]) for r in chosen.collect()]  # bound rows at most
     table = spark.createDataFrame(rows, T.StructType([T.StructField("id", labels.schema["doc_id"].dataType), T.StructField("label", T.IntegerType())]))
-    return short.join(F.broadcast(table), "id").select("id", "text", "label")
+    return every.join(F.broadcast(table), "id").select("id", "text", "label")

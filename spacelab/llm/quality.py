@@ -7,9 +7,10 @@ the document's evidence, which a logistic curve turns into a score.
 Training: only documents carry labels.  Lines of good documents are good; lines of bad documents start as bad and are
 relabelled once by a line-wise logistic model, so that ordinary lines of a bad document count as good.  The chain is
 then fitted to these lines and the curve to the documents.  At most ``TRAIN_BOUND`` labelled rows outside the held-out
-fold are used (ranked by a hash of their id; texts above ``TRAIN_BYTES`` are not learnt from); their features are
-computed on the executors, and only features come to the driver.  Scoring reads every document whole, once, without a
-shuffle, and holds the features of one chunk of lines at a time.
+fold are used (ranked by a hash of their id); of a text with more than ``TRAIN_LINES`` lines, evenly spaced runs of so
+many lines in all.  Features are computed on the executors, and only features come to the driver.  Scoring reads every
+document whole, once, without a shuffle, and holds the features of one chunk of lines at a time; a line longer than a
+chunk is read in pieces.
 
 Defined results: a null or empty text is one empty line and is scored like any other; with no labelled rows, or only
 one label, every score is the share of label 1 (0.5 without rows); repeated rows score alike; an empty table gives an
@@ -18,6 +19,7 @@ empty result; extra columns are not read (``keep_good`` carries them along uncha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, id_type, keep_rows, keyed_text, portions, text_bytes, training_rows
+from .common import held_out, id_type, keep_rows, keyed_text, lean, portions, text_bytes, training_rows
 
 TRAIN_BOUND = 4000
-TRAIN_BYTES = 1 << 20  # longer texts are no training rows
+TRAIN_LINES = 1024  # of one text
 THRESHOLD = 0.3
 CHUNK = 1 << 20
+CHUNK_LINES = 1 << 14
+LONG_CHAIN = 2000  # lines from which a text is walked alone
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _PUNCT, _SYMBOL, _HIGH, _CONTROL = range(8)
 _CLASS = np.array([
@@ -54,69 +58,170 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:size], _powers[1][:size]
 
 
+#: What is counted of a line besides its bytes by kind.
+_WORDS, _REPEATED, _WIDE, _ODD_END, _ALONE = range(8, 13)
+
+
 def _own_features(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, byte lengths and hashes of the lines in ``buf``, whose last line may lack a line feed."""
-    feeds = np.flatnonzero(buf == 10)
-    ends = np.r_[feeds, len(buf)] if not len(feeds) or feeds[-1] != len(buf) - 1 else feeds
-    starts = np.r_[0, ends[:-1] + 1]
-    lines = len(starts)
-    length = (ends - starts).astype(np.float64)
-    line_of = np.zeros(len(buf) + 1, np.int64)
-    line_of[ends[:-1] + 1] = 1
-    line_of = np.cumsum(line_of[:-1])
-    kind = _CLASS[buf]
-    kind[feeds] = _SPACE
-    counts = np.bincount(line_of * 8 + kind, minlength=lines * 8).reshape(lines, 8).astype(np.float64)
-    counts[:, _SPACE] -= np.isin(ends, feeds)
+    """Features, byte lengths and hashes of the lines in ``buf``, each with its line feed."""
+    if len(buf) > CHUNK and not (buf[:-1] == 10).any():
+        counts, length, whole, last = _long_line(buf[:-1])
+    else:
+        counts, length, whole, last = _line_counts(buf)
+    return _features(counts, length, last), length, whole
+
 
+def _words_of(kind: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word, its hash, and the prefix hashes of the buffer."""
     blank = kind == _SPACE
     first = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
     after = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
-    of = line_of[first]
-    words = np.bincount(of, minlength=lines).astype(np.float64)
     power, inverse = _power_tables(len(buf) + 1)
     with np.errstate(over="ignore"):
         prefix = np.r_[np.uint64(0), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], dtype=np.uint64)]
-        word = (prefix[after] - prefix[first]) * inverse[first]
-        whole = (prefix[ends] - prefix[starts]) * inverse[starts]
-    repeated = np.bincount(of[1:][(word[1:] == word[:-1]) & (of[1:] == of[:-1])], minlength=lines)
-    wide = np.bincount(of[(after - first) > 24], minlength=lines)
-    odd_end = np.bincount(of[kind[after - 1] == _SYMBOL], minlength=lines) if len(after) else np.zeros(lines)
-    alone = np.bincount(of[(after - first == 1) & (kind[first] == _SYMBOL)], minlength=lines) if len(first) else np.zeros(lines)
+        return first, after, (prefix[after] - prefix[first]) * inverse[first], prefix
+
 
+def _line_counts(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, byte length, hash and kind of the last byte of each line."""
+    ends = np.flatnonzero(buf == 10)
+    starts = np.r_[0, ends[:-1] + 1]
+    lines = len(starts)
+    line_of = np.zeros(len(buf) + 1, np.int32)
+    line_of[ends + 1] = 1
+    line_of = np.cumsum(line_of[:-1], dtype=np.int32)
+    kind = _CLASS[buf]
+    kind[ends] = _SPACE
+    counts = np.zeros((lines, 13))
+    counts[:, :8] = np.bincount(line_of * 8 + kind, minlength=lines * 8).reshape(lines, 8)
+    counts[:, _SPACE] -= 1
+    first, after, word, prefix = _words_of(kind, buf)
+    _, inverse = _power_tables(len(buf) + 1)
+    with np.errstate(over="ignore"):
+        whole = (prefix[ends] - prefix[starts]) * inverse[starts]
+    of = line_of[first]
+    for column, lines_of in (
+        (_WORDS, of), (_REPEATED, of[1:][(word[1:] == word[:-1]) & (of[1:] == of[:-1])]), (_WIDE, of[(after - first) > 24]),
+        (_ODD_END, of[kind[after - 1] == _SYMBOL]), (_ALONE, of[(after - first == 1) & (kind[first] == _SYMBOL)]),
+    ):
+        counts[:, column] = np.bincount(lines_of, minlength=lines)
+    length = (ends - starts).astype(np.float64)
+    return counts, length, whole, np.where(length > 0, kind[np.maximum(ends - 1, 0)], _CONTROL)
+
+
+def _long_line(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_line_counts`` of one long line, in pieces; a word that is cut is put together again from its parts' hashes."""
+    counts, whole, done = np.zeros(13), 0, 0
+    open_hash = open_size = 0  # the word that may go on in the next piece
+    open_symbol = before = None  # whether that word ends in a symbol; the hash of the word before it
+
+    def closed(hashes, sizes, symbols):
+        nonlocal before
+        counts[_WORDS] += len(hashes)
+        counts[_REPEATED] += (hashes[1:] == hashes[:-1]).sum() + (before is not None and len(hashes) and int(hashes[0]) == before)
+        counts[_WIDE] += (sizes > 24).sum()
+        counts[_ODD_END] += symbols.sum()
+        counts[_ALONE] += (symbols & (sizes == 1)).sum()
+        before = int(hashes[-1]) if len(hashes) else before
+
+    for at in range(0, len(buf), CHUNK):
+        piece = buf[at : at + CHUNK]
+        kind = _CLASS[piece]
+        counts[:8] += np.bincount(kind, minlength=8)
+        first, after, word, prefix = _words_of(kind, piece)
+        whole = (whole + pow(_ODD, done, 1 << 64) * int(prefix[-1])) % (1 << 64)
+        sizes, symbols = after - first, kind[after - 1] == _SYMBOL if len(after) else np.zeros(0, bool)
+        if open_size and (not len(first) or first[0]):
+            closed(np.array([open_hash], np.uint64), np.array([open_size]), np.array([open_symbol]))
+        elif open_size:
+            word, sizes = word.copy(), sizes.copy()
+            word[0] = np.uint64((open_hash + pow(_ODD, open_size, 1 << 64) * int(word[0])) % (1 << 64))
+            sizes[0] += open_size
+        open_size = 0
+        if len(after) and after[-1] == len(piece):
+            open_hash, open_size, open_symbol = int(word[-1]), int(sizes[-1]), bool(symbols[-1])
+            word, sizes, symbols = word[:-1], sizes[:-1], symbols[:-1]
+        closed(word, sizes, symbols)
+        done += len(piece)
+    if open_size:
+        closed(np.array([open_hash], np.uint64), np.array([open_size]), np.array([open_symbol]))
+    return counts[None, :], np.array([float(len(buf))]), np.array([whole], np.uint64), _CLASS[buf[-1:]]
+
+
+def _features(counts: np.ndarray, length: np.ndarray, last: np.ndarray) -> np.ndarray:
+    words = counts[:, _WORDS]
     safe, per_word = np.maximum(length, 1), np.maximum(words, 1)
-    share = counts / safe[:, None]
+    share = counts[:, :8] / safe[:, None]
     letters = np.maximum(counts[:, _LOWER] + counts[:, _UPPER] + counts[:, _HIGH], 1)
     upper = counts[:, _UPPER] / letters
-    last = np.where(length > 0, kind[np.maximum(ends - 1, 0)], _CONTROL)
+    repeated = counts[:, _REPEATED] / per_word
     parts = [
         np.log1p(length) / 5, np.log1p(words) / 3, np.minimum((length - counts[:, _SPACE]) / per_word / 10, 3),
         share[:, _DIGIT], share[:, _SPACE], share[:, _PUNCT], share[:, _SYMBOL], share[:, _HIGH], share[:, _CONTROL], upper,
-        repeated / per_word, wide / per_word, odd_end / per_word, alone / per_word,
+        repeated, counts[:, _WIDE] / per_word, counts[:, _ODD_END] / per_word, counts[:, _ALONE] / per_word,
         length == 0, last == _PUNCT, words == 1,
     ]
     for x, steps in ((upper, (0.1, 0.3, 0.6)), (share[:, _SYMBOL], (0.005, 0.02, 0.06)), (share[:, _DIGIT], (0.02, 0.1)),
-                     (repeated / per_word, (0.02, 0.1, 0.4)), (share[:, _PUNCT], (0.02, 0.05, 0.1))):
+                     (repeated, (0.02, 0.1, 0.4)), (share[:, _PUNCT], (0.02, 0.05, 0.1))):
         parts += [x > s for s in steps]
-    return np.stack([np.asarray(p, np.float64) for p in parts], axis=1), length, whole
+    out = np.empty((len(length), len(parts)))
+    for k, p in enumerate(parts):
+        out[:, k] = p
+    return out
 
 
 def _line_chunks(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The texts' lines in whole, about CHUNK bytes at once; every text ends in a line feed."""
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    at = 0
-    while at < len(joined):
-        cut = at + CHUNK
-        if cut < len(joined):
-            feeds = np.flatnonzero(joined[at:cut] == 10)
-            if len(feeds):
-                cut = at + int(feeds[-1]) + 1
-            else:
-                while cut < len(joined) and not (joined[cut : cut + CHUNK] == 10).any():
-                    cut += CHUNK
-                cut += int(np.flatnonzero(joined[cut : cut + CHUNK] == 10)[0]) + 1 if cut < len(joined) else 0
-        yield joined[at:cut]
-        at = cut
+    """The texts' lines, each with its line feed: at most CHUNK bytes and CHUNK_LINES lines at once, or one longer line."""
+    held, size = [], 0
+    for text in (*texts, None):
+        if text is None or len(text) >= CHUNK or size + len(text) >= CHUNK:
+            if held:
+                yield from _few_lines(b"\n".join(held) + b"\n")
+                held, size = [], 0
+        if text is not None and len(text) >= CHUNK:
+            yield from _long_text(text)
+        elif text is not None:
+            held.append(text)
+            size += len(text) + 1
+
+
+def _few_lines(data: bytes | memoryview) -> Iterator[np.ndarray]:
+    buf = np.frombuffer(data, np.uint8)
+    feeds = np.flatnonzero(buf == 10)
+    cuts = [0, *(feeds[CHUNK_LINES - 1 :: CHUNK_LINES] + 1).tolist()]
+    for a, b in zip(cuts, [*cuts[1:], len(buf)]):
+        if a < b:
+            yield buf[a:b]
+
+
+def _long_text(text: bytes) -> Iterator[np.ndarray]:
+    view, at = memoryview(text), 0
+    while at + CHUNK < len(text):
+        feed = text.rfind(b"\n", at, at + CHUNK)
+        if feed < 0:
+            feed = text.find(b"\n", at + CHUNK)
+            if feed < 0:
+                break
+            yield np.frombuffer(view[at : feed + 1], np.uint8)
+        else:
+            yield from _few_lines(view[at : feed + 1])
+        at = feed + 1
+    if len(text) - at <= CHUNK:
+        yield from _few_lines(text[at:] + b"\n")
+    else:
+        yield np.frombuffer(text[at:] + b"\n", np.uint8)
+
+
+def sampled(text: bytes) -> bytes:
+    """A text to learn from: the whole of it, or evenly spaced runs of ``TRAIN_LINES`` lines in all."""
+    if text.count(b"\n") < TRAIN_LINES:
+        return text
+    feeds = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+    starts, runs = np.r_[0, feeds + 1], 16
+    size = TRAIN_LINES // runs
+    firsts = np.linspace(0, len(starts) - size, runs).astype(int)
+    ends = np.r_[feeds, len(text)]
+    return b"\n".join(text[starts[a] : ends[a + size - 1]] for a in firsts)
 
 
 def _twice(whole: np.ndarray, length: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -184,6 +289,15 @@ def forward_backward(unary: np.ndarray, per_text: np.ndarray, move: np.ndarray)
     advance together, one line position at a time.
     """
     ahead, back = np.empty(len(unary)), np.zeros(len(unary))
+    alone = np.flatnonzero(per_text > LONG_CHAIN)
+    if len(alone):
+        first = np.cumsum(per_text) - per_text
+        for k in alone.tolist():
+            part = slice(first[k], first[k] + per_text[k])
+            _one_chain(unary[part], move.tolist(), ahead[part], back[part])
+        rest = np.repeat(per_text <= LONG_CHAIN, per_text)
+        ahead[rest], back[rest] = forward_backward(unary[rest], per_text[per_text <= LONG_CHAIN], move)
+        return ahead, back
     order = np.argsort(-per_text, kind="stable")
     sizes = per_text[order]
     starts = (np.cumsum(per_text) - per_text)[order]
@@ -199,6 +313,32 @@ def forward_backward(unary: np.ndarray, per_text: np.ndarray, move: np.ndarray)
     return ahead, back
 
 
+def _one_chain(unary: np.ndarray, move: list[list[float]], ahead: np.ndarray, back: np.ndarray, block: int = 1 << 16) -> None:
+    """``forward_backward`` of one text, line by line, into ``ahead`` and ``back``."""
+    log1p, exp = math.log1p, math.exp
+    (bad_bad, bad_good), (good_bad, good_good) = move
+
+    def added(a: float, b: float) -> float:
+        return a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
+
+    a = None
+    for at in range(0, len(unary), block):
+        out = []
+        for x in unary[at : at + block].tolist():
+            a = x if a is None else x + added(good_good + a, bad_good) - added(good_bad + a, bad_bad)
+            out.append(a)
+        ahead[at : at + block] = out
+    b = 0.0
+    for at in reversed(range(0, len(unary), block)):
+        out = []
+        for x in reversed(unary[at : at + block].tolist()):
+            out.append(b)
+            x += b
+            b = added(good_good + x, good_bad) - added(bad_good + x, bad_bad)
+        out.reverse()
+        back[at : at + block] = out
+
+
 @dataclass
 class Model:
     weights: np.ndarray | None
@@ -287,15 +427,15 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, "text"):
-                features, length, per_text = line_features(text_bytes(part.column("text")))
+                features, length, per_text = line_features([sampled(t or b"") for t in text_bytes(part.column("text"))])
                 table = np.c_[features, length].astype(np.float32)
                 cuts = np.cumsum(per_text)
                 data = [table[a:b].tobytes() for a, b in zip(cuts - per_text, cuts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label"), pa.array(per_text), part.column("rank"), pa.array(data, pa.binary())], names=["label", "lines", "rank", "data"])
 
-    short = training_rows(docs, labels, target, bound, TRAIN_BYTES)
-    rows = short.withColumn("rank", F.xxhash64("id")).select("label", "text", "rank").mapInArrow(run, schema)
+    chosen = training_rows(docs, labels, target, bound)
+    rows = chosen.withColumn("rank", F.xxhash64("id")).select("label", "text", "rank").mapInArrow(lean(run), schema)
     got = sorted(rows.collect(), key=lambda r: (r["rank"], r["label"], r["data"]))  # bound rows of features at most
     if not got:
         return fit(np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
@@ -313,7 +453,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part in portions(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.scores(text_bytes(part.column("text"))))], names=["id", "score"])
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return keyed_text(docs, id_col, text_col).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

@@ -5,8 +5,7 @@ twice, three or five times.  Each has the log-ratio of its smoothed document cou
 logistic model is fitted to indicator times ratio.  An n-gram of up to seven bytes is a number, so grams are compared
 exactly: a small hash table proposes a feature, equality of the number confirms it.
 
-Training uses at most ``TRAIN_BOUND`` labelled rows outside the held-out fold (ranked by a hash of their id; texts above
-``TRAIN_BYTES`` are not learnt from).  Executors count the grams, Spark adds the counts up and keeps the ``FEATURES``
+Training uses at most ``TRAIN_BOUND`` labelled rows outside the held-out fold (ranked by a hash of their id).  Executors count the grams, Spark adds the counts up and keeps the ``FEATURES``
 strongest; the driver gets these and each text's feature numbers.  Scoring reads every document whole, once, without a shuffle.
 
 Defined results: a null or empty text has no grams and gets the constant's score; with no labelled rows, or only one
@@ -17,6 +16,7 @@ result; extra columns are not read (``keep_clean`` carries them along unchanged)
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, id_type, keep_rows, keyed_text, pieces, portions, text_bytes, training_rows, written
+from .common import held_out, id_type, keep_rows, keyed_text, lean, portions, text_bytes, training_rows, written
 
 TRAIN_BOUND = 6000
-TRAIN_BYTES = 4 << 20  # longer texts are no training rows
 ORDERS = (3, 4, 5, 6)
 FEATURES = 4000
 MIN_DOCS = 4
@@ -40,16 +39,40 @@ _SLOTS = 16
 _GRAM = np.uint64((1 << 60) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 18
+PART_BYTES = 1 << 21
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def _runs(text: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The lower-cased text in pieces of about ``_PIECE`` bytes, cut at white space, or where there is none between
+    code points; and whether a piece ends inside a word."""
+    at = 0
+    while at < len(text):
+        end = at + _PIECE
+        inside = False
+        if end < len(text):
+            blank = _BLANK.search(text, end, end + _PIECE)
+            if blank:
+                end = blank.end()
+            else:
+                end += _PIECE
+                inside = end < len(text)
+                while inside and end > at + 1 and end < len(text) and text[end] & 0xC0 == 0x80:
+                    end -= 1
+        yield text[at:end].decode("utf-8", "replace").lower().encode(), inside
+        at = end
 
 
 def grams(text: bytes | None) -> Iterator[np.ndarray]:
     """All n-grams of a text, with repeats, as numbers whose high byte holds the order; piece by piece."""
-    longest, tail, any_word = max(ORDERS), b" ", False
-    for piece in itertools.chain(pieces(text, _PIECE) if text else (), (None,)):
-        words = piece.decode().lower().encode().split() if piece is not None else []
-        any_word = any_word or bool(words)
+    longest, tail, any_word, inside = max(ORDERS), b" ", False, False
+    for piece, goes_on in itertools.chain(_runs(text) if text else (), ((None, False),)):
+        words = piece.split() if piece is not None else []
+        if inside and (piece is None or not words or piece[:1].isspace()):
+            tail, inside = tail + b" ", False
         if words:
-            tail += b" ".join(words) + b" "
+            any_word, inside = True, goes_on and not piece[-1:].isspace()
+            tail += b" ".join(words) + (b"" if inside else b" ")
         if len(tail) > longest and words or piece is None and any_word:
             last = piece is None
             whole = np.ndarray((len(tail),), "<u8", tail + bytes(8), strides=(1,))
@@ -94,25 +117,61 @@ class Model:
         return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def levels(text: bytes) -> np.ndarray:
-    """All features that hold for a text."""
-    g, n = np.unique(np.concatenate(list(grams(text))), return_counts=True)
-    return np.concatenate([g[n >= least] | np.uint64(k << 60) for k, least in enumerate(TIMES)])
+def levels(text: bytes | None) -> Iterator[np.ndarray]:
+    """All features that hold for a text, each once, in parts: a long text is read once for each part of the grams, so
+    that their number in one part is bounded."""
+    parts = max(1, len(text or b"") // PART_BYTES)
+    for part in range(parts):
+        mine = (g if parts == 1 else g[(g * _MIX >> np.uint64(32)) % np.uint64(parts) == np.uint64(part)] for g in grams(text))
+        g, n = _added_up(mine)
+        if len(g):
+            yield np.concatenate([g[n >= least] | np.uint64(k << 60) for k, least in enumerate(TIMES)])
+
+
+def _added_up(runs: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of all runs, sorted, with their counts; repeats are added up as soon as a few runs are there."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, most = 0, 1 << 21
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.concatenate([g for g, _ in held]) if held else np.zeros(0, np.uint64)
+        if all(len(c) == 0 for _, c in held):
+            return np.unique(numbers, return_counts=True)
+        counts = np.concatenate([c if len(c) else np.ones(len(g), np.int64) for g, c in held])
+        order = np.argsort(numbers)
+        numbers, counts = numbers[order], counts[order]
+        first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+        return numbers[first], np.add.reduceat(counts, first)
+
+    for g in runs:
+        held.append((g, g[:0].astype(np.int64)))
+        size += len(g)
+        if size > most:
+            held = [merged()]
+            size, most = len(held[0][0]), max(most, 2 * len(held[0][0]))
+    return held[0] if len(held) == 1 and len(held[0][1]) else merged()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) rows -> (feature, documents of label 0 and 1 that have it), added up within each portion."""
+
+    def rows(label: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        g, n = np.unique(np.concatenate(found), return_counts=True) if len(found) > 1 else (found[0], np.ones(len(found[0]), np.int64))
+        counts = [np.zeros(len(g), np.int64), n.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(counts[1 - label]), pa.array(counts[label])], names=["gram", "n0", "n1"])
+
     for batch in batches:
         for part in portions(batch, "text", 1 << 20):
             for label in (0, 1):
-                texts = [t for t, y in zip(text_bytes(part.column("text")), part.column("label").to_pylist()) if (y > 0) == label]
-                each = [levels(t) for t in texts if t and t.strip()]
-                if each:
-                    g, n = np.unique(np.concatenate(each), return_counts=True)
-                    zero = np.zeros(len(g), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(g.view(np.int64)), pa.array(zero if label else n.astype(np.int64)), pa.array(n.astype(np.int64) if label else zero)],
-                        names=["gram", "n0", "n1"])
+                held = []
+                for text, y in zip(text_bytes(part.column("text")), part.column("label").to_pylist()):
+                    if (y > 0) == label and text and len(text) < PART_BYTES:
+                        held += levels(text)
+                    elif (y > 0) == label:
+                        for found in levels(text):
+                            yield rows(label, [found])
+                if held:
+                    yield rows(label, held)
 
 
 def fit(features: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, ridge: float = 0.02, steps: int = 400) -> Model:
@@ -141,11 +200,11 @@ def fit(features: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], labels:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = TRAIN_BOUND) -> Model:
     """Fit on at most ``bound`` labelled rows; the driver gets ``FEATURES`` grams and each row's feature positions."""
-    rows = written(training_rows(docs, labels, target, bound, TRAIN_BYTES).select("label", "text", F.xxhash64("id").alias("rank")))
+    rows = written(training_rows(docs, labels, target, bound).select("label", "text", F.xxhash64("id").alias("rank")))
     totals = {r["y"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(False, 0), totals.get(True, 0)
     counted = (
-        rows.select("label", "text").mapInArrow(_count, "gram long, n0 long, n1 long")
+        rows.select("label", "text").mapInArrow(lean(_count), "gram long, n0 long, n1 long")
         .groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS)
     )
     rate1, rate0 = (F.col("n1") + SMOOTH) / (n1 + 2 * SMOOTH), (F.col("n0") + SMOOTH) / (n0 + 2 * SMOOTH)
@@ -163,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int
             found = [finder.present(t).astype(np.int32).tolist() if len(table) else [] for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rank"), pa.array(found, pa.list_(pa.int32()))], names=["label", "rank", "found"])
 
-    got = rows.select("label", "rank", "text").mapInArrow(positions, "label int, rank long, found array<int>").collect()  # bound rows
+    got = rows.select("label", "rank", "text").mapInArrow(lean(positions), "label int, rank long, found array<int>").collect()  # bound rows
     got.sort(key=lambda r: (r["rank"], r["label"], r["found"]))
     return fit(table, ratios, [np.array(r["found"], np.int64) for r in got], np.array([int(r["label"] > 0) for r in got]))
 
@@ -176,7 +235,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(text_bytes(batch.column("text"))))], names=["id", "score"])
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return keyed_text(docs, id_col, text_col).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

@@ -125,6 +125,61 @@ def test_features_of_long_lines_do_not_depend_on_chunks(monkeypatch):
     assert all(np.allclose(a, b) for a, b in zip(want, quality.line_features(text)))
 
 
+def test_long_lines_are_put_together_from_pieces(monkeypatch):
+    rng = np.random.default_rng(21)
+    texts = []
+    for n in (300, 700, 2000):
+        words = [bytes(rng.choice(list(b"aB9#|,\xc3\xa9"), int(rng.integers(1, 40)))) for _ in range(n // 10)]
+        words[3:3] = [words[2]] * 4
+        texts += [b" ".join(words), b"  " + b"  ".join(words) + b" #", b"\n".join((words[0], b" ".join(words), b"", b"#" * n, b"end"))]
+    want = quality.line_features(texts)
+    for size in (64, 97, 256):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        monkeypatch.setattr(quality, "CHUNK_LINES", 3)
+        for a, b in zip(want, quality.line_features(texts)):
+            assert np.allclose(a, b)
+
+
+def test_one_long_chain_is_walked_like_many(monkeypatch):
+    rng = np.random.default_rng(22)
+    sizes, move = np.array([5, 40, 1, 23]), rng.normal(size=(2, 2))
+    unary = rng.normal(size=69)
+    want = quality.forward_backward(unary, sizes, move)
+    monkeypatch.setattr(quality, "LONG_CHAIN", 20)
+    assert all(np.allclose(a, b) for a, b in zip(want, quality.forward_backward(unary, sizes, move)))
+
+
+def test_training_reads_runs_of_the_lines_of_a_long_text():
+    short, long = b"a\n" * 20, b"\n".join(b"line %d" % i for i in range(5000))
+    assert quality.sampled(short) == short
+    lines = quality.sampled(long).split(b"\n")
+    assert len(lines) == quality.TRAIN_LINES and lines[0] == b"line 0" and lines[-1] == b"line 4999" and len(set(lines)) == len(lines)
+
+
+@pytest.mark.parametrize("kind", ["quality line", "quality solid", "toxicity line", "toxicity solid"])
+def test_texts_of_64_mb_stay_in_bounded_memory(kind):
+    import pathlib
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+import numpy as np
+from spacelab.llm import quality, toxicity
+which, kind = sys.argv[2].split()
+text = b"some words and " * (64 << 16) if kind == "line" else "\u65e5\u672c\u8a9e".encode() * ((64 << 20) // 9)
+if which == "quality":
+    model = quality.Model(np.ones(quality.line_features([b"a"])[0].shape[1]), np.zeros((2, 2)), np.ones(3), 0.5)
+else:
+    model = toxicity.Model(np.arange(1 << 40, (1 << 40) + 4000, dtype=np.uint64), np.ones(4000), 0.0, 0.5)
+assert 0 <= model.scores([text])[0] <= 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code, str(pathlib.Path(__file__).parents[2]), kind], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 500
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = quality.op5_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -160,7 +215,7 @@ def test_classifiers_on_odd_rows(spark, module, target, keep):
 def test_labels_without_a_usable_document_do_not_use_up_the_bound(spark, module, target):
     table = docs(spark, ["The quick fox runs over a hill." if i % 2 else "idiot scum trash idiot" for i in range(60)] + ["x" * 50] * 60)
     labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], f"doc_id long, {target} int")
-    rows = common.training_rows(table, labels, target, 20, 40).collect()
+    rows = common.training_rows(table.where("doc_id < 60"), labels, target, 20).collect()
     assert len(rows) == 20 and {r["label"] for r in rows} == {0, 1} and all(len(r["text"]) <= 40 for r in rows)
     got = {r["doc_id"]: r["score"] for r in module.score(table, module.train(table.where("doc_id < 60"), labels, target, 20)).collect()}
     assert got[1] > 0.5 > got[0]
@@ -178,6 +233,17 @@ def test_grams_are_exact_at_piece_borders(monkeypatch):
     assert len(want) == sum(len(padded) - n + 1 for n in toxicity.ORDERS)
 
 
+def test_grams_of_words_longer_than_a_piece(monkeypatch):
+    monkeypatch.setattr(toxicity, "_PIECE", 8)
+    monkeypatch.setattr(toxicity, "PART_BYTES", 20)
+    for text in ("日本語の長い文" * 9, "a" * 100 + " " + "É" * 33 + "  \n" + "b" * 16 + " x", " " * 40 + "ab" + " " * 40 + "cd" + " " * 17, "z" * 16 + " " * 16 + "z" * 15):
+        padded = f" {' '.join(text.lower().split())} ".encode()
+        want = Counter(int.from_bytes(padded[i : i + n], "little") | n << 56 for n in toxicity.ORDERS for i in range(len(padded) - n + 1))
+        assert Counter(np.concatenate(list(toxicity.grams(text.encode()))).tolist()) == want
+        found = np.concatenate(list(toxicity.levels(text.encode()))).tolist()
+        assert sorted(found) == sorted(g | k << 60 for g, n in want.items() for k, least in enumerate(toxicity.TIMES) if n >= least)
+
+
 def test_features_are_counted_as_by_brute_force(spark):
     rows = [("aaa aaa", 1), ("aaa", 0), (None, 1), ("", 0), ("aaa aaa", 1)]
     df = spark.createDataFrame(rows, "text string, label int").select("label", "text")
