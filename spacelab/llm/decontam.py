@@ -2,15 +2,19 @@
 
 A pattern is a window of consecutive benchmark words.  Patterns of one length share a shift table over blocks of
 words, which says how far the search may jump when the block under its end is in no pattern or only further left.
-Where the shift is zero, the block selects a bucket of patterns, and direct comparison confirms an occurrence.
+Where the shift is zero, a hash of the suffix selects a bucket of patterns, and direct comparison confirms an occurrence.
 The search reads each document once, needs no shuffle, and keeps one portion of rows in memory.
 
-The benchmark is the fixed side.  It is read in blocks of at most ``block_words`` words, one broadcast and one pass
-for each block, so a benchmark of any size works; usually there is one block.
+The benchmark is the fixed side.  Its words are numbers in one array, a pattern is a place in it, the shift table is an
+array of bytes over hashes, and the buckets are patterns sorted by their suffix hash, so a word of the benchmark takes
+some forty bytes besides its spelling.  The benchmark is read in blocks of at most ``block_bytes`` of text, one broadcast
+and one pass for each, so a benchmark of any size works; usually there is one block.
 
 Defined results: a null or word-less text has no words and no hits; an item without words has no window; items with
 the same id count once; a null item id marks words like any other and is listed as the empty string; repeated document
-rows each get their own row; an empty table gives an empty result; extra columns are not read.
+rows each get their own row; a very long text is searched run by run, its runs overlapping by a pattern less a word; an
+empty table gives an empty result; extra columns, whatever their names, are not read (``decontaminated`` carries them
+along unchanged).
 """
 
 from __future__ import annotations
@@ -18,15 +22,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_type, keep_rows, keyed_text, pieces, portions, text_bytes, written
+from .common import id_type, keep_rows, keyed_text, lean, pieces, portions, text_bytes, written
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_BYTES = 16 << 20
 
 #: A-Z become lower case, a-z, 0-9 and all bytes of non-ASCII characters stay, everything else separates words.
 _FOLD = bytes(
@@ -52,29 +57,64 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-class WuManber:
-    """Finds all occurrences of word patterns; ``owners`` maps a pattern to the ids of the items that have it."""
+LONG = 1 << 18  # bytes from which a text is searched alone
+SUFFIX = 6  # words of a pattern's end that choose its bucket
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SUFFIX)], np.uint64)
+
+
+def _suffix_hashes(words: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words before each end."""
+    out = np.zeros(len(ends), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out += (words[ends - 1 - k].astype(np.uint64) + np.uint64(1)) * _FACTORS[k]
+        return (out ^ (out >> np.uint64(31))) * _FACTORS[0]
+
+
+class _Plan:
+    """The patterns of one length."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, items: np.ndarray, length: int):
+        self.length, self.block, self.width = length, min(2, length), min(SUFFIX, length)
+        self.bits = min(26, max(12, int(8 * len(starts)).bit_length()))
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.uint8 if length < 256 else np.int64)
+        places = self.places(words)
+        for end in range(self.block, length + 1):  # the smaller shifts come later and stay
+            self.shift[places[starts + end - 1]] = length - end
+        keys = _suffix_hashes(words, starts + length, self.width)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.items = keys[order], starts[order], items[order]
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Place in the shift table of the block that ends at each word; places before the first whole block mean nothing."""
+        with np.errstate(over="ignore"):
+            h = (words.astype(np.uint64) + np.uint64(1)) * _FACTORS[0]
+            if self.block == 2 and len(words):
+                h[1:] += (words[:-1].astype(np.uint64) + np.uint64(1)) * _FACTORS[1]
+            return ((h ^ (h >> np.uint64(29))) * _FACTORS[2]) >> np.uint64(64 - self.bits)
+
 
-    def __init__(self, owners: dict[tuple[bytes, ...], set[str]]):
-        by_length: dict[int, list[tuple[bytes, ...]]] = {}
-        for pattern in owners:
-            by_length.setdefault(len(pattern), []).append(pattern)
+class WuManber:
+    """Finds all occurrences of the windows of items, which are (id, words)."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
+        self.names = [name for name, _ in items]
+        self.numbers: dict[bytes, int] = {}  # from 1; 0 is a word of no item
+        counts = np.array([len(words) for _, words in items], np.int64)
+        number = self.numbers
+        self.words = np.fromiter((number.setdefault(w, len(number) + 1) for _, words in items for w in words), np.int32, int(counts.sum()))
+        firsts = np.cumsum(counts) - counts
+        lengths = np.minimum(counts, size)
         self.plans = []
-        for length, patterns in sorted(by_length.items()):
-            block = min(2, length)
-            furthest = length - block + 1
-            shift: dict[tuple[bytes, ...], int] = {}
-            buckets: dict[tuple[bytes, ...], list[tuple[list[bytes], set[str]]]] = {}
-            for pattern in patterns:
-                for end in range(block, length + 1):
-                    key = pattern[end - block : end]
-                    shift[key] = min(shift.get(key, furthest), length - end)
-                buckets.setdefault(pattern[-block:], []).append((list(pattern), owners[pattern]))
-            self.plans.append((length, block, furthest, shift, buckets))
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            mine = np.flatnonzero(lengths == length)
+            windows = counts[mine] - length + 1
+            starts = np.repeat(firsts[mine], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            self.plans.append(_Plan(self.words, starts, np.repeat(mine, windows), length))
 
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """(words of the text, spans, items), run by run; a run starts with the words that a pattern may still need."""
-        longest = max((plan[0] for plan in self.plans), default=1)
+        longest = max((plan.length for plan in self.plans), default=1)
         count, spans, found, tail = 0, [], set(), []
         for run in word_runs(text):
             words = tail + run
@@ -86,27 +126,67 @@ class WuManber:
             tail = words[-(longest - 1) :] if longest > 1 else []
         return count, merged(spans), found
 
+    def scan_all(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """``scan`` of each text; short texts are searched in one go, with a word of no item after each."""
+        out: list = [None] * len(texts)
+        words: list[bytes] = []
+        short, starts = [], []
+        for i, text in enumerate(texts):
+            if text and len(text) > LONG:
+                out[i] = self.scan(text)
+                continue
+            short.append(i)
+            starts.append(len(words))
+            words += split_words(text)
+            words.append(b"")
+        ends = [*starts[1:], len(words)]
+        for i, a, b in zip(short, starts, ends):
+            out[i] = (b - a - 1, [], set())
+        first = np.array(starts, np.int64)
+        for start, end, items in self.occurrences(words):
+            k = int(np.searchsorted(first, start, "right")) - 1
+            _, spans, found = out[short[k]]
+            spans.append((start - starts[k], end - starts[k]))
+            found |= items
+        return [(n, merged(spans) if spans else spans, found) for n, spans, found in out]
+
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged (start, end) word spans that occurrences cover, and the ids of the items found."""
-        spans: list[tuple[int, int]] = []
-        found: set[str] = set()
-        count = len(words)
-        for length, block, furthest, shift, buckets in self.plans:
-            at = length
-            jump = shift.get
-            while at <= count:
-                key = tuple(words[at - block : at])
-                step = jump(key, furthest)
+        spans, found = [], set()
+        for start, end, items in self.occurrences(words):
+            spans.append((start, end))
+            found |= items
+        return merged(spans), found
+
+    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int, set[str]]]:
+        """(start, end, ids of the items) of every occurrence of a pattern."""
+        count, get = len(words), self.numbers.get
+        ids = np.fromiter((get(w, 0) for w in words), np.int32, count)
+        for plan in self.plans:
+            length = plan.length
+            if count < length:
+                continue
+            steps = plan.shift[plan.places(ids)]
+            ends = np.flatnonzero(steps == 0) + 1
+            ends = ends[ends >= length]
+            keys = _suffix_hashes(ids, ends, plan.width)
+            low, high = (np.searchsorted(plan.keys, keys, side) for side in ("left", "right"))
+            steps[ends[low == high] - 1] = 1  # their buckets are empty
+            buckets = dict(zip(ends[low < high].tolist(), zip(low[low < high].tolist(), high[low < high].tolist())))
+            steps = steps.tobytes() if steps.dtype == np.uint8 else steps.tolist()
+            at = length - 1
+            while at < count:
+                step = steps[at]
                 if step:
                     at += step
                     continue
-                here = words[at - length : at]
-                for pattern, items in buckets[key]:
-                    if pattern == here:
-                        spans.append((at - length, at))
-                        found |= items
-                at += 1
-        return merged(spans), found
+                at += 1  # now the end
+                mine = slice(*buckets[at])
+                equal = np.ones(mine.stop - mine.start, bool)
+                for k in range(length):  # compare with every pattern of the bucket
+                    equal &= self.words[plan.starts[mine] + k] == ids[at - length + k]
+                if equal.any():
+                    yield at - length, at, {self.names[i] for i in np.unique(plan.items[mine][equal]).tolist()}
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,16 +199,16 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
     """(item id, text) in blocks of bounded size, streamed from one partition after the other."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text"))
     block: list[tuple[str, bytes]] = []
     size = 0
     for row in rows.toLocalIterator():
-        text = (row["text"] or "").encode()
+        text = bytes(row["text"] or b"")
         block.append((row["item"] or "", text))
-        size += len(split_words(text))
-        if size >= block_words:
+        size += len(text) + 64
+        if size >= block_bytes:
             yield block
             block, size = [], 0
     if block:
@@ -142,12 +222,8 @@ def _searcher(shared, window: int) -> WuManber:
     """The tables of a broadcast block, built once in each Python worker."""
     key = (shared.id, window)
     if key not in _tables:
-        owners: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in shared.value:
-            for pattern in windows(split_words(text), window):
-                owners.setdefault(pattern, set()).add(item)
         _tables.clear()
-        _tables[key] = WuManber(owners)
+        _tables[key] = WuManber([(item, split_words(text)) for item, text in shared.value], window)
     return _tables[key]
 
 
@@ -168,7 +244,7 @@ class _Block:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+                  window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: id, n_words, n_hit, n_items, items (sorted), spans (merged word ranges), contaminated."""
     spark = docs.sparkSession
     key = T.StructField(id_col, id_type(docs, id_col))
@@ -179,13 +255,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def one_pass(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scan = _searcher(block, window).scan
+            scan = _searcher(block, window).scan_all
             for batch in batches:
-                for part in portions(batch, "text"):
+                for part in portions(batch, "text", 2 << 20):
                     before = zip(part.column("items").to_pylist(), part.column("spans").to_pylist()) if "items" in part.schema.names else None
                     counts, all_items, all_spans = [], [], []
-                    for text in text_bytes(part.column("text")):
-                        n_words, spans, items = scan(text)
+                    for n_words, spans, items in scan(text_bytes(part.column("text"))):
                         if before is not None:
                             old_items, old_spans = next(before)
                             items = items | set(old_items)
@@ -201,11 +276,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         more = block is not last
         return run
 
-    blocks = [_Block(spark, rows) for rows in benchmark_blocks(benchmark, block_words)] or [_Block(spark, [])]
+    blocks = [_Block(spark, rows) for rows in benchmark_blocks(benchmark, block_bytes)] or [_Block(spark, [])]
     last = blocks[-1]
     out = keyed_text(docs, id_col, text_col)
     for n, block in enumerate(blocks):
-        out = out.mapInArrow(one_pass(block), inner)
+        out = out.mapInArrow(lean(one_pass(block)), inner)
         if n % 3 == 2 and block is not last:
             out = written(out)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
@@ -215,15 +290,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW,
-                   block_words: int = BLOCK_WORDS) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, columns unchanged."""
     spark = docs.sparkSession
-    for n, rows in enumerate(benchmark_blocks(benchmark, block_words)):
+    for n, rows in enumerate(benchmark_blocks(benchmark, block_bytes)):
         block = _Block(spark, rows)
 
         def clean(part: pa.RecordBatch, block=block) -> list[bool]:
-            scan = _searcher(block, window).scan
-            return [not scan(text)[1] for text in text_bytes(part.column("text"))]
+            return [not spans for _, spans, _ in _searcher(block, window).scan_all(text_bytes(part.column("text")))]
 
         docs = keep_rows(docs, text_col, clean)
         if n % 3 == 2:

@@ -54,21 +54,43 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 12])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 200])
+def test_decontamination(spark, block_bytes):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     table = docs(spark, TEXTS).union(docs(spark, [TEXTS[4]], start=4))
-    got = frame(decontam.digest(decontam.contamination(table, bench, block_words=block_words)))
+    got = frame(decontam.digest(decontam.contamination(table, bench, block_bytes=block_bytes)))
     want = []
     for i, t in [*enumerate(TEXTS), (4, TEXTS[4])]:
         n, hit, found = brute_hits(t, ITEMS)
         want.append((i, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0))
     assert sorted(got) == sorted(want)
-    clean = decontam.decontaminated(table, bench, block_words=block_words)
+    clean = decontam.decontaminated(table, bench, block_bytes=block_bytes)
     assert clean.schema == table.schema
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(w[0] for w in want if not w[5])
 
 
+def test_texts_searched_together_are_searched_alone(monkeypatch):
+    monkeypatch.setattr(decontam, "LONG", 60)
+    searcher = decontam.WuManber([(str(i), decontam.split_words((t or "").encode())) for i, t in ITEMS])
+    texts = [t and t.encode() for t in [*TEXTS, "short", "item", "one two three four five", "six seven eight nine ten"]]
+    assert searcher.scan_all(texts) == [searcher.scan(t) for t in texts]
+    assert searcher.scan_all([]) == [] and decontam.WuManber([]).scan_all([b"a b", None]) == [(2, [], set()), (0, [], set())]
+
+
+def test_a_benchmark_of_a_million_words_fits():
+    import tracemalloc
+
+    rng = np.random.default_rng(31)
+    names = [b"w%d" % i for i in range(50_000)]
+    items = [(str(k), [names[i] for i in rng.integers(0, 50_000, 100)]) for k in range(10_000)]
+    tracemalloc.start()
+    searcher = decontam.WuManber(items)
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    text = [b"x"] * 20 + items[77][1][5:40] + [b"y"] + items[9999][1][90:]
+    assert searcher.search(text) == ([(20, 55), (56, 66)], {"77", "9999"})
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.contamination(docs(spark, []), bench).count() == 0
@@ -83,7 +105,7 @@ def test_wu_manber_finds_what_brute_force_finds():
         patterns = {tuple(letters[i] for i in rng.integers(0, 3, n)): {str(n)} for n in rng.integers(1, 7, 8)}
         text = [letters[i] for i in rng.integers(0, 3, 60)]
         spans = [(i, i + len(p)) for p in patterns for i in range(60 - len(p) + 1) if tuple(text[i : i + len(p)]) == p]
-        got, items = decontam.WuManber(patterns).search(text)
+        got, items = decontam.WuManber([(name, list(p)) for p, names in patterns.items() for name in names]).search(text)
         assert got == decontam.merged(spans)
         assert items == set().union(*(o for p, o in patterns.items() if any(tuple(text[a:b]) == p for a, b in spans)), set())
 
@@ -642,8 +664,7 @@ def test_html_of_deeply_nested_and_long_pages():
 def test_long_texts_are_read_piece_by_piece(monkeypatch):
     rng = np.random.default_rng(7)
     texts = [" ".join(ITEMS[i][1] or "\t" for i in rng.integers(0, len(ITEMS), n)).encode() for n in (0, 1, 3, 40)] + [b"", None, b" \n ", "é\nü ".encode() * 50]
-    owners = {p: {str(i)} for i, t in ITEMS for p in decontam.windows(decontam.split_words((t or "").encode()))}
-    searcher = decontam.WuManber(owners)
+    searcher = decontam.WuManber([(str(i), decontam.split_words((t or "").encode())) for i, t in ITEMS])
     encoder = packing.Encoder.of(packing.default_tokenizer())
 
     def everything():
