@@ -29,6 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application's JVM ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read back: cuts the lineage, what made it runs once, and lost executors cost little.
 
@@ -38,6 +44,5 @@ def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write if codec is None else df.write.option("compression", codec)
     writer.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
