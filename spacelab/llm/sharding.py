@@ -1,16 +1,18 @@
 """Two-pass external shuffle into shards of equal row counts (law ``rows``).
 
-Pass one scatters whole records into buckets of about ``BUCKET_BYTES`` by a seeded hash of their id; Spark's shuffle
-files are the buckets on disk.  Pass two reads one bucket at a time, puts it into Fisher-Yates order with a generator
+Pass one scatters whole records into buckets of about ``BUCKET_BYTES`` by a seeded hash of their id, on two levels:
+runs of buckets are dealt to at most ``MOST_TASKS`` tasks by the shuffle, and each task's sort, which spills, parts its
+run into buckets.  Pass two takes one bucket at a time into memory, puts it into Fisher-Yates order with a generator
 seeded by (seed, bucket), and writes it to the shared folder.  Bucket after bucket is then one uniformly random order
-of all rows; equal ranges of it are the shards, so shard sizes differ by one row at most.
+of all rows; equal ranges of it are the shards, so shard sizes differ by one row at most.  Rows are numbered within a
+task as they are written; only the rows of each task are counted, collected and broadcast, ``MOST_TASKS`` numbers at most.
 
 A bucket that is far larger than a fair share can only come from one id that repeats (or is null) very often; rows of
 such a bucket are scattered over more buckets by their position in the input.  Buckets are sorted before they are
 shuffled, so a recomputed task writes the same rows in the same order.
 
 Defined results: a null text has size 8 and the checksum of the empty text; repeated rows each get their own slot; rows
-with a null id are scattered like one repeated id; an empty table gives an empty result; extra columns travel along in
+with a null id are scattered like one repeated id; a very long text is moved whole with its record; an empty table gives an empty result; extra columns travel along in
 ``shuffled`` under their own names, with the columns added here renamed where they would clash.
 """
 
@@ -24,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, written
+from .common import fresh, lean, written
 
 SHARDS = 24
 SEED = 20
 BUCKET_BYTES = 32 << 20
 CELLS = 4096
+MOST_TASKS = 8192
 
 
 def fisher_yates(count: int, rng: np.random.Generator) -> np.ndarray:
@@ -60,19 +63,26 @@ def _bucketed(docs: DataFrame, bucket: str, tie: str, seed: int, id_col: str, te
 def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``docs`` with the columns shard and slot (gapless from 0 in each shard); the rows lie in files, bucket by bucket."""
-    bucket, tie, place = (fresh(docs, x) for x in ("bucket", "tie", "place"))
+    bucket, tie, task, place = (fresh(docs, x) for x in ("bucket", "tie", "task", "place"))
     rows, buckets = _bucketed(docs, bucket, tie, seed, id_col, text_col, bucket_bytes)
-    schema = T.StructType([*docs.schema.fields, T.StructField(bucket, T.IntegerType()), T.StructField(place, T.LongType())])
+    per_task = -(-buckets // MOST_TASKS)
+    schema = T.StructType([*docs.schema.fields, T.StructField(task, T.IntegerType()), T.StructField(place, T.LongType())])
     at = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+
         def out(parts: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(parts).combine_chunks()
+            nonlocal done
+            table = pa.Table.from_batches(parts)
             order = fisher_yates(table.num_rows, np.random.default_rng([seed, number]))
-            table = table.take(pa.array(order))
-            place_of = pa.array(np.arange(table.num_rows, dtype=np.int64))
-            for b in table.append_column("place", place_of).to_batches(max_chunksize=2000):
-                yield b.rename_columns([f.name for f in schema.fields])
+            for a in range(0, len(order), 1000):
+                some = table.take(pa.array(order[a : a + 1000])).combine_chunks()
+                columns = [c.chunk(0) for c in some.columns[:at]]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(np.full(len(some), number // per_task, np.int32)), pa.array(np.arange(done, done + len(some)))],
+                    names=[f.name for f in schema.fields])
+                done += len(some)
 
         held, number = [], None
         for batch in batches:
@@ -85,13 +95,15 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
                         yield from out(held, number)
                         held = []
                     number = int(numbers[a])
-                    held.append(plain.slice(a, b - a).select(list(range(at + 1))))
+                    held.append(plain.slice(a, b - a).select(list(range(at))))
         if held:
             yield from out(held, number)
 
     content = [F.crc32(F.col(text_col).cast("binary"))] if text_col in docs.columns else []
-    lying = written(rows.repartitionById(buckets, bucket).sortWithinPartitions(bucket, tie, id_col, *content).mapInArrow(run, schema))
-    counts = {r[bucket]: r["n"] for r in lying.groupBy(bucket).agg(F.count("*").alias("n")).collect()}  # a row for each bucket
+    number = F.floor(F.col(bucket) / per_task).cast("int")
+    dealt = rows.repartitionById(-(-buckets // per_task), number).sortWithinPartitions(bucket, tie, id_col, *content)
+    lying = written(dealt.mapInArrow(lean(run), schema))
+    counts = {r[task]: r["n"] for r in lying.groupBy(task).agg(F.count("*").alias("n")).collect()}  # MOST_TASKS rows at most
     before, table = 0, []
     for number in sorted(counts):
         table.append((number, before))
@@ -102,7 +114,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
     rank = F.col(first) + F.col(place)
     long_rows = extra * (base + 1)  # the first shards have one row more
     shard = F.when(rank < long_rows, F.floor(rank / (base + 1))).otherwise(extra + F.floor((rank - long_rows) / max(base, 1)))
-    found = lying.join(F.broadcast(offsets), F.col(bucket) == F.col(number2))
+    found = lying.join(F.broadcast(offsets), F.col(task) == F.col(number2))
     shard_name, slot_name = fresh(docs, "shard"), fresh(docs, "slot")
     return (
         found.select(*docs.columns, rank.alias(place), shard.cast("int").alias(shard_name))

@@ -1,20 +1,24 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-Queries are taken in blocks of ``BLOCK`` and broadcast (a block's size is fixed by the block and the dimension); every
-candidate row is scored against the block where it lies.  Scores are integers.  Each pass counts scores per query in
-histogram bins over the range that still holds the k-th value; counts are added up before they are compared, and the
-bin with the k-th value becomes the next, finer range, until a bin is one integer.  A last pass returns all scores above
-the k-th value and, of the ties at it, as many of the smallest ids in each task as the query still needs.  A task sends
-only the bins down to its own k-th score (the global one cannot lie below), so what is sent does not grow with rows.
+Vectors are turned into integers once and stored, candidates in one table, queries in another that is parted into blocks
+of about ``BLOCK`` by a hash.  A block is broadcast (its size is fixed by the block and the dimension); every candidate
+row is scored against it where it lies.  Scores are integers.  Each pass counts scores per query in histogram bins over
+the range that still holds the k-th value; counts are added up before they are compared, and the bin with the k-th value
+becomes the next, finer range, until a bin is one integer.  A last pass returns all scores above the k-th value and, of
+the ties at it, as many of the smallest ids in each task as the query still needs.  A task sends only the bins down to
+its own k-th score (the global one cannot lie below), so what is sent does not grow with rows.  Results of all blocks
+lie in one folder, so the plan that reads them is the same for any number of blocks.
 
 Defined results: vectors that are null, empty-handed of an id (null id), or hold null or non-finite components take no
-part; vectors are compared with vectors of their own length only; a query row does not return itself, but other rows
-with its id count as candidates; repeated query rows are searched once; fewer candidates than k give fewer ranks;
-scores beyond 64 bits are clamped to the long range before they are compared; an empty table gives an empty result.
+part; vectors are compared with vectors of their own length only, empty ones and very long ones too; a query row does
+not return itself, but other rows with its id count as candidates; repeated query rows are searched once; fewer
+candidates than k give fewer ranks; scores beyond 64 bits are clamped to the long range before they are compared; an
+empty table gives an empty result; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from ..sources.storage import delete_at_exit, shared_folder
+from .common import lean, written
 
 K = 20
 SCALE = 64
 EVERY = 20
-BLOCK = 4096
-BINS = 512
+BLOCK = 8192
+BINS = 256
 _CELLS = 1 << 22  # scores held at once
 _EXACT = 1 << 53
 _LIMIT = (1 << 63) - 1
@@ -53,6 +58,27 @@ def quantised(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]
     return out
 
 
+def _integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, vec) rows -> (id, size, vec) of those that take part; vec holds the bytes of float32 where that is exact."""
+    for batch in batches:
+        for size, (ids, x) in quantised(batch).items():
+            narrow = x.astype(np.float32)
+            x = narrow if (narrow == x).all() else x
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(np.full(len(ids), size, np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "size", "vec"])
+
+
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(id, size, vec) rows of one size -> ids and vectors, first those stored narrow, then the wide ones."""
+    ids, vecs, size = batch.column("id").to_numpy(), batch.column("vec").to_pylist(), batch.column("size")[0].as_py() if batch.num_rows else 0
+    wide = np.array([len(v) == 8 * size for v in vecs], bool) if size else np.zeros(len(vecs), bool)
+    for kind, of in ((np.float32, ~wide), (np.float64, wide)):
+        rows = np.flatnonzero(of)
+        if len(rows):
+            x = np.frombuffer(b"".join(vecs[i] for i in rows.tolist()), kind).reshape(len(rows), size)
+            yield ids[rows], x.astype(np.float64)
+
+
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Integer inner products: float64 where no sum can pass 2^53, else Python integers, clamped to 64 bits."""
     if np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(queries.shape[1], 1) < _EXACT:
@@ -70,15 +96,13 @@ class _Block:
 
     def __init__(self, spark: SparkSession, vectors: np.ndarray):
         self.shared = spark.sparkContext.broadcast(vectors)
-        self.size = vectors.shape[1]
 
     def each(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, scores of queries x rows) of the candidates, portion by portion."""
         queries = self.shared.value
+        step = max(1, _CELLS // len(queries))
         for batch in batches:
-            ids, rows = quantised(batch).get(self.size, (None, None))
-            if ids is not None:
-                step = max(1, _CELLS // len(queries))
+            for ids, rows in _matrices(batch):
                 for a in range(0, len(ids), step):
                     yield ids[a : a + step], _scores(queries, rows[a : a + step])
 
@@ -129,86 +153,99 @@ def _chosen(block: _Block, kth: list[int], need: list[int]):
     return run
 
 
-def _largest(size: int):
-    """Task: how many candidates have vectors of this length, and their largest component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, top = 0, 0
-        for batch in batches:
-            ids, x = quantised(batch).get(size, (None, None))
-            if ids is not None:
-                n, top = n + len(ids), max(top, int(np.abs(x).max(initial=0)))
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([str(top)])], names=["n", "top"])
-
-    return run
-
-
-def _search_block(spark: SparkSession, rows: DataFrame, ids: list[int], vectors: np.ndarray, k: int, bins: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of one block.  The query's own row counts among the k + 1 best, then goes."""
+def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: for each vector length how many candidates there are, and their largest component."""
+    seen: dict[int, tuple[int, int]] = {}
+    for batch in batches:
+        for size in np.unique(batch.column("size").to_numpy()).tolist():
+            of = batch.filter(pa.array(batch.column("size").to_numpy() == size))
+            for ids, x in _matrices(of):
+                n, top = seen.get(size, (0, 0))
+                seen[size] = n + len(ids), max(top, int(np.abs(x).max(initial=0)))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(seen), pa.int32()), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([str(t) for _, t in seen.values()], pa.string())],
+        names=["size", "n", "top"])
+
+
+def _refined(found: pa.Table, low: list[int], width: list[int], valid: list[int], need: list[int], bins: int) -> None:
+    """Take the bin with the k-th score of each query as its next range; changes the lists."""
+    q, b, n = (found.column(c).to_numpy() for c in ("q", "bin", "n"))
+    order = np.lexsort((-b, q))
+    q, b, n = q[order], b[order], n[order]
+    firsts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    so_far = np.cumsum(n)
+    for start, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(q)]):
+        k = int(q[start])
+        before = int(so_far[start] - n[start])
+        at = start + int(np.searchsorted(so_far[start:end], before + need[k]))
+        need[k] -= int(so_far[at] - n[at]) - before
+        low[k] += int(b[at]) * width[k]
+        fine = max(1, width[k] // bins)
+        valid[k] = width[k] // fine if width[k] > 1 else 0  # 0: the k-th value is found
+        width[k] = fine
+
+
+def _search_block(spark: SparkSession, rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, count: int, reach: int, k: int, bins: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of one block.  The query's own row counts among the k + 1 best, then goes.
+
+    count, reach: how many candidates there are, and their largest component.
+    """
     block = _Block(spark, vectors)
-    seen = rows.mapInArrow(_largest(vectors.shape[1]), "n long, top string").collect()  # a row for each task
-    top = min(k + 1, sum(r["n"] for r in seen))
-    reach = max(int(r["top"]) for r in seen)
     bound = [_clamp(reach * sum(abs(int(v)) for v in x)) for x in vectors]  # no score lies beyond
-    low, need = [-n for n in bound], [top] * len(ids)
+    low, need = [-n for n in bound], [min(k + 1, count)] * len(ids)
     width = [1 << (2 * n // bins).bit_length() for n in bound]
     valid = [bins] * len(ids)
     while any(valid):
-        counted = rows.mapInArrow(_histogram(block, low, width, valid, need), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        per: dict[int, list[tuple[int, int]]] = {}
-        for r in counted.collect():  # the highest bins of each query in the block
-            per.setdefault(r["q"], []).append((r["bin"], r["n"]))
-        for q, found in per.items():
-            for b, n in sorted(found, reverse=True):
-                if n >= need[q]:
-                    break
-                need[q] -= n
-            low[q] += b * width[q]
-            fine = max(1, width[q] // bins)
-            valid[q] = width[q] // fine if width[q] > 1 else 0  # 0: the k-th value is found
-            width[q] = fine
-    found = rows.mapInArrow(_chosen(block, low, need), "q long, vec_id long, score long")
-    asked = [(i, x, _clamp(sum(int(v) ** 2 for v in vec))) for i, (x, vec) in enumerate(zip(ids, vectors))]
+        counted = rows.mapInArrow(lean(_histogram(block, low, width, valid, need)), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        _refined(counted.toArrow(), low, width, valid, need, bins)  # the highest bins of each query in the block
+    found = rows.mapInArrow(lean(_chosen(block, low, need)), "q long, vec_id long, score long")
+    own = np.array([_clamp(sum(int(v) ** 2 for v in x)) for x in vectors], np.int64)
+    asked = spark.createDataFrame(pa.table({"q": np.arange(len(ids)), "query_id": ids, "own": own}))  # a row a query of the block
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    own = F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own")), F.col("at"))
+    own_at = F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own")), F.col("at"))
     return (
-        found.join(F.broadcast(spark.createDataFrame(asked, "q long, query_id long, own long")), "q")
+        found.join(F.broadcast(asked), "q")
         .withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
-        .withColumn("self", F.min(own).over(Window.partitionBy("q")))
+        .withColumn("self", F.min(own_at).over(Window.partitionBy("q")))
         .where(F.col("self").isNull() | (F.col("at") != F.col("self")))
         .withColumn("rank", (F.col("at") - F.when(F.col("at") > F.col("self"), 1).otherwise(0)).cast("int")).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
+FOUND = "query_id long, rank int, vec_id long, score long"
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, bins: int = BINS, id_col: str = "vec_id",
           vec_col: str = "embedding") -> DataFrame:
-    """Each query's k highest inner products over ``vectors``: query_id, rank, vec_id, score; each block is written."""
+    """Each query's k highest inner products over ``vectors``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows, out = pick(vectors), []
-    held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-
-    def search(size: int) -> None:
-        ids, vecs = held.pop(size)
-        out.append(written(_search_block(spark, rows, ids, np.array(vecs, np.float64).reshape(len(ids), size), k, bins)))
-
-    asked = pick(queries).where("id is not null and vec is not null").distinct()
-    for row in asked.toLocalIterator():
-        batch = pa.RecordBatch.from_arrays([pa.array([row["id"]], pa.int64()), pa.array([row["vec"]], pa.list_(pa.float64()))], names=["id", "vec"])
-        for size, (_, x) in quantised(batch).items():
-            ids, vecs = held.setdefault(size, ([], []))
-            ids.append(row["id"])
-            vecs.append(x[0])
-            if len(ids) >= block:
-                search(size)
-    for size in list(held):
-        search(size)
-    if not out:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    while len(out) > 1:
-        out = [a.union(b) for a, b in zip(out[::2], out[1::2])] + ([out[-1]] if len(out) % 2 else [])
-    return out[0]
+    whole = lambda df: written(
+        df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+        .mapInArrow(lean(_integers), "id long, size int, vec binary"))
+    rows = whole(vectors)
+    asked = whole(queries).distinct()
+    asked = written(asked.withColumn("part", F.xxhash64("id", "vec")))
+    seen: dict[int, tuple[int, int]] = {}
+    for r in rows.mapInArrow(_largest, "size int, n long, top string").collect():  # a row for each task and vector length
+        n, top = seen.get(r["size"], (0, 0))
+        seen[r["size"]] = n + r["n"], max(top, int(r["top"]))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    done = 0
+    for size, n in sorted((r["size"], r["n"]) for r in asked.groupBy("size").agg(F.count("*").alias("n")).collect()):  # a row a vector length
+        blocks = -(-n // block)
+        mine, against = asked.where(F.col("size") == size), rows.where(F.col("size") == size)
+        for part in range(blocks):
+            held = mine.where(F.pmod("part", F.lit(blocks)) == part).select("id", "size", "vec").toArrow()  # about ``block`` queries
+            if held.num_rows:
+                found = list(_matrices(held.combine_chunks().to_batches()[0]))
+                ids, x = np.concatenate([i for i, _ in found]), np.concatenate([x for _, x in found])
+                _search_block(spark, against, ids, x, *seen[size], k, bins).write.mode("append").parquet(path)
+                done += 1
+    if not done:
+        return spark.createDataFrame([], FOUND)
+    delete_at_exit(spark, path)
+    return spark.read.schema(FOUND).parquet(path)
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

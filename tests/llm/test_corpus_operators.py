@@ -55,6 +55,37 @@ def test_shards_are_stable_and_seeded(spark):
     assert (row["size"], row["text_crc32"], row["law"], row["grown_shard"]) == (15, zlib.crc32(b"text 17"), "rows", None)
 
 
+@pytest.mark.parametrize("most", [sharding.MOST_TASKS, 5])
+def test_shards_by_brute_force(spark, monkeypatch, most):
+    """The order of all rows, made from ids and seeds alone."""
+    monkeypatch.setattr(sharding, "MOST_TASKS", most)
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(600)] + [(None, None), (3, "again"), (3, None)]
+    table = docs(spark, rows)
+    keyed = table.select("doc_id", "text", F.xxhash64(F.lit(20), "doc_id").alias("h"), F.xxhash64(F.lit(22), "doc_id").alias("tie")).collect()
+    size = lambda t: len((t or "").encode()) + 64
+    buckets = max(64, -(-sum(size(r["text"]) for r in keyed) // 4096))
+    lying = defaultdict(list)
+    for r in keyed:
+        lying[((r["h"] % 2**64) >> 12) % buckets].append((r["tie"], r["doc_id"] is not None, r["doc_id"] or 0, zlib.crc32(r["text"].encode()) if r["text"] is not None else -1, r["text"]))
+    order = []
+    for b in sorted(lying):
+        mine = sorted(lying[b], key=lambda x: x[:4])
+        place = list(range(len(mine)))
+        picks = np.random.default_rng([20, b]).integers(np.arange(len(mine)), len(mine)).tolist()
+        for i, j in enumerate(picks):
+            place[i], place[j] = place[j], place[i]
+        order += [mine[i] for i in place]
+    base, extra = divmod(len(order), 24)
+    want, at = [], 0
+    for shard in range(24):
+        for slot in range(base + (shard < extra)):
+            _, known, i, _, text = order[at]
+            want.append((i if known else None, text, shard, slot))
+            at += 1
+    got = [(r[0], r[1], r[-2], r[-1]) for r in sharding.shuffled(table, bucket_bytes=4096).collect()]
+    assert sorted(got, key=lambda x: x[2:]) == want
+
+
 def test_shard_files(spark, tmp_path):
     table = docs(spark, [(i, f"text {i}") for i in range(100)]).select("doc_id", "text")
     sharding.write_shards(table, str(tmp_path / "out"), shards=4)
@@ -161,6 +192,19 @@ def test_top_k_of_random_vectors(spark):
     assert {tuple(r) for r in topk.top_k(table, table.where("vec_id % 20 = 0")).collect()} == brute_top(single)
 
 
+def test_top_k_of_long_vectors_and_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=20_000).round(1).tolist()) for i in range(0, 60, 4)]
+    table = spark.createDataFrame([(i, v, 1, 2, "x", 3) for i, v in rows], "vec_id long, embedding array<double>, id int, size int, vec string, part int")
+    assert {tuple(r) for r in topk.top_k(table, table.where("vec_id % 20 = 0"), block=2).collect()} == brute_top(rows)
+
+
+def test_blocks_of_queries_do_not_lengthen_the_plan(spark):
+    table = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    plans = [topk.top_k(table, table, k=2, block=b)._jdf.queryExecution().optimizedPlan().toString().count("\n") for b in (25, 500)]
+    assert plans[0] == plans[1]
+
+
 def test_scores_beyond_64_bits_are_clamped(spark):
     table = spark.createDataFrame([(i, [1e200 * (1 if i % 2 else -1)]) for i in range(6)], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(table, table.where("vec_id = 0"), k=3).orderBy("rank").collect()]
