@@ -4,7 +4,11 @@ Quality and toxicity models learn from the labelled documents of the stage's own
 Every stage but the last returns the columns of ``documents``; the last returns packed pieces with their token ids.
 
 Defined results: rows with null texts go through every stage by the rules of its operator (a null text is scored like
-an empty one, has fingerprint zero, holds no benchmark passage and packs as its end id); an empty table stays empty.
+an empty one, has fingerprint zero, holds no benchmark passage and packs as its end id); rows with null ids are scored
+like others and are never learnt from; repeated rows are one near-duplicate group, of which one row stays, the first of
+those with the least id; a very long text is read whole by every stage, by the rules of its operator; columns beyond
+those of ``documents`` travel along unchanged under any name until packing, which does not read them; an empty table
+stays empty.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ deeply it is nested.
 
 Defined results: null or empty html, or a page without content, gives an empty text with 0 characters; a very long page
 is read whole; ties between regions go to the earlier one; repeated rows are extracted each; a null id or url is passed
-on; an empty table gives an empty result; extra columns, whatever their names, are not read.
+on; bytes that are not UTF-8 read as replacement characters; an empty table gives an empty result; extra columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import portions
+from .common import decoded, lean, portions
 
 SIGMA = 1.0
 RADIUS = 2
@@ -375,13 +376,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, "html"):
-                texts = [extract(h) for h in part.column("html").to_pylist()]
+                texts = [extract(h) for h in decoded(part.column("html"))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["id", "url", "text", "n_chars"])
 
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    return read.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "url": url_col})
+    return read.mapInArrow(lean(run), schema).withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

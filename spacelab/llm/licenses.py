@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import decoded, id_type, keyed_text, portions
+from .common import decoded, id_type, keyed_text, lean, portions
 
 RUN = 4096
 #: Words that a phrase, the names after it and their tails may take up beyond the place where it starts.
@@ -424,7 +424,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     pa.array([len(f[1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()),
                 ], names=["id", "licenses", "sentence_ids", "n_known", "n_unknown"])
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return keyed_text(docs, id_col, text_col).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ Tokenizing: a text is cut into words by the tokenizer's own pattern, and each di
 (a bounded cache), many in one call.  This holds for texts of plain Latin code points, where the tokenizer's normalisation is lower-casing
 alone; other texts, and those that contain a special token's name, go through the tokenizer as a whole.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives an empty
-result; extra columns are not read.
+Defined results: a null or empty text is the end id alone; a very long text is encoded piece by piece, cut at white space
+where no token can span, and its ids are held at once; repeated rows are packed each, pieces of equal size in the order
+of their rows, costs that tie by the earlier sequence; bytes that are not UTF-8 read as replacement characters; an empty
+table gives an empty result; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_type, keyed_text, pieces, portions
+from .common import decoded, id_type, keyed_text, lean, pieces, portions
 
 LENGTH = 2048
 END_ID = 1
@@ -204,7 +206,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         for batch in batches:
             pa_kind = batch.schema.field("id").type
             for part in portions(batch, "text", 1 << 20):
-                for key, ids in zip(part.column("id").to_pylist(), encode(part.column("text").to_pylist())):
+                for key, ids in zip(part.column("id").to_pylist(), encode(decoded(part.column("text")))):
                     ids += end
                     held.append((key, ids))
                     tokens += len(ids) // 4
@@ -218,7 +220,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         if held:
             yield from flush(held)
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return keyed_text(docs, id_col, text_col).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

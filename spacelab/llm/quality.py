@@ -12,9 +12,10 @@ many lines in all.  Features are computed on the executors, and only features co
 document whole, once, without a shuffle, and holds the features of one chunk of lines at a time; a line longer than a
 chunk is read in pieces.
 
-Defined results: a null or empty text is one empty line and is scored like any other; with no labelled rows, or only
+Defined results: a null or empty text is one empty line and is scored like any other; a very long text takes about 120
+bytes a line and one chunk; training rows of equal hash go by their label and features; with no labelled rows, or only
 one label, every score is the share of label 1 (0.5 without rows); repeated rows score alike; an empty table gives an
-empty result; extra columns are not read (``keep_good`` carries them along unchanged).
+empty result; extra columns, whatever their names, are not read (``keep_good`` carries them along unchanged).
 """
 
 from __future__ import annotations

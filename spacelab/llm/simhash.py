@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, id_type, keyed_text, pieces, text_bytes, written
+from .common import fresh, id_type, keyed_text, lean, pieces, text_bytes, written
 from .components import connected_components
 
 SEED = 42
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), _column(batch)], names=["id", "fp"])
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return keyed_text(docs, id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -112,7 +112,7 @@ def pivoted(distinct: DataFrame) -> DataFrame:
             rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(table.shape[1]), len(table), [None, pa.py_buffer(table.tobytes())])
             yield pa.RecordBatch.from_arrays([*batch.columns, rows.cast(pa.binary())], names=[*batch.schema.names, "pivots"])
 
-    return distinct.mapInArrow(run, schema)
+    return distinct.mapInArrow(lean(run), schema)
 
 
 def _rows_of(column: pa.Array) -> np.ndarray:
@@ -238,7 +238,7 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
         salted = written(salted.select("key", "fp", "pivots", "splits"))
         dealt = salted.where("splits IS NULL").select("key", "fp", "pivots").union(
             salted.where("splits IS NOT NULL").mapInArrow(_cells, "key long, fp long, pivots binary"))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sorted, "u long, v long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_link_sorted), "u long, v long")
 
 
 def classes(fps: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             text = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
             yield pa.RecordBatch.from_arrays([*batch.columns, _column(text)], schema=batch.schema.append(pa.field(fp, pa.int64())))
 
-    whole = written(marked.mapInArrow(run, schema))
+    whole = written(marked.mapInArrow(lean(run), schema))
     rows = whole.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(uid).alias("c")).alias("rank"))
     member = written(_with_classes(rows, written(classes(rows)), "inner"))
     best = member.groupBy("root").agg(F.min("rank").alias("best")).select(F.col("best.c").alias(uid))

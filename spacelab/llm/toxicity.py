@@ -8,9 +8,11 @@ exactly: a small hash table proposes a feature, equality of the number confirms
 Training uses at most ``TRAIN_BOUND`` labelled rows outside the held-out fold (ranked by a hash of their id).  Executors count the grams, Spark adds the counts up and keeps the ``FEATURES``
 strongest; the driver gets these and each text's feature numbers.  Scoring reads every document whole, once, without a shuffle.
 
-Defined results: a null or empty text has no grams and gets the constant's score; with no labelled rows, or only one
+Defined results: a null or empty text has no grams and gets the constant's score; a very long text is read in pieces, cut
+at white space or, where there is none, between code points; bytes that are not UTF-8 read as replacement characters;
+features that say equally much go by their numbers, training rows of equal hash by their label and features; with no labelled rows, or only one
 label, every score is the share of label 1 (0 without rows); repeated rows score alike; an empty table gives an empty
-result; extra columns are not read (``keep_clean`` carries them along unchanged).
+result; extra columns, whatever their names, are not read (``keep_clean`` carries them along unchanged).
 """
 
 from __future__ import annotations

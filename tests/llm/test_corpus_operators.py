@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spacelab.llm import components, packing, quality, sharding, simhash, topk, toxicity
+from spacelab.llm.common import written
 from spacelab.llm.decontam import split_words, windows
 
 DOCS = "doc_id long, text string, shard string, fp double, bucket int, uid string"
@@ -329,3 +330,48 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing columns, a long text and a benchmark passage, against the operators one by one."""
+    good = "The quick brown fox runs over a hill and sees the wide sea. It sleeps under a tree number {}."
+    bad = "BUY!! NOW!! ### | $$$ | CLICK {}\n" + "### $$$ !!!\n" * 5
+    toxic = "You are an idiot and a scum, number {}. Such scum and idiot trash should vanish, idiot."
+    passage = "once upon a midnight dreary while i pondered weak and weary over many a quaint volume"
+    texts = [f.format(f"{i} w{i * 7919 % 1000} v{i * 104729 % 997}") for i in range(60) for f in (good, bad, toxic)]
+    labels = [(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(180)] + [(None, 1, 1), (99999, 1, 0), (5, None, None)]
+    odd = [None, "", "\n", good.format("odd") + " " + passage, good.format("odd ") * 3000, good.format("same"), good.format("same"), "日本語のテキスト" * 20]
+    rows = [(i, t) for i, t in enumerate([*texts, *odd])] + [(None, good.format("nobody")), (185, odd[5]), (185, odd[5])]
+    table = spark.createDataFrame([(i, t, "x", "y", 1.0, 2, b"z", "t") for i, t in rows],
+                                  "doc_id long, text string, lang string, source string, score double, fp int, uid binary, label string")
+    table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sf, now = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = [(r["doc_id"], r["text"]) for r in now.collect()]
+    encoded = lambda rows: [None if t is None else t.encode() for _, t in rows]
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        if name in ("quality", "toxicity"):
+            module = quality if name == "quality" else toxicity
+            model = module.train(now, spark.read.parquet(f"{sf}/labels.parquet"))
+            scores = [model.scores([t])[0] for t in encoded(left)]
+            left = [r for r, s in zip(left, scores) if (s >= 0.3 if name == "quality" else s < 0.5)]
+        elif name == "simhash":
+            fps = [brute_fingerprint(t) for _, t in left]
+            label = brute_components(range(len(left)), [(i, j) for i in range(len(left)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+            first = {}
+            for i, r in enumerate(left):
+                key = (r[0] is None, r[0] or 0)
+                if label[i] not in first or key < first[label[i]][0]:
+                    first[label[i]] = (key, r)
+            left = [r for _, r in first.values()]
+        else:
+            left = [r for r in left if not r[1] or passage not in r[1].lower()]
+        now = stage(spark, now, sf)
+        assert now.schema == table.schema
+        now = written(now)
+        assert Counter((r["doc_id"], r["text"]) for r in now.collect()) == Counter(left), name
+        assert {tuple(r)[2:] for r in now.collect()} == {("x", "y", 1.0, 2, b"z", "t")}
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    assert Counter({r["doc_id"]: r["doc_tokens"] for r in pieces}.keys()) == Counter(i for i, _ in left) and (184 in {i for i, _ in left})
+    assert 20 < len(left) < 150
