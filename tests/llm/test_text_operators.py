@@ -686,3 +686,127 @@ def test_line_scores_are_features_times_weights():
     weights = np.random.default_rng(8).normal(size=features.shape[1])
     got = quality.line_scores(texts, weights)
     assert np.allclose(got[0], features @ weights) and np.array_equal(got[1], length) and np.array_equal(got[2], per_text)
+
+
+# ----- the two classifiers, whole queries by brute force -----
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    """A folder with documents and labels, and their rows."""
+    rng = np.random.default_rng(41)
+    words = "the a house tree river runs sees idiot scum vanish quick 12 345 ABC Ümlaut # | !! http://x.y/z thisisaverylongwordwithoutanymeaning".split()
+    texts = []
+    for i in range(150):
+        lines = [" ".join(rng.choice(words[(0 if i % 3 else 8) : (14 if i % 2 else 21)], int(rng.integers(0, 14)))) for _ in range(int(rng.integers(1, 7)))]
+        texts.append("\n".join(lines + lines[:1] * int(rng.integers(0, 2))))
+    rows = [*enumerate(texts), (150, None), (151, ""), (152, "\n\n"), (153, texts[3]), (154, "ü" * 400), (None, texts[4]), (155, " \tx  y\r\n##\n")]
+    labels = [(i, int(i % 3 != 0), int(i % 2 == 0)) for i in range(0, 150) if i % 7] + [(9, 1, 1), (700, 1, 1), (None, 0, 1), (20, None, None)]
+    folder = tmp_path_factory.mktemp("small")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return str(folder), rows, labels
+
+
+def brute_training(spark, rows, labels, column, bound):
+    """(text, label) of the rows learnt from, in the order that training takes them."""
+    import zlib
+
+    known = defaultdict(list)
+    for r in labels:
+        if r[0] is not None and r[column] is not None and zlib.crc32(str(r[0]).encode()) % 5:
+            known[r[0]].append(r[column])
+    texts = {i: t for i, t in rows if i in known}
+    ranks = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in texts], "id long").selectExpr("id", "xxhash64(id)").collect()}
+    return [(texts[i], max(known[i])) for i in sorted(texts, key=lambda i: (ranks[i], i))[:bound]]
+
+
+def brute_line(line: bytes, twice: bool) -> list[float]:
+    """Features of one line, byte by byte."""
+    kinds = ["lower" if 97 <= b <= 122 else "upper" if 65 <= b <= 90 else "digit" if 48 <= b <= 57 else "space" if b in b" \t\r" else "punct" if b in b".,;:'\"()?-"
+             else "control" if b < 32 or b == 127 else "high" if b >= 128 else "symbol" for b in line]
+    count, words, n = Counter(kinds), line.replace(b"\t", b" ").replace(b"\r", b" ").split(b" "), max(len(line), 1)
+    words = [w for w in words if w]
+    symbol = lambda b: not (b >= 128 or b < 32 or b == 127 or chr(b).isalnum() or b in b" .,;:'\"()?-")
+    per = max(len(words), 1)
+    share = {k: count[k] / n for k in ("digit", "space", "punct", "symbol", "high", "control")}
+    upper = count["upper"] / max(count["lower"] + count["upper"] + count["high"], 1)
+    repeated = sum(a == b for a, b in zip(words, words[1:])) / per
+    out = [math.log1p(len(line)) / 5, math.log1p(len(words)) / 3, min((len(line) - count["space"]) / per / 10, 3), share["digit"], share["space"], share["punct"],
+           share["symbol"], share["high"], share["control"], upper, repeated, sum(len(w) > 24 for w in words) / per, sum(symbol(w[-1]) for w in words) / per,
+           sum(len(w) == 1 and symbol(w[0]) for w in words) / per, not line, bool(line) and kinds[-1] == "punct", len(words) == 1]
+    for x, steps in ((upper, (0.1, 0.3, 0.6)), (share["symbol"], (0.005, 0.02, 0.06)), (share["digit"], (0.02, 0.1)), (repeated, (0.02, 0.1, 0.4)), (share["punct"], (0.02, 0.05, 0.1))):
+        out += [x > s for s in steps]
+    return [float(x) for x in [*out, twice]]
+
+
+def brute_features(text) -> tuple[list[list[float]], list[int]]:
+    lines = (text or "").encode().split(b"\n")
+    own = [brute_line(x, bool(x) and lines.count(x) > 1) for x in lines]
+    none = [0.0] * len(own[0])
+    full = [own[i] + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none) + [float(i == 0), float(i + 1 == len(own)), 1.0] for i in range(len(own))]
+    return full, [len(x) for x in lines]
+
+
+def test_quality_query_by_brute_force(spark, small_corpus):
+    import zlib
+
+    sf, rows, labels = small_corpus
+    chosen = [(*brute_features(t), y) for t, y in brute_training(spark, rows, labels, 1, quality.TRAIN_BOUND)]
+    table = np.array([f for features, _, _ in chosen for f in features], np.float32).astype(float)  # as they travel
+    sizes = np.array([len(f) for f, _, _ in chosen])
+    model = quality.fit(table, np.array([n for _, lengths, _ in chosen for n in lengths], float), sizes, np.array([y for _, _, y in chosen]))
+    got = {(r["doc_id"], r["held_out"]): (r["score"], r["predicted"]) for r in quality.op5_quality(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        features, lengths = brute_features(text)
+        unary = [sum(a * w for a, w in zip(f, model.weights)) for f in features]
+        (bb, bg), (gb, gg) = np.exp(model.move)
+        ahead = [(1.0, math.exp(unary[0]))]
+        for x in unary[1:]:
+            b, g = ahead[-1]
+            ahead.append((b * bb + g * gb, (b * bg + g * gg) * math.exp(x)))
+        back = [(1.0, 1.0)]
+        for x in reversed(unary[1:]):
+            b, g = back[-1][0], back[-1][1] * math.exp(x)
+            back.append((bb * b + bg * g, gb * b + gg * g))
+        back.reverse()
+        good = [a[1] * z[1] / (a[0] * z[0] + a[1] * z[1]) for a, z in zip(ahead, back)]
+        mean = min(max(sum(p * (n + 1) for p, n in zip(good, lengths)) / sum(n + 1 for n in lengths), 1e-4), 1 - 1e-4)
+        want = 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * mean + model.curve[2] * math.log(mean / (1 - mean)))))
+        score, predicted = got[i, i is None or zlib.crc32(str(i).encode()) % 5 == 0]
+        assert score == pytest.approx(want, abs=1e-5) and predicted == (score >= 0.3), i
+
+
+def test_toxicity_query_by_brute_force(spark, small_corpus, monkeypatch):
+    import zlib
+
+    monkeypatch.setattr(toxicity, "FEATURES", 300)
+    sf, rows, labels = small_corpus
+
+    def present(text):
+        words = (text or "").lower().split()
+        padded = f" {' '.join(words)} ".encode() if words else b""
+        counts = Counter(padded[i : i + n] for n in toxicity.ORDERS for i in range(len(padded) - n + 1))
+        return {int.from_bytes(g, "little") | len(g) << 56 | k << 60 for g, c in counts.items() for k, least in enumerate(toxicity.TIMES) if c >= least}
+
+    chosen = [(present(t), y) for t, y in brute_training(spark, rows, labels, 2, toxicity.TRAIN_BOUND)]
+    n = Counter(y for _, y in chosen)
+    seen = {y: Counter(f for fs, label in chosen if label == y for f in fs) for y in (0, 1)}
+    says = {}
+    for f in seen[0] | seen[1]:
+        if seen[0][f] + seen[1][f] >= toxicity.MIN_DOCS:
+            rates = [(seen[y][f] + 1) / (n[y] + 2) for y in (0, 1)]
+            says[f] = ((rates[1] - rates[0]) * math.log(rates[1] / rates[0]), math.log(rates[1] / rates[0]))
+    signed = lambda f: f - 2**64 if f >> 63 else f
+    best = sorted(sorted(says, key=lambda f: (-says[f][0], signed(f)))[:300])
+    at = {f: k for k, f in enumerate(best)}
+    model = toxicity.fit(np.array(best, np.uint64), np.array([says[f][1] for f in best]), [np.array(sorted(at[f] for f in fs if f in at), np.int64) for fs, _ in chosen],
+                         np.array([y for _, y in chosen]))
+    weight = dict(zip(best, model.weights))
+    got = {(r["doc_id"], r["held_out"]): (r["score"], r["predicted"]) for r in toxicity.op8_toxicity(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        want = 1 / (1 + math.exp(-model.constant - sum(weight[f] for f in present(text) if f in weight)))
+        score, predicted = got[i, i is None or zlib.crc32(str(i).encode()) % 5 == 0]
+        assert score == pytest.approx(want, abs=1e-6) and predicted == (score >= 0.5), i
