@@ -25,8 +25,8 @@ from .cells import CellCodec
 
 PORTION = 1 << 22  # points that a task sorts at once
 MOST_INTERVAL_BITS = 16
-PART = 1 << 21  # points of a part, about
-MOST_IN_INTERVAL = 1 << 26  # above, spacings go through the row-wise operator, which spills
+PART = 1 << 20  # points of a part, about
+MOST_IN_INTERVAL = 1 << 23  # above, spacings go through the row-wise operator, which spills
 _ODD = 0x9E3779B97F4A7C15
 _MIX, _BACK = np.uint64(_ODD), np.uint64(pow(_ODD, -1, 1 << 64))
 RUNS = "rep int, part int, n long, least long, most long, words binary, counts binary"

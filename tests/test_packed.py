@@ -82,6 +82,18 @@ def test_table_source_in_a_run(spark):
     assert [u.points for u in got.units] == [sum(i % 700 // 256 == k for i in range(3000)) for k in range(4)]
 
 
+@pytest.mark.parametrize("points, packed_form", [(packed.MOST_IN_INTERVAL, True), (packed.MOST_IN_INTERVAL + 1, False)])
+def test_the_most_crowded_interval(spark, monkeypatch, points, packed_form):
+    """A counter's points fill one interval: at the bound it is packed, beyond it goes through rows."""
+    import spacelab.plans.runner as runner
+
+    rows = []
+    keep = runner.spacings
+    monkeypatch.setattr(runner, "spacings", lambda *a: rows.append(1) or keep(*a))
+    got = execute(spark, Run(Grid(40, 1, 24), "incr", m=points, birthday=True))
+    assert (got.points, got.collisions) == (points, points - 2) and (not rows) == packed_form
+
+
 def test_a_crowded_interval_goes_row_wise(spark, monkeypatch):
     import spacelab.plans.runner as runner
 
