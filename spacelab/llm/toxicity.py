@@ -190,10 +190,22 @@ def fit(features: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], labels:
     weight = weight / len(labels)
     w, c = np.zeros(len(features)), 0.0
     v, vc = np.zeros_like(w), 0.0
+    # the matrix by rows and by columns, so that both products are sums of runs
+    sizes = np.array([len(r) for r in rows])
+    full, begins = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+    by = np.argsort(feature, kind="stable")
+    used, first = np.unique(feature[by], return_index=True)
+    value, feature = value.astype(np.float32), feature.astype(np.int32)
+    value_by, doc_by = value[by], doc[by].astype(np.int32)
+    sums, slope = np.zeros(len(rows)), np.zeros(len(w))
     for n in range(steps):  # gradient steps with momentum
-        p = 0.5 * (1 + np.tanh(0.5 * (np.bincount(doc, value * w[feature], minlength=len(rows)) + c)))
+        if len(value):
+            sums[full] = np.add.reduceat(value * w.astype(np.float32)[feature], begins)
+        p = 0.5 * (1 + np.tanh(0.5 * (sums + c)))
         d = weight * (labels - p)
-        v = 0.9 * v + np.bincount(feature, value * d[doc], minlength=len(w)) - ridge * 1e-2 * w
+        if len(value):
+            slope[used] = np.add.reduceat(value_by * d.astype(np.float32)[doc_by], first)
+        v = 0.9 * v + slope - ridge * 1e-2 * w
         vc = 0.9 * vc + d.sum()
         w, c = w + 2.0 * v, c + 2.0 * vc
     order = np.argsort(features)
