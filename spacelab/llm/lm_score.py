@@ -181,11 +181,12 @@ def _with_every_word(rows: DataFrame, weight: float, schema: T.StructType) -> Da
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = size // CHUNK + 1
     bits = max(7, (chunks // 2).bit_length())
-    dealt = rows.withColumn("chunk", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(chunks)))
+    tasks = int(max(chunks, rows.sparkSession.sparkContext.defaultParallelism))  # tasks grow with the corpus, whatever the session's number is
+    dealt = rows.withColumn("chunk", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(chunks))).repartition(tasks, "chunk")
     counted = dealt.groupBy("chunk").applyInArrow(_counted(bits), "bucket int, chunk long, kind int, keys binary, counts binary")
-    summed = counted.groupBy("bucket", "kind").applyInArrow(
+    summed = counted.repartition(tasks, "bucket", "kind").groupBy("bucket", "kind").applyInArrow(
         _summed(bits), "bucket int, chunk long, kind int, counts binary, words long, far long, near long")
-    return dealt.groupBy("chunk").cogroup(summed.groupBy("chunk")).applyInArrow(_scored(weight, schema.names), schema)
+    return dealt.groupBy("chunk").cogroup(summed.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_scored(weight, schema.names), schema)
 
 
 def _differences(found: DataFrame, id_col: str) -> DataFrame:
