@@ -11,15 +11,16 @@ makes equal, estimates the similarity by bit counts.  Candidates whose estimate
 bound are left out; all others are confirmed or refused on full sets.
 
 Banding is a random method.  At the similarity of 0.8 itself a pair misses all 32 bands of 4 with probability
-(1 - 0.8^4)^32 < 5e-8, and the estimate leaves it out with probability below 1e-8; both fall steeply above.
+(1 - 0.8^4)^32 < 5e-8, and the estimate leaves it out with probability of about 3e-7; both fall steeply above.
 
-A bucket may hold any number of classes.  Only connected components are asked for, so a bucket first names each
-class's link to the bucket's least class; what the confirmed links join is not compared again.  The classes of a bucket
-that are still apart give the pairs between different components, likeliest first, a growing number a round, until no
-pair is left.  Buckets above ``GROUP`` classes are dealt again by a second band and by size, since sets whose sizes
+A bucket may hold any number of classes.  Only connected components are asked for, so a bucket first names one link a
+class, to a leader that looks like it; what the confirmed links join is not compared again.  The classes of a bucket
+that are still apart name their likeliest links to other components, a growing number a class and round, until no pair
+is left.  Buckets above ``GROUP`` classes are dealt again by a second band and by size, since sets whose sizes
 differ by more than a fifth cannot link; there a pair at 0.8 must agree in two bands (missed with probability below 2e-6).
 
-Full sets are made again only of classes that have candidates; a bitmap of bounded size tells them.
+Full sets are made again only of classes that have candidates; a bitmap of bounded size tells them.  Classes that still
+have candidates after two rounds get signatures of ``FINE`` further minima, which leave out nearly all that do not link.
 
 Defined results: a null, empty or blank text has no shingles and its own id as component; repeated rows share a
 component; a null id never names a component unless all its ids are null, and is never kept; rows with the same id and
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice, product
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +50,18 @@ SIMILARITY = 80
 HASHES = 128
 BANDS = 32
 BITS = 4
-SIGMAS = 6
+FINE = 1024
+SIGMAS = 5
 GROUP = 4096
-FIRST_QUOTA = 4
+FIRST_QUOTA = 2
 SEED = 12
 #: A class of more than this share of the rows is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 1 / 1000
 
 _random = np.random.default_rng(SEED)
-_ODD = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A hash function is x -> (x ^ XOR) * ODD; the first ``HASHES`` make bands and signatures, the others fine signatures.
+_ODD = _random.integers(0, 1 << 63, HASHES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _random.integers(0, 1 << 63, HASHES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(8)]
 
 
@@ -122,13 +125,15 @@ def shingle_set(text: bytes | None, known: _Words | None = None, width: int = SH
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of ``HASHES`` hash functions over a set that is not empty."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def minima(hashes: np.ndarray, functions: slice = slice(0, HASHES)) -> np.ndarray:
+    """The least value of each hash function over a set that is not empty."""
+    odd, xor = _ODD[functions, None], _XOR[functions, None]
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, (1 << 17) // len(odd))
     with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 1 << 10):
-            part = hashes[at : at + (1 << 10)]
-            np.minimum(least, ((part[None, :] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1), out=least)
+        for at in range(0, len(hashes), step):
+            part = hashes[at : at + step]
+            np.minimum(least, ((part[None, :] ^ xor) * odd).min(axis=1), out=least)
     return least
 
 
@@ -150,24 +155,27 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def matches(signatures: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Equal positions of the packed signatures i (column) against j (row); rows of ``signatures`` are uint64 words."""
-    words = HASHES // 64
-    apart = np.zeros((len(i), len(j), words), np.uint64)
-    for b in range(BITS):
-        plane = signatures[:, b * words : (b + 1) * words]
-        apart |= plane[i][:, None, :] ^ plane[j][None, :, :]
-    return HASHES - np.bitwise_count(apart).sum(axis=2, dtype=np.int64)
-
-
-def similarity(equal: np.ndarray | int) -> np.ndarray | float:
+    words = signatures.shape[1] // BITS
+    differ = np.zeros((len(i), len(j)), np.int64)
+    for w in range(words):
+        apart = np.zeros((len(i), len(j)), np.uint64)
+        for b in range(BITS):
+            plane = signatures[:, b * words + w]
+            apart |= plane[i][:, None] ^ plane[j][None, :]
+        differ += np.bitwise_count(apart)
+    return 64 * words - differ
+
+
+def similarity(equal: np.ndarray | int, hashes: int = HASHES) -> np.ndarray | float:
     """Similarity that a number of equal positions stands for, corrected for positions that are equal by chance."""
     chance = 2.0**-BITS
-    return (equal / HASHES - chance) / (1 - chance)
+    return (equal / hashes - chance) / (1 - chance)
 
 
-def least_matches() -> int:
-    """Equal positions under which a pair at the similarity bound hardly ever falls."""
+def least_matches(hashes: int = HASHES, sigmas: float = SIGMAS) -> int:
+    """Equal positions under which a pair at the similarity bound hardly ever falls: the mean less some deviations."""
     share = 2.0**-BITS + (1 - 2.0**-BITS) * SIMILARITY / 100
-    return int(HASHES * share - SIGMAS * (HASHES * share * (1 - share)) ** 0.5)
+    return int(hashes * share - sigmas * (hashes * share * (1 - share)) ** 0.5)
 
 
 # ----- classes of equal sets -----
@@ -259,58 +267,75 @@ def _stream_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _firsts(node: np.ndarray, signatures: np.ndarray, bound: int, most: int = 16) -> Iterator[tuple[int, int, int, bool]]:
+    """Links to leaders: the first class leads those that look alike enough, the first of the others those of them, and so on."""
+    rest, alike = np.arange(len(node)), least_matches(sigmas=0)
+    for _ in range(most):
+        lead, rest = rest[0], rest[1:]
+        if not len(rest):
+            return
+        equal = np.concatenate([matches(signatures, np.array([lead]), rest[i : i + (1 << 14)])[0] for i in range(0, len(rest), 1 << 14)])
+        joins = equal >= max(alike, bound)
+        for k, e in zip(rest[joins].tolist(), equal[joins].tolist()):
+            yield int(node[lead]), int(node[k]), e, True
+        rest = rest[~joins]
+        if not len(rest):
+            return
+
+
+def _likeliest(label: np.ndarray, node: np.ndarray, signatures: np.ndarray, bound: int, quota: int) -> Iterator[tuple[int, int, int, bool]]:
+    """For each class outside the largest component its ``quota`` likeliest links to other components.
+
+    A pair of two components, neither the largest, is looked at once, from the later one.  The last column tells whether
+    the class has more.
+    """
+    names, size = np.unique(label, return_counts=True)
+    largest = names[size.argmax()]
+    rows = np.flatnonzero(label != largest)
+    for at in range(0, len(rows), 64):
+        i = rows[at : at + 64]
+        equal = np.concatenate([matches(signatures, i, np.arange(to, min(to + (1 << 14), len(node)))) for to in range(0, len(node), 1 << 14)], axis=1)
+        ours, theirs = label[i][:, None], label[None, :]
+        equal[(ours == theirs) | ((theirs != largest) & (theirs > ours)) | (equal < bound)] = -1
+        counts = (equal >= 0).sum(axis=1)
+        for a in np.flatnonzero(counts).tolist():
+            found = np.flatnonzero(equal[a] >= 0)
+            if counts[a] > quota:
+                found = found[np.lexsort((node[found], -equal[a, found]))[:quota]]
+            u = int(node[i[a]])
+            for k in found.tolist():
+                v = int(node[k])
+                yield min(u, v), max(u, v), int(equal[a, k]), bool(counts[a] > quota)
+
+
 def _apart(quota: int | None, bound: int):
-    """Pairs of a bucket's classes in different components: with the first of the bucket (quota None), or the likeliest ``quota`` of any two components."""
-
-    def pairs(table: pa.Table) -> list[tuple[int, int, bool]]:
-        label, node = table.column("label").to_numpy(), table.column("node").to_numpy()
-        if len(node) < 2 or (label == label[0]).all():
-            return []
-        signatures = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(node), -1)
-        order = np.lexsort((node, label))
-        label, node, signatures = label[order], node[order], signatures[order]
-        if quota is None:
-            others = np.flatnonzero(label != label[0])
-            near = others[matches(signatures, np.array([0]), others)[0] >= bound]
-            return [(int(node[0]), int(node[k]), True) for k in near]
-        names, start, size = np.unique(label, return_index=True, return_counts=True)
-        largest = names[size.argmax()]
-        best: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        more = set()
-        rows = np.flatnonzero(label != largest)
-        for at, to in product(range(0, len(rows), 64), range(0, len(node), 1 << 14)):
-            i, j = rows[at : at + 64], np.arange(to, min(to + (1 << 14), len(node)))
-            equal = matches(signatures, i, j)
-            # a pair of two components, neither the largest, is looked at once, from the later one
-            ours, theirs = label[i][:, None], label[j][None, :]
-            good = (equal >= bound) & (ours != theirs) & ((theirs == largest) | (theirs < ours))
-            for a, b in zip(*np.nonzero(good)):
-                two = (int(label[i[a]]), int(label[j[b]]))
-                best[two].append((-int(equal[a, b]), int(node[i[a]]), int(node[j[b]])))
-                if len(best[two]) > 4 * quota:
-                    best[two] = sorted(best[two])[:quota]
-                    more.add(two)
-        out = []
-        for two, found in best.items():
-            full = two in more or len(found) > quota
-            out += [(min(u, v), max(u, v), full) for _, u, v in sorted(found)[:quota]]
-        return out
+    """Pairs of a bucket's classes in different components that may link; quota None: one link a class, to a leader."""
+    kinds = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("equal", pa.int32()), ("more", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, bool]] = []
-        for table in _stream_of_keys(batches):
-            out += pairs(table)
-            if len(out) > 1 << 16:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
+        out: list[tuple[int, int, int, int, bool]] = []
 
-    return run
+        def sent() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(kinds), kinds)], schema=kinds)
+            out.clear()
+            return made
 
+        for table in _stream_of_keys(batches):
+            label, node = table.column("label").to_numpy(), table.column("node").to_numpy()
+            if len(node) < 2 or (label == label[0]).all():
+                continue
+            signatures = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(node), -1)
+            order = np.lexsort((node, label))
+            label, node, signatures = label[order], node[order], signatures[order]
+            key = table.column("key")[0].as_py()
+            pairs = _firsts(node, signatures, bound) if quota is None else _likeliest(label, node, signatures, bound, quota)
+            for pair in pairs:
+                out.append((key, *pair))
+                if len(out) >= 1 << 16:
+                    yield sent()
+        yield sent()
 
-def _pairs(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    u, v, more = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(more, pa.bool_())], names=["u", "v", "more"])
+    return run
 
 
 # ----- confirming on full sets -----
@@ -355,35 +380,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, per_task: int = 1024) -> DataF
     return both.mapInArrow(lean(run), "u long, v long, linked boolean")
 
 
+def _fine(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """``buckets`` with fine signatures, made from the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [packed(minima(np.frombuffer(x.as_buffer(), np.uint64), slice(HASHES, None))) for x in batch.column("hashes")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "sig"])
+
+    asked = sets.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi")
+    made = written(asked.mapInArrow(lean(run), "node long, sig binary"))
+    return written(buckets.select("key", "node").join(made.hint("merge"), "node").select("key", "node", "sig"))
+
+
 def _components(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, group: int) -> DataFrame:
     """(node, root) of every class that links to another."""
     buckets, bound = _buckets(classes, group), least_matches()
-    tested: DataFrame | None = None
-    roots: DataFrame | None = None
     sets = _sets(docs, classes, buckets.select("node").distinct(), id_col, text_col)
+    roots = tested = None
     quota: int | None = None
     while True:
+        named = buckets
         label = F.col("node").alias("label") if roots is None else F.coalesce("root", "node").alias("label")
-        named = buckets if roots is None else buckets.join(roots.hint("merge"), "node", "left")
-        named = named.select("key", "node", "sig", label)
-        if roots is not None:  # a bucket of one component has nothing left to say
-            open_keys = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-            named = named.join(open_keys.hint("merge"), "key")
-        found = named.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_apart(quota, bound)), "u long, v long, more boolean")
-        found = written(found.groupBy("u", "v").agg(F.max("more").alias("more")))
-        fresh = found.select("u", "v")
-        if quota is None:  # one link for each class first: most are joined by it
-            fresh = fresh.groupBy("v").agg(F.min("u").alias("u"))
+        named = (named if roots is None else named.join(roots.hint("merge"), "node", "left")).select("key", "node", "sig", label)
+        found = named.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_apart(quota, bound)), "key long, u long, v long, equal int, more boolean")
+        found = written(found)
+        if quota is None:  # a class's likeliest link first: most classes are joined by it
+            fresh = found.groupBy("v").agg(F.max_by("u", F.struct("equal", -F.col("u"))).alias("u")).select("u", "v")
+        else:
+            fresh = found.select("u", "v").distinct()
         if tested is not None:
-            fresh = fresh.join(tested.select("u", "v").hint("merge"), ["u", "v"], "left_anti")
-        fresh = written(fresh.select("u", "v"))
-        if fresh.isEmpty():
-            if quota is not None and found.where("more").isEmpty():
+            fresh = fresh.join(tested.hint("merge"), ["u", "v"], "left_anti")
+        now = written(_confirmed(written(fresh), sets))
+        tested = now.select("u", "v") if tested is None else tested.unionByName(now.select("u", "v"))
+        links = now.where("linked").select("u", "v")
+        if not links.isEmpty():  # components so far as stars, with the new links
+            roots = written(connected_components(links if roots is None else links.union(roots.select("node", "root"))))
+        if quota is not None:  # only buckets that have more to say go on
+            open_keys = written(found.where("more").select("key").distinct())
+            if open_keys.isEmpty():
                 break
-        else:
-            now = written(_confirmed(fresh, sets))
-            tested = now if tested is None else tested.unionByName(now)
-            roots = written(connected_components(tested.where("linked").select("u", "v")))
+            buckets = buckets.join(open_keys.hint("merge"), "key")
+            if quota == FIRST_QUOTA:  # what is still open looks much alike; longer signatures tell it apart
+                buckets, bound = _fine(written(buckets), sets), least_matches(FINE)
         quota = FIRST_QUOTA if quota is None else 4 * quota
     return roots if roots is not None else classes.select("node", F.col("node").alias("root")).limit(0)
 
