@@ -8,11 +8,13 @@ an article or main element, or where there is none the deepest element of severa
 sum.  Menus compete by their ratios like anything else, at half their sum; that they are menus is what links show, and
 a menu wins only on a page whose ratios say so.
 
-The region is returned whole, so short paragraphs, headings and lists of links stay; only elements whose name, role,
+Articles that stand side by side are one region.  The region is returned whole, so short paragraphs, headings and lists of links stay; only elements whose name, role,
 class or id says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
 comments are left out of it.  A form, class or id leaves nothing out where the element holds the page's article or most
 of its text, and inside the region headings, paragraphs and sections stay whatever their class or id, unless that is the
-whole name of an advert, or of reader comments on a section.
+whole name of an advert, or of reader comments on a section.  Related and recommended blocks stay where they are text and
+no links.  Where a page has no article or main element, lists of links and notes on copyright beside the content are left
+out if the ratios of all their lines lie under the threshold.
 
 Pages are independent: one pass, no shuffle, one page's events in memory at once, time in proportion to the page however
 deeply it is nested.
@@ -57,16 +59,22 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
     "cookies disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay "
-    "pager pagination popup promo promotion recommended related replies respond share sharing sidebar skip social sponsor sponsored "
+    "opinions pager pagination popup promo promotion recommended related replies respond share sharing sidebar skip social sponsor sponsored "
     "sponsors subscribe teaser toc toolbar topbar widget".split())
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense promo promotion sponsor sponsored sponsors".split())
-READERS = frozenset("comment comments commentlist disqus replies respond".split())
+READERS = frozenset("comment comments commentlist disqus opinions replies respond".split())
 #: Never the frame of a page, unless the page's article or heading lies inside.
 _ASIDES = ADVERTS | READERS | frozenset("consent cookie cookies gdpr newsletter popup recommended related subscribe teaser".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _WORD = re.compile(r"[^\W_]+")
+_STATE = re.compile(r"^(has|no|with|without|is|not)[-_]|[-_](open|closed|enabled|disabled|on|off)$")
+#: What a header is a header of, if not of the page.
+_OF_TEXT = frozenset("article post entry story content chapter".split())
+#: Names of sections of a text as well as of link lists; which of the two, links show.
+_EITHER = frozenset(("related", "recommended", "social"))
+_RIGHTS = re.compile(r"©|\(c\) *[12][0-9]{3}|\bcopyright\b|\ball rights reserved\b", re.I)
 
 
 def _is_noise(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -87,20 +95,27 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
     return False
 
 
-def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[frozenset[str], bool]:
-    """The noise words of a class, an id or a form, and whether a heading, paragraph or section is noise even in the region."""
+def _named_noise(tag: str, attrs: list[tuple[str, str | None]], in_article: bool = False) -> tuple[frozenset[str], bool]:
+    """The noise words of a class, an id or a form, and whether a heading, paragraph or section is noise even in the region.
+
+    Names of states and layouts, such as comments-open and has-sidebar, say nothing about the element.  The header of an
+    article is no page header, and an article is reader comments only where a name of it begins with that word.
+    """
     words, always = {"form"} if tag == "form" else set(), False
     if tag in ("html", "body", "main"):
         return frozenset(), False
-    for name, value in attrs:
-        if name in ("class", "id") and value:
-            found = NOISE_WORDS.intersection(_WORD.findall(value.lower()))
-            if tag == "article":
-                found &= {"comment", "comments"}
+    for attribute, value in attrs:
+        if attribute in ("class", "id") and value:
+            names, found = value.lower().split(), set()
+            for name in names:
+                parts = _WORD.findall(name)
+                if _STATE.search(name) or tag == "article" and not (parts and parts[0] in READERS | {"comment"}):
+                    continue
+                own = NOISE_WORDS.intersection(parts)
+                found |= own - {"header"} if in_article or _OF_TEXT.intersection(parts) else own
             words |= found
             if found:
-                names = set(value.lower().split())
-                always |= bool(names & ADVERTS or tag == "section" and names & READERS)
+                always |= bool(ADVERTS.intersection(names) or tag == "section" and READERS.intersection(names))
     return frozenset(words), always
 
 
@@ -115,6 +130,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parents, self.kinds = [-1], [""]
+        self.article_elements: set[int] = set()
         self.named: dict[int, tuple[str, frozenset[str], bool]] = {}  # elements that are noise by class, id or form
         self.open: list[tuple[str, int, bool]] = []  # tag, element before it, whether it is noise
         self.at: dict[str, list[int]] = {}  # places of each tag's open elements in ``open``
@@ -161,7 +177,7 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         noise = _is_noise(tag, attrs, self.articles > 0)
-        words, always = _named_noise(tag, attrs) if attrs or tag == "form" else ((), False)
+        words, always = _named_noise(tag, attrs, self.articles > 0) if attrs or tag == "form" else ((), False)
         if words and tag in _INLINE:
             noise, words = True, ()
         if words and tag not in BLOCK_TAGS:
@@ -179,6 +195,8 @@ class _Lines(HTMLParser):
             main = tag in ("article", "main") or any(n == "role" and v == "main" or n == "itemprop" and v == "articleBody" for n, v in attrs)
             self.kinds.append("main" if main and not self.noise and not (tag == "article" and words) else tag)
             self.element = len(self.parents) - 1
+            if tag == "article" and self.kinds[-1] == "main":
+                self.article_elements.add(self.element)
             if words:
                 self.named[self.element] = (tag, words, always)
 
@@ -293,7 +311,7 @@ def _frames(lines: list[Line], tree: _Tree, kinds: list[str], named: dict) -> se
     return {e for e in named if size[e] > size[0] / 2 and e in holds or size[e] > 0.75 * size[0] and not shown and kinds[e] != "article"}
 
 
-def main_lines(lines: list[Line], parents: list[int], kinds: list[str], named: dict) -> list[str]:
+def main_lines(lines: list[Line], parents: list[int], kinds: list[str], named: dict, articles: set[int] = frozenset()) -> list[str]:
     """The lines of the region that the ratios choose, without noise."""
     if not lines:
         return []
@@ -317,11 +335,59 @@ def main_lines(lines: list[Line], parents: list[int], kinds: list[str], named: d
     # a main element's sum without those of main elements in it, so that the nearest around the lines counts
     own = {e: sums[e] if kinds[e] in MENUS else sums[e] - _nested(tree, kinds, sums, e, nested) for e in tops}
     best = max(own, key=lambda e: (own[e], -e), default=0)
+    beside: set[int] = set()
     if not any(kinds[e] == "main" and own[e] > 0 for e in tops) and (not best or own[best] <= sums[0] / 2):
-        best = _common(lines, tree, kinds, [0.0 if menu[x[3]] else c for c, x in zip(content, lines)], free, menu)
+        texts = [0.0 if menu[x[3]] else c for c, x in zip(content, lines)]
+        best = _common(lines, tree, kinds, texts, free, menu)
+        beside = _beside(lines, tree, kinds, texts, best, cut)
     elif own[best] <= 0:
         return []
-    return _region(lines, tree, kinds, named, shown, hidden, menu, best)
+    together = []
+    if best in articles and len(articles) > 1:
+        told = _told(lines, tree)
+        together = [e for e in articles if parents[e] == parents[best] and 10 * told[e] >= max(told[best], 1) and not hidden[e]]
+    regions = sorted({best, *together})
+    if len(regions) > 1 and kinds[parents[best]] == "main":  # articles of one main element: all that it holds
+        regions = [parents[best]]
+    if len(regions) == 1:
+        return _region(lines, tree, kinds, named, shown, hidden, menu, regions[0], beside)
+    # each from its own lines, so that time stays in proportion
+    owner, mine = {}, {top: [] for top in regions}
+    for top in regions:
+        owner.update(dict.fromkeys(range(top, tree.last[top] + 1), top))
+    for x in lines:
+        if x[3] in owner:
+            mine[owner[x[3]]].append(x)
+    return [x for top in regions for x in _region(mine[top], tree, kinds, named, shown, hidden, menu, top)]
+
+
+def _told(lines: list[Line], tree: _Tree) -> list[int]:
+    """Characters of each element that is mostly text outside links, 0 for others, such as a card that links to a text."""
+    own = lambda value: tree.summed(_per_element(len(tree.parents), lines, lambda i, x: 0 if x[4] else value(x)))
+    return [int(size) if 2 * linked < size else 0 for linked, size in zip(own(lambda x: x[2]), own(lambda x: len(x[0])))]
+
+
+def _beside(lines: list[Line], tree: _Tree, kinds: list[str], content: list[float], top: int, cut: float) -> set[int]:
+    """Children of a region without article or main element that are no part of its text: under the threshold in every
+    line, beside the child that has most of the sum, and lists of links or, after it, notes on copyright."""
+    sums = tree.summed(_per_element(len(kinds), lines, lambda i, x: content[i]))
+    children = [e for e, p in enumerate(tree.parents) if p == top]
+    core = max(children, key=lambda e: (sums[e], -e), default=None)
+    if core is None or sums[core] < 0.6 * sums[top]:
+        return set()
+    ratios, mine, child = line_ratios(lines), {e: [] for e in children}, [-1] * len(kinds)
+    for e in range(top + 1, tree.last[top] + 1):
+        child[e] = e if tree.parents[e] == top else child[tree.parents[e]]
+    for i, x in enumerate(lines):
+        if child[x[3]] >= 0:
+            mine[child[x[3]]].append(i)
+    out = set()
+    for e, own in mine.items():
+        if e != core and own and all(ratios[i] < cut for i in own):
+            linked, size = sum(lines[i][2] for i in own), sum(len(lines[i][0]) for i in own)
+            if 2 * linked > size and len(own) > 1 or e > core and any(_RIGHTS.search(lines[i][0]) for i in own):
+                out.add(e)
+    return out
 
 
 def _nested(tree: _Tree, kinds: list[str], sums: list[float], top: int, nested: list[float]) -> float:
@@ -347,11 +413,19 @@ def _common(lines: list[Line], tree: _Tree, kinds: list[str], content: list[floa
     return top
 
 
-def _region(lines, tree: _Tree, kinds: list[str], named: dict, shown: set[int], hidden: list[bool], menu: list[bool], top: int) -> list[str]:
+def _region(
+    lines, tree: _Tree, kinds: list[str], named: dict, shown: set[int], hidden: list[bool], menu: list[bool], top: int, beside: set[int] = frozenset()
+) -> list[str]:
+    if beside:
+        left = tree.below(lambda e: e in beside)
+        lines = [x for x in lines if not left[x[3]]]
     if named:  # headings, paragraphs and sections of the region stay whatever their names
         page_wide = kinds[top] in ("", "html", "body")
         texts = {e for e, (tag, words, always) in named.items() if not always and (tag == "p" or tag == "section") and not (page_wide and words & _ASIDES)}
-        hidden = tree.below(lambda e: e in named and e not in shown and e not in texts)
+        either = [e for e, (tag, words, always) in named.items() if not always and not page_wide and words <= _EITHER and tree.inside(e, top)]
+        told = _told(lines, tree) if either else []
+        texts |= {e for e in either if told[e]}
+        hidden = tree.below(lambda e: e in named and e not in shown and e not in texts and not tree.inside(top, e))
     asked = menu[top]
     return [x[0] for x in lines if not x[4] and tree.inside(x[3], top) and not hidden[x[3]] and (asked or not menu[x[3]])]
 
@@ -364,7 +438,7 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return "\n\n".join(main_lines(parser.lines, parser.parents, parser.kinds, parser.named))
+    return "\n\n".join(main_lines(parser.lines, parser.parents, parser.kinds, parser.named, parser.article_elements))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -810,3 +810,26 @@ def test_toxicity_query_by_brute_force(spark, small_corpus, monkeypatch):
         want = 1 / (1 + math.exp(-model.constant - sum(weight[f] for f in present(text) if f in weight)))
         score, predicted = got[i, i is None or zlib.crc32(str(i).encode()) % 5 == 0]
         assert score == pytest.approx(want, abs=1e-6) and predicted == (score >= 0.5), i
+
+
+LONG_P = "Here is a paragraph of some length that tells a part of the story in whole sentences. " * 4
+PROBES = [
+    (f"<body><article class='post comments-open'><p>{LONG_P}</p><p>{LONG_P}</p><p>{LONG_P}</p></article></body>", 3, []),
+    (f"<body><article><div class='article-header'><h1>Title</h1></div><p>{LONG_P}</p></article></body>", 2, ["Title"]),
+    (f"<body><div class='entry'><div class='post-header'><h1>Title</h1></div><p>{LONG_P}</p><p>{LONG_P}</p></div></body>", 3, ["Title"]),
+    (f"<body><main><article><p>{LONG_P}</p></article><article><p>{LONG_P * 2}</p></article></main></body>", 2, []),
+    (f"<body><div><article><p>{LONG_P}</p></article><article><p>{LONG_P * 2}</p></article></div></body>", 2, []),
+    (f"<body><article><p>{LONG_P}</p><div class='related-work'><p>{LONG_P}</p></div></article></body>", 2, []),
+    (f"<body><article><p>{LONG_P}</p><div class='related'><a href=x>One more</a> <a href=y>Another one</a></div></article></body>", 1, []),
+    ("<body><div>" + "".join(f"<li><a href={i}>Menu item {i}</a></li>" for i in range(20)) + f"</div><div><p>{LONG_P}</p><p>{LONG_P}</p><p>{LONG_P}</p><p>{LONG_P}</p></div><div>Copyright 2020 Site</div></body>", 4, []),
+    (f"<body><main><p>{LONG_P}</p><div class='user-opinions'><p>{LONG_P}</p></div></main></body>", 1, []),
+    (f"<body><article><p>{LONG_P}</p></article><article class='comment'><p>{LONG_P}</p></article><article id='comment-7'><p>{LONG_P}</p></article></body>", 1, []),
+]
+
+
+@pytest.mark.parametrize("page, count, first", PROBES)
+def test_html_of_blogs_and_plain_pages(page, count, first):
+    """State names, headers of articles, sibling articles, sections named like link lists, menus and notes beside the text."""
+    blocks = html_text.extract(page).split("\n\n")
+    assert len(blocks) == count and blocks[: len(first)] == first, blocks
+    assert all(b.startswith("Here is a paragraph") for b in blocks[len(first):])
