@@ -5,19 +5,19 @@ one shingle, a text without words an empty set, which links with nothing.  Two s
 least ``SIMILARITY`` percent of their union.
 
 Equal sets are one class from the start, so copies never meet.  Each class keeps ``HASHES`` minima.  ``BANDS`` bands of
-``HASHES // BANDS`` minima each make candidates: classes that agree in a whole band meet in that band's bucket.  Of the
-minima only the low ``BITS`` bits travel there, packed into bit planes; the share of equal positions, less what chance
+``ROWS`` minima each make candidates: classes that agree in a whole band meet in that band's bucket.  Of the minima only
+the low ``BITS`` bits travel there, packed into bit planes; the share of equal positions, less what chance
 makes equal, estimates the similarity by bit counts.  Candidates whose estimate is ``SIGMAS`` deviations under the
 bound are left out; all others are confirmed or refused on full sets.
 
-Banding is a random method.  At the similarity of 0.8 itself a pair misses all 32 bands of 4 with probability
-(1 - 0.8^4)^32 < 5e-8, and the estimate leaves it out with probability of about 3e-7; both fall steeply above.
+Banding is a random method.  At the similarity of 0.8 itself a pair misses all 20 bands of 3 with probability
+(1 - 0.8^3)^20 < 6e-7, and the estimate leaves it out with probability of about 3e-7; both fall steeply above.
 
 A bucket may hold any number of classes.  Only connected components are asked for, so a bucket first names one link a
 class, to a leader that looks like it; what the confirmed links join is not compared again.  The classes of a bucket
 that are still apart name their likeliest links to other components, a growing number a class and round, until no pair
 is left.  Buckets above ``GROUP`` classes are dealt again by a second band and by size, since sets whose sizes
-differ by more than a fifth cannot link; there a pair at 0.8 must agree in two bands (missed with probability below 2e-6).
+differ by more than a fifth cannot link; there a pair at 0.8 must agree in two bands (missed with probability below 2e-5).
 
 Full sets are made again only of classes that have candidates; a bitmap of bounded size tells them.  Classes that still
 have candidates after two rounds get signatures of ``FINE`` further minima, which leave out nearly all that do not link.
@@ -48,12 +48,13 @@ from .components import connected_components
 SHINGLE = 4
 SIMILARITY = 80
 HASHES = 128
-BANDS = 32
+BANDS = 20
+ROWS = 3
 BITS = 4
 FINE = 1024
 SIGMAS = 5
 GROUP = 4096
-FIRST_QUOTA = 2
+QUOTAS = (2, 256)  # of the second and third round; sixteen times as many in each that follows
 SEED = 12
 #: A class of more than this share of the rows is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 1 / 1000
@@ -145,7 +146,7 @@ def packed(least: np.ndarray) -> bytes:
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band."""
-    rows = least.reshape(BANDS, -1)
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
     total = np.arange(1, BANDS + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(rows.shape[1]):
@@ -239,15 +240,15 @@ def _buckets(classes: DataFrame, group: int) -> DataFrame:
     each = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     counted = written(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = written(_salted(each, counted, "key", "node"))
-    crowded = members.where(F.col("m") > group)
-    again = (
-        crowded.join(classes.select("node", "bands").hint("merge"), "node")
-        .select("node", "n", "key", "band", F.posexplode("bands").alias("other", "second")).where("other > band")
-    )
-    cell = _size_cell()
-    again = again.select("node", F.explode(F.array(cell, cell + 1)).alias("cell"), "key", "second").select(
-        F.xxhash64("key", "second", "cell").alias("key"), "node")
-    dealt = members.where(F.col("m") <= group).select("key", "node").unionByName(again)
+    dealt = members.where(F.col("m") <= group).select("key", "node")
+    if (counted.agg(F.max("m")).first()[0] or 0) > group:
+        again = (
+            members.where(F.col("m") > group).join(classes.select("node", "bands").hint("merge"), "node")
+            .select("node", "n", "key", "band", F.posexplode("bands").alias("other", "second")).where("other > band")
+        )
+        cell = _size_cell()
+        again = again.select("node", F.explode(F.array(cell, cell + 1)).alias("cell"), "key", "second")
+        dealt = dealt.unionByName(again.select(F.xxhash64("key", "second", "cell").alias("key"), "node"))
     return written(dealt.join(classes.select("node", "sig").hint("merge"), "node").select("key", "node", "sig"))
 
 
@@ -314,6 +315,7 @@ def _apart(quota: int | None, bound: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int, bool]] = []
+        best: dict[int, tuple[int, int, int, int, bool]] = {}
 
         def sent() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(kinds), kinds)], schema=kinds)
@@ -328,11 +330,20 @@ def _apart(quota: int | None, bound: int):
             order = np.lexsort((node, label))
             label, node, signatures = label[order], node[order], signatures[order]
             key = table.column("key")[0].as_py()
-            pairs = _firsts(node, signatures, bound) if quota is None else _likeliest(label, node, signatures, bound, quota)
-            for pair in pairs:
+            if quota is None:  # the best first link of each class goes on
+                for u, v, equal, more in _firsts(node, signatures, bound):
+                    if v not in best or best[v][3] < equal:
+                        best[v] = (key, u, v, equal, more)
+                if len(best) >= 1 << 16:
+                    out += best.values()
+                    best.clear()
+                    yield sent()
+                continue
+            for pair in _likeliest(label, node, signatures, bound, quota):
                 out.append((key, *pair))
                 if len(out) >= 1 << 16:
                     yield sent()
+        out += best.values()
         yield sent()
 
     return run
@@ -359,13 +370,12 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, te
     return written(made.dropDuplicates(["rkey"]).join(wanted.hint("merge"), "rkey").select("node", "hashes"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, per_task: int = 1024) -> DataFrame:
-    """(u, v, linked) of pairs u < v, by full sets.  A class in many pairs is copied for every ``per_task`` of them."""
-    often = pairs.groupBy("u").agg(F.ceil(F.count("*") / per_task).alias("salts"))
-    told = pairs.join(often.hint("merge"), "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("long"))
-    left = often.join(sets.withColumnRenamed("node", "u").hint("merge"), "u").select(
-        "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hashes").alias("ours"))
-    rows = told.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("theirs")).hint("merge"), "v")
+def _confirmed(pairs: DataFrame, sets: DataFrame, salts: int = 8) -> DataFrame:
+    """(u, v, linked) of pairs u < v, by full sets.  A class may be the first of many pairs, so that side is salted."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt")
+    rows = pairs.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("theirs")).hint("merge"), "v").select("u", "v", salt, "theirs")
+    firsts = sets.join(pairs.select(F.col("u").alias("node")).hint("merge"), "node", "left_semi")
+    left = firsts.select(F.col("node").alias("u"), F.col("hashes").alias("ours"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     both = rows.join(left.hint("merge"), ["u", "salt"]).select("u", "v", "ours", "theirs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,10 +407,11 @@ def _components(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """(node, root) of every class that links to another."""
     buckets, bound = _buckets(classes, group), least_matches()
     sets = _sets(docs, classes, buckets.select("node").distinct(), id_col, text_col)
-    roots = tested = None
-    quota: int | None = None
+    roots = tested = quota = None
+    rounds = 0
     while True:
-        named = buckets
+        # first links: a class meets its like in many buckets, so a quarter of them is enough to start with
+        named = buckets if quota else buckets.where(F.col("key").bitwiseAND(3) == 0)
         label = F.col("node").alias("label") if roots is None else F.coalesce("root", "node").alias("label")
         named = (named if roots is None else named.join(roots.hint("merge"), "node", "left")).select("key", "node", "sig", label)
         found = named.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_apart(quota, bound)), "key long, u long, v long, equal int, more boolean")
@@ -412,7 +423,8 @@ def _components(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         if tested is not None:
             fresh = fresh.join(tested.hint("merge"), ["u", "v"], "left_anti")
         now = written(_confirmed(written(fresh), sets))
-        tested = now.select("u", "v") if tested is None else tested.unionByName(now.select("u", "v"))
+        if rounds > 1:
+            tested = now.select("u", "v") if tested is None else tested.unionByName(now.select("u", "v"))
         links = now.where("linked").select("u", "v")
         if not links.isEmpty():  # components so far as stars, with the new links
             roots = written(connected_components(links if roots is None else links.union(roots.select("node", "root"))))
@@ -421,9 +433,10 @@ def _components(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
             if open_keys.isEmpty():
                 break
             buckets = buckets.join(open_keys.hint("merge"), "key")
-            if quota == FIRST_QUOTA:  # what is still open looks much alike; longer signatures tell it apart
+            if rounds == 1:  # what is still open looks much alike; longer signatures tell it apart
                 buckets, bound = _fine(written(buckets), sets), least_matches(FINE)
-        quota = FIRST_QUOTA if quota is None else 4 * quota
+        quota = QUOTAS[rounds] if rounds < len(QUOTAS) else 16 * quota
+        rounds += 1
     return roots if roots is not None else classes.select("node", F.col("node").alias("root")).limit(0)
 
 
