@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, licenses, lm_score, minhash, packing, quality, sharding, simhash, topk, toxicity
+from . import decontam, html_text, licenses, lm_score, minhash, packing, phrases, quality, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_licenses": licenses.op10_licenses,
+    "op11_phrases": phrases.op11_phrases,
     "op12_minhash": minhash.op12_minhash,
 }
 
@@ -24,4 +25,5 @@ ORACLE = {
     "op4_html": html_text.ORACLE,
     "op7_top_k": topk.ORACLE,
     "op10_licenses": licenses.ORACLE,
+    "op11_phrases": phrases.ORACLE,
 }
