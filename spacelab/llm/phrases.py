@@ -93,7 +93,7 @@ class _Portion:
         self.langs.append(np.full(len(ids) + 1, lang, np.int64))
         self.size += len(ids) + 1
 
-    def grams(self, k: int, langs: list[bytes], frequent: Bitmap | None, skipped: np.ndarray | None = None) -> Iterator[tuple[int, bytes, int]]:
+    def grams(self, k: int, langs: list[bytes], frequent: Bitmap | None) -> Iterator[tuple[int, bytes, int]]:
         """(language, phrase, occurrences) of the k-grams that may be frequent."""
         ids, lang = np.concatenate(self.ids), np.concatenate(self.langs)
         n = len(ids) - k + 1
@@ -262,7 +262,7 @@ def _sql() -> str:
     return f"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 s AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
-p AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), x -> x <> '') AS w FROM s),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM s),
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
 f AS (SELECT lang, words, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL HAVING count(*) >= {SUPPORT}),
 c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words >= 2),
