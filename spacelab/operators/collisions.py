@@ -6,10 +6,11 @@ task; nothing is sorted and no task sees more than its share of the distinct cel
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import CellCodec
+from .prefix import running_sums
 
 
 def pass_counts(points: DataFrame, codec: CellCodec, b: int = 0, only: int | None = None) -> DataFrame:
@@ -32,21 +33,26 @@ def checkpoint_counts(points: DataFrame, codec: CellCodec, samples: int, stages:
     """(rep, stage, points, collisions), each cumulative up to the stage's end at floor(samples * stage / stages).
 
     A point collides in the first stage by which its cell is no longer new, so the collisions of a stage are its points
-    less the cells that first occur in it.  Stage of sample j: the least k with j < floor(samples * k / stages).
+    less the cells that first occur in it.  Stage of sample j: the least k with j < floor(samples * k / stages).  Stages
+    may be many: their sums run in blocks.
     """
     marked = points.select("rep", *codec.columns, _stage(samples, stages).alias("stage"))
-    cells = marked.groupBy("rep", *codec.columns, "stage").agg(F.count("*").alias("n"))  # a row a cell and stage goes on
-    stays = cells.groupBy("rep", *codec.columns).agg(F.min("stage").alias("first"), F.collect_list(F.struct("stage", "n")).alias("at"))
-    each = stays.select("rep", "first", F.inline("at")).groupBy("rep", "stage").agg(
-        F.sum("n").alias("points"), F.count_if(F.col("stage") == F.col("first")).alias("new"))
-    table = each.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("stage", F.struct("points", "new")))).alias("at"))
-    numbers = F.sequence(F.lit(1).cast("long"), F.lit(stages).cast("long"))
-    every = table.select("rep", F.explode(numbers).alias("stage"), "at").select("rep", "stage", F.expr("try_element_at(at, stage)").alias("here"))
-    found = every.select("rep", "stage", F.coalesce("here.points", F.lit(0)).alias("points"), F.coalesce("here.new", F.lit(0)).alias("new"))
-    so_far = Window.partitionBy("rep").orderBy("stage").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return found.select(
-        "rep", "stage", F.sum("points").over(so_far).alias("points"),
-        F.sum(F.col("points") - F.col("new")).over(so_far).alias("collisions"))
+    seen = marked.groupBy("rep", "stage").agg(F.count("*").alias("here"))
+    fresh = marked.groupBy("rep", *codec.columns).agg(F.min("stage").alias("stage")).groupBy("rep", "stage").agg(F.count("*").alias("new"))
+    none = F.lit(0).cast("long")
+    found = seen.select("rep", "stage", "here", none.alias("new")).unionByName(fresh.select("rep", "stage", none.alias("here"), "new"))
+    found = found.unionByName(_numbers(seen.select("rep").distinct(), stages).select("rep", "stage", none.alias("here"), none.alias("new")))
+    each = found.groupBy("rep", "stage").agg(F.sum("here").alias("here"), F.sum(F.col("here") - F.col("new")).alias("again"))
+    return running_sums(each, ["rep"], "stage", {"points": "here", "collisions": "again"}, top=stages.bit_length()).select("rep", "stage", "points", "collisions")
+
+
+def _numbers(reps: DataFrame, count: int, block: int = 1 << 16) -> DataFrame:
+    """(rep, stage) for stages 1 .. count, made in blocks so that no task makes all."""
+    blocks = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit((count - 1) // block))).alias("block"))
+    if count > block:
+        blocks = blocks.repartition("rep", "block")
+    first = F.col("block").cast("long") * block
+    return blocks.select("rep", F.explode(F.sequence(first + 1, F.least(first + block, F.lit(count).cast("long")))).alias("stage"))
 
 
 def _stage(samples: int, stages: int) -> Column:

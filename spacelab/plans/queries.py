@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import expected_collisions, headroom, p_value, test_mean
+from ..functions.columns import birthday_mean_of, expected_collisions_of, headroom_of, p_value_of
 from ..operators.cells import CellCodec, points
 from ..operators.collisions import checkpoint_counts, histogram, pass_counts
+from ..operators.prefix import running_sums
+from ..operators.pruning import by_pass, in_pass
 from ..operators.spacings import class_counts, interval_bits, spacings
 from ..sources.generators import PHI, ROMU32, ROMU64, WY4_ADD, WY4_XOR, WY_ADD, WY_XOR
 from ..sources.orbit import orbit
+from ..sources.storage import shared_folder
 from ..sources.table import table_draws
+from ..streaming.progress import change_writer, latest
 from .runner import execute, run_points
 from .spec import Grid, Run
+from .tables import combined, in_repetitions, load_report, ordered_draws, repetition_report, run_shares
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -213,7 +220,7 @@ def birthday_decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("spacings_lineitem", f"SELECT CAST(spacing AS BIGINT) AS spacing, count(*) AS n FROM {_spacings_sql(_LINES, 20)} GROUP BY 1")
 def spacings_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spacings(_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey"], LINE_GRID), CellCodec(20), 4)
-    return found.groupBy("spacing").agg(F.count("*").alias("n"))
+    return found.groupBy("spacing").agg(F.sum("n").alias("n"))
 
 
 # ----- whole runs, as the command line makes them -----
@@ -343,13 +350,15 @@ def widest_birthday(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----- statistics -----
 
 
+def _line_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pass_counts(_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey"], LINE_GRID), CellCodec(20), 4)
+
+
 @_query("expected_collisions_table", f"""
 WITH c AS ({_collisions_sql(_LINES, "cell >> 16")})
 SELECT pass, points, round(CASE WHEN points <= 1 THEN 0 ELSE points - 65536 + 65536 * exp(points * ln(1 - 1 / 65536.0)) END, 6) AS expected FROM c""")
 def expected_collisions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = collision_tradeoff_passes(spark, sf_dir).select("pass", "points").collect()  # a row a pass
-    rows = [(r["pass"], r["points"], round(expected_collisions(r["points"], 65536), 6)) for r in found]
-    return spark.createDataFrame(rows, "pass long, points long, expected double")
+    return _line_passes(spark, sf_dir).select("pass", "points", F.round(expected_collisions_of("points", 65536), 6).alias("expected"))
 
 
 @_query("p_values", f"""
@@ -361,18 +370,15 @@ t AS (SELECT pass, collisions, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) FIL
 SELECT pass, collisions, round(CASE WHEN hi < lo THEN hi WHEN lo < 0.5 THEN 1 - lo ELSE 0.5 END, 6) AS p_value FROM t""")
 def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _table(spark, sf_dir, "orders", ["o_orderkey"], Grid(24, 1), mixed=True)
-    found = pass_counts(kept, CellCodec(24), 4).collect()  # a row a pass
-    rows = [(r["pass"], r["collisions"], round(p_value(r["collisions"], expected_collisions(r["points"], 1 << 20)).value, 6)) for r in found]
-    return spark.createDataFrame(rows, "pass long, collisions long, p_value double")
+    found = pass_counts(kept, CellCodec(24), 4).withColumn("mean", expected_collisions_of("points", 1 << 20))
+    return found.withColumn("p", p_value_of("collisions", "mean")).select("pass", "collisions", F.round("p.value", 6).alias("p_value"))
 
 
 @_query("birthday_means", f"""
 WITH c AS ({_collisions_sql(_LINES, "cell >> 16")})
 SELECT pass, points, CAST(points AS DOUBLE) * points * points / (4 * pow(2, 30 + pass)) AS mean FROM c""")
 def birthday_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = collision_tradeoff_passes(spark, sf_dir).select("pass", "points").collect()  # a row a pass
-    rows = [(r["pass"], r["points"], test_mean(r["points"], 1 << (30 + r["pass"]), True)) for r in found]
-    return spark.createDataFrame(rows, "pass long, points long, mean double")
+    return _line_passes(spark, sf_dir).select("pass", "points", birthday_mean_of("points", F.pow(F.lit(2.0), F.col("pass") + 30)).alias("mean"))
 
 
 @_query("headroom_table", f"""
@@ -380,9 +386,158 @@ WITH c AS ({_collisions_sql(_LINES, "cell >> 16")}),
 m AS (SELECT pass, points, pass + 1 AS bits, points / pow(2, pass + 1) AS mean, (pass + 1) * ln(2.0) + 1000 * ln(10.0) AS l FROM c)
 SELECT pass, points, CAST(least(points, ceil(mean + l / 3 + sqrt(l * l / 9 + 2 * mean * l))) AS BIGINT) AS headroom FROM m""")
 def headroom_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = collision_tradeoff_passes(spark, sf_dir).select("pass", "points").collect()  # a row a pass
-    rows = [(r["pass"], r["points"], headroom(r["points"], r["pass"] + 1)) for r in found]
-    return spark.createDataFrame(rows, "pass long, points long, headroom long")
+    return _line_passes(spark, sf_dir).select("pass", "points", headroom_of("points", F.col("pass") + 1).alias("headroom"))
+
+
+# ----- tables: values of any distribution, samples in any order, reports of any number of units -----
+
+
+def _classes_of(cells: str, width: int, b: int) -> str:
+    return f"SELECT * FROM ({_classes_sql(cells, width, b)})"
+
+
+@_query("birthday_orders_keys", _classes_of("(SELECT o_orderkey & 1099511627775 AS cell FROM orders)", 40, 2))
+def birthday_orders_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys as they are: all in the lowest part of the cells."""
+    kept = _table(spark, sf_dir, "orders", ["o_orderkey"], Grid(40, 1, 24))
+    return class_counts(spacings(kept, CellCodec(40)), 40, 2).drop("rep")
+
+
+_HOT = "(SELECT CASE WHEN l_linenumber <= 2 THEN 77 ELSE l_orderkey * 8 + l_linenumber END & 1099511627775 AS cell FROM lineitem)"
+
+
+@_query("birthday_hot_key", _classes_of(_HOT, 40, 3))
+def birthday_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key that a third of all rows or more have."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = F.when(F.col("l_linenumber") <= 2, F.lit(77).cast("long")).otherwise(F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    kept = _one(points(table_draws(lines.select(key.alias("key")), ["key"]), Grid(40, 1, 24)))
+    return class_counts(spacings(kept, CellCodec(40)), 40, 3).drop("rep")
+
+
+def _ordered(spark: SparkSession, sf_dir: str, name: str, columns: list[str], order: list[str], grid: Grid) -> tuple[DataFrame, int]:
+    draws, samples = ordered_draws(spark.read.parquet(f"{sf_dir}/{name}.parquet"), columns, order)
+    return points(draws, grid), samples
+
+
+def _stages_sql(rows: str, stages: int) -> str:
+    """Checkpoints of ``rows`` (sample, cell) by sums over the stages; ``cell`` is null where a sample is not kept."""
+    return f"""WITH r AS {rows}, z AS (SELECT max(sample) + 1 AS n FROM r),
+p AS (SELECT ((sample + 1) * {stages} + z.n - 1) // z.n AS stage, row_number() OVER (PARTITION BY cell ORDER BY sample) > 1 AS again FROM r, z WHERE cell IS NOT NULL),
+c AS (SELECT stage, count(*) AS n, count_if(again) AS again FROM p GROUP BY stage)
+SELECT CAST(range AS BIGINT) AS stage, CAST(coalesce(sum(n) OVER (ORDER BY range), 0) AS BIGINT) AS points, CAST(coalesce(sum(again) OVER (ORDER BY range), 0) AS BIGINT) AS collisions
+FROM range(1, {stages + 1}) LEFT JOIN c ON stage = range"""
+
+
+@_query("checkpoints_events_by_time", _stages_sql(
+    "(SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS sample, CASE WHEN user_id % 2 = 0 THEN (user_id & 4095) >> 1 END AS cell FROM events)", 100))
+def checkpoints_events_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, samples = _ordered(spark, sf_dir, "events", ["user_id"], ["ts", "event_id"], Grid(12, 1, 52, 1))
+    return checkpoint_counts(kept.withColumn("rep", F.lit(1)), CellCodec(11), samples, 100).drop("rep")
+
+
+_BY_DATE = "row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1"
+_DATE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@_query("checkpoints_lineitem_by_date", _stages_sql(
+    f"(SELECT {_BY_DATE} AS sample, CASE WHEN l_partkey % 2 = 0 AND l_suppkey % 2 = 0 THEN ((l_partkey & 1023) >> 1 << 9) | ((l_suppkey & 1023) >> 1) END AS cell FROM lineitem)", 32))
+def checkpoints_lineitem_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, samples = _ordered(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey"], _DATE_ORDER, Grid(10, 2, 54, 1))
+    return checkpoint_counts(_one(kept), CellCodec(18), samples, 32).drop("rep")
+
+
+MANY_STAGES = 1 << 20
+
+
+@_query("checkpoints_lineitem_many_stages", _stages_sql(
+    f"(SELECT {_BY_DATE} AS sample, CASE WHEN l_orderkey % 2 = 0 THEN (l_orderkey & 65535) >> 1 END AS cell FROM lineitem)", MANY_STAGES))
+def checkpoints_lineitem_many_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, samples = _ordered(spark, sf_dir, "lineitem", ["l_orderkey"], _DATE_ORDER, Grid(16, 1, 48, 1))
+    return checkpoint_counts(_one(kept), CellCodec(15), samples, MANY_STAGES).drop("rep")
+
+
+_EXPECTED_SQL = "CASE WHEN points <= 1 THEN 0 ELSE points - 4096 + 4096 * exp(points * ln(1 - 1 / 4096.0)) END"
+
+
+@_query("repetitions_orders", f"""
+WITH r AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS j, count(*) OVER () AS n, o_custkey FROM orders),
+k AS (SELECT CASE WHEN j < (n % 3) * (n // 3 + 1) THEN j // (n // 3 + 1) ELSE n % 3 + (j - (n % 3) * (n // 3 + 1)) // (n // 3) END + 1 AS rep, (o_custkey & 8191) >> 1 AS cell FROM r WHERE o_custkey % 2 = 0),
+c AS (SELECT rep, sum(n) AS points, sum(n - 1) AS collisions FROM (SELECT rep, cell, count(*) AS n FROM k GROUP BY ALL) GROUP BY rep),
+m AS (SELECT rep, points, collisions, {_EXPECTED_SQL} AS mean FROM c)
+SELECT CAST(rep AS INTEGER) AS rep, CAST(points AS BIGINT) AS points, CAST(collisions AS BIGINT) AS collisions, round(mean, 6) AS mean, CAST(sum(points) OVER w AS BIGINT) AS cum_points,
+  CAST(sum(collisions) OVER w AS BIGINT) AS cum_collisions, round(sum(mean) OVER w, 6) AS cum_mean FROM m WINDOW w AS (ORDER BY rep)""")
+def repetitions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three contiguous segments of the orders by date, each with the mean of the points that it keeps."""
+    kept, samples = _ordered(spark, sf_dir, "orders", ["o_custkey"], ["o_orderdate", "o_orderkey"], Grid(13, 1, 51, 1))
+    found = repetition_report(in_repetitions(kept, samples, 3), CellCodec(12))
+    return found.select("rep", "points", "collisions", F.round("mean", 6).alias("mean"), "cum_points", "cum_collisions", F.round("cum_mean", 6).alias("cum_mean"))
+
+
+MANY_PASSES = 22
+_MANY_CELLS = "(SELECT ((l_orderkey & 4095) << 12) | (l_partkey & 4095) AS cell FROM lineitem)"
+
+
+@_query("passes_lineitem_many", f"""
+SELECT *, CAST(sum(points) OVER (ORDER BY pass) AS BIGINT) AS cum_points, CAST(sum(collisions) OVER (ORDER BY pass) AS BIGINT) AS cum_collisions
+FROM ({_collisions_sql(_MANY_CELLS, f"cell >> {24 - MANY_PASSES}")})""")
+def passes_lineitem_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2^22 passes with what has added up so far."""
+    kept = _table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey"], Grid(12, 2, 52))
+    return running_sums(pass_counts(kept, CellCodec(24), MANY_PASSES), ["rep"], "pass", {"cum_points": "points", "cum_collisions": "collisions"}, top=MANY_PASSES).drop("rep")
+
+
+PRUNED = Grid(24, 1, 40)
+
+
+@_query("collision_pruned_pass", f"SELECT * FROM ({_collisions_sql('(SELECT o_orderkey & 16777215 AS cell FROM orders)', 'cell >> 12')}) WHERE pass = 1")
+def collision_pruned_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass of raw keys; its range reaches the scan."""
+    orders = in_pass(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", PRUNED, 12, 1)
+    return pass_counts(_one(points(table_draws(orders, ["o_orderkey"]), PRUNED)), CellCodec(24), 12, only=1).drop("rep")
+
+
+@_query("replay_lineitem", _collisions_sql(_LINES, "cell >> 17"))
+def replay_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pass counted from its own folder of a table of cells written by pass."""
+    kept = by_pass(_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey"], LINE_GRID), CellCodec(20), 3)
+    parts = [pass_counts(kept.where(F.col("pass") == k).drop("pass"), CellCodec(20), 3).drop("rep") for k in range(8)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query("loads_lineitem", f"""
+WITH c AS {_LINES}, d AS (SELECT cell, count(*) AS n FROM c GROUP BY cell),
+l AS (SELECT 'pass' AS kind, cell >> 16 AS unit, count(*) AS load FROM d GROUP BY ALL UNION ALL SELECT 'interval', cell >> 16, sum(n) FROM d GROUP BY ALL
+  UNION ALL SELECT 'class', spacing & 15, count(*) FROM (SELECT CAST(spacing AS BIGINT) AS spacing FROM {_spacings_sql('c', 20)}) GROUP BY ALL),
+m AS (SELECT count(*) AS n, 4 * ln(2.0) + 1000 * ln(10.0) AS g FROM c)
+SELECT kind, CAST(unit AS BIGINT) AS unit, CAST(load AS BIGINT) AS load, cap, load > cap AS alarm
+FROM l, (SELECT CAST(least(n, ceil(n / 16.0 + g / 3 + sqrt(g * g / 9 + 2 * n / 16.0 * g))) AS BIGINT) AS cap FROM m)""")
+def loads_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return load_report(table_draws(lines, ["l_partkey", "l_suppkey"]), LINE_GRID, 4)
+
+
+@_query("shares_orders", f"""
+WITH c AS ({_collisions_sql('(SELECT o_custkey & 16383 AS cell FROM orders)')})
+SELECT points, collisions, round(points - 16384 + 16384 * exp(points * ln(1 - 1 / 16384.0)), 6) AS mean FROM c""")
+def shares_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of 64 units in five shares, counted one after the other, kept, and combined."""
+    path = f"{shared_folder(spark)}/shares-{uuid.uuid4().hex}"
+    grid = Grid(14, 1, 50)
+    run_shares(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_custkey"], grid, 6, 5, path)
+    return combined(spark, path, grid, 6).select("points", "collisions", F.round("mean", 6).alias("mean"))
+
+
+@_query("stream_events", _collisions_sql("(SELECT ((event_id & 255) << 8) | (user_id & 255) AS cell FROM events)", "cell >> 13"))
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events dealt into six files and read as a stream of one file a batch; the last change of each pass."""
+    place, grid = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", Grid(8, 2, 56)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    events.repartition(6, "event_id").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    writer = change_writer(table_draws(stream, ["event_id", "user_id"]), grid, f"{place}/out", 3)
+    writer.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark.read.schema("pass long, points long, collisions long, batch long").parquet(f"{place}/out"))
 
 
 # ----- generators: the first draws, as hexadecimal text -----

@@ -188,10 +188,11 @@ def _birthday(kept: Callable[[], DataFrame], made: Source, codec: CellCodec, run
         loaded = rows.groupBy("rep", codec.top(told).alias("pass")).agg(F.count("*").alias("n"))
     loads = {(r["rep"], r["pass"]): r["n"] for r in loaded.collect()}
     got = {}
+    if crowded:
+        found = stored(spacings(rows if codec.width > 64 else kept(), codec, interval_bits(codec, run.points * run.reps)))
     for only in _units(run):
         if crowded:
-            rows = rows if codec.width > 64 else kept()
-            counted = class_counts(spacings(rows, codec, interval_bits(codec, run.points)), codec.width, run.b, only)
+            counted = class_counts(found, codec.width, run.b, only)
         else:
             counted = packed_class_counts(made, runs, borders, run.b, only)
         got |= {(r["rep"], r["klass"]): r for r in counted.collect()}

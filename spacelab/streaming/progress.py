@@ -33,3 +33,37 @@ def progress_writer(draws: DataFrame, grid: Grid, path: str, b: int = 0) -> Data
         )
 
     return cell_counts(draws, grid).writeStream.outputMode("complete").foreachBatch(sink)
+
+
+def running_passes(draws: DataFrame, grid: Grid, b: int = 0) -> DataFrame:
+    """A streaming DataFrame of draws -> (pass, points, collisions) of everything so far.
+
+    In update mode a micro-batch sends only the passes that it changed.  The state holds each distinct cell once, as the
+    key of ``dropDuplicates``, and a row a pass; nothing leaves the state store but new cells and changed passes.
+    """
+    codec = CellCodec(grid.width)
+    kept = points(draws, grid).select(*codec.columns, codec.top(b).alias("pass"))
+    every = kept.select("pass", F.lit(1).cast("long").alias("n"))
+    first = kept.dropDuplicates(codec.columns).select("pass", F.lit(0).cast("long").alias("n"))
+    return every.unionByName(first).groupBy("pass").agg(
+        F.sum("n").alias("points"), F.sum(2 * F.col("n") - 1).alias("collisions"))
+
+
+def change_writer(draws: DataFrame, grid: Grid, path: str, b: int = 0) -> DataStreamWriter:
+    """Writes the passes that each micro-batch changed below ``path``, as a partition of the batch's number; start() it.
+
+    A batch that is run again after a failure replaces its own partition.
+    """
+
+    def sink(changes: DataFrame, batch: int) -> None:
+        (
+            changes.withColumn("batch", F.lit(batch).cast("long")).coalesce(1)  # 2^b rows at most
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        )
+
+    return running_passes(draws, grid, b).writeStream.outputMode("update").foreachBatch(sink)
+
+
+def latest(changes: DataFrame) -> DataFrame:
+    """(pass, points, collisions) as of each pass's last change."""
+    return changes.groupBy("pass").agg(F.max_by(F.struct("points", "collisions"), "batch").alias("at")).select("pass", "at.points", "at.collisions")
