@@ -10,10 +10,11 @@ place consuming it.
 
 A sentence ends at a stop before white space or at a line without words; line ends inside it do not matter, so wrapped
 sentences and sentences behind comment signs are found, and so is a grant inside a sentence of any length, unless it is
-denied ("not licensed under").  A sentence of licence texts may have any words where its template has a star.
+denied ("not licensed under").  A sentence of licence texts may have any words, up to ``REACH``, where its template has a star.  A licence
+named before "licensed", after "under" or by the address of its text is granted too.
 
-One pass, no shuffle; a sentence is held in runs of at most ``RUN`` words, whatever its length.  Texts without any of
-the single words of ``NEEDED`` are not cut at all; a bare title or "uses" in them is no licence.
+One pass, no shuffle; a sentence is held in runs of at most ``RUN`` words, whatever its length.  Texts in which
+``NEEDED`` finds nothing hold no known phrase and are not cut.
 
 Defined results: a null or empty text, or one without licence sentences, has empty lists; repeated rows are scanned
 each; a sentence that speaks of a licence but is unknown counts in n_unknown; bytes that are not UTF-8 read as
@@ -35,8 +36,8 @@ from pyspark.sql import types as T
 from .common import decoded, id_type, keyed_text, lean, portions
 
 RUN = 4096
-#: Words that a phrase, the names after it and their tails may take up beyond the place where it starts.
-REACH = 128
+#: Words that a phrase, its stars, the names after it and their tails may take up beyond the place where it starts.
+REACH = 4096
 
 # ----- templates: (a|b) is a choice, (a|) may be left out -----
 
@@ -98,14 +99,15 @@ def _names() -> dict[tuple[str, ...], str]:
 
 
 NAMES = _names()
-#: Openings of grants; ``label`` counts at the start of a line, ``uses`` only before a name that says "license".
+#: Openings of grants; ``label`` counts at the start of a line, ``uses`` only before a name that says "license" or a version.
 _TERMS = "(terms of|terms and conditions of|conditions of|) (either of|either|)"
 GRANTS = {
     "grant": (f"(licensed|released|distributed|available|provided|published|shared|offered|redistributed|used|reused) (to you|) under {_TERMS}",
               f"(covered|governed) by {_TERMS}", f"(is|are) subject to {_TERMS}", f"bound by {_TERMS}",
-              f"redistribute it and or modify it under {_TERMS}", "spdx license identifier"),
+              f"redistribute it and or modify it under {_TERMS}", "spdx license identifier",
+              "(opensource.org|spdx.org|gnu.org) (licenses|license|licenses old licenses)"),
     "label": ("license",),
-    "uses": ("(use|uses|using)",),
+    "uses": ("(use|uses|using)", f"under {_TERMS}"),
 }
 #: Sentences of licence texts; a star stands for any words up to the next part.
 SENTENCES = (
@@ -224,7 +226,10 @@ def _sentence_entries() -> dict[tuple[str, ...], object]:
 _NAME_TABLE, _LATER_TABLE, _AND_TABLE = _Table(NAMES), _Table(LATER), _Table(dict.fromkeys(_AND, True))
 _SENTENCE_TABLE = _Table(_sentence_entries())
 _GRANT_TABLE = _Table({w: kind for kind, templates in GRANTS.items() for t in templates for w in expanded(t)})
-_STARTS = frozenset([*_NAME_TABLE.lengths, *_SENTENCE_TABLE.lengths, *_GRANT_TABLE.lengths, "copyright"])
+_ADDRESS_TABLE = _Table({
+    ("creativecommons.org", "licenses", *kind.lower().split("-"), version): f"CC-{kind}-{version if '.' in version else version + '.0'}"
+    for kind in _CC_KINDS for version in _CC_VERSIONS})
+_STARTS = frozenset([*_ADDRESS_TABLE.lengths, *_NAME_TABLE.lengths, *_SENTENCE_TABLE.lengths, *_GRANT_TABLE.lengths, "copyright"])
 
 
 def _sentence_at(words: list[str], i: int) -> tuple[str, int] | None:
@@ -235,7 +240,7 @@ def _sentence_at(words: list[str], i: int) -> tuple[str, int] | None:
     for name, rest in found[0] if found else ():
         at = found[1]
         for part in rest:
-            at = next((k + len(part) for k in range(at, min(at + REACH // 2, len(words) - len(part) + 1)) if tuple(words[k : k + len(part)]) == part), None)
+            at = next((k + len(part) for k in range(at, min(at + REACH, len(words) - len(part) + 1)) if tuple(words[k : k + len(part)]) == part), None)
             if at is None:
                 break
         if at is not None:
@@ -314,6 +319,15 @@ def _identified(words: list[str], starts: set[int], begins: bool, limit: int) ->
                     out += [f"grant:{n}" for n in names]
                 i = end
                 continue
+        if address := _ADDRESS_TABLE.at(words, i):
+            out.append(f"grant:{address[0]}")
+            i = address[1]
+            continue
+        if (named := _name_at(words, i)) and words[named[1] : named[1] + 1] == ["licensed"]:
+            if not _denied(words, i):
+                out.append(f"grant:{named[0]}")
+            i = named[1] + 1
+            continue
         if begins and i == 0 and (title := _name_at(words, 0)) and title[2]:
             name, end, _ = title
             if end == len(words) or end in starts or _dated(words, end):
@@ -329,9 +343,10 @@ def _dated(words: list[str], i: int) -> bool:
     return i + 1 < len(words) and words[i] in _MONTHS and words[i + 1].isdigit()
 
 
-#: One of these is part of a word of every known sentence.
-NEEDED = ("licen", "copyright", "permission", "permitted", "redistribut", "warrant", "domain", "spdx", "reserved", "under", "covered", "governed", "subject", "bound",
-          "retain", "endorse", "portions", "obtain", "contributor", "gpl", "mpl", "attribution", "creative", "cc0", "bsd", "reproduce")
+#: What is part of every known sentence, grant and title; a title without "license" has a version, so a name that takes one.
+NEEDED = re.compile(
+    "licen|copyright|permission|permitted|redistribut|warrant|domain|spdx|reserved|under|covered|governed|subject|bound|retain|endorse|portions|obtain|"
+    r"contributor|gpl|mpl|attribution|creative|cc0|bsd|reproduce|apache|bsl|mozilla|\bcc\b")
 
 
 def sentences(text: str) -> Iterator[tuple[list[str], list[str]]]:
@@ -397,7 +412,7 @@ _SPEAKS = frozenset((("licensed", "under"), ("license", "under")))
 def scan(text: str | None) -> tuple[list[str], list[str], int]:
     """(licences, identifiers of known sentences, unknown sentences that speak of a licence)."""
     low = text.lower() if text else ""
-    if not any(x in low for x in NEEDED):
+    if not NEEDED.search(low):
         return [], [], 0
     known, unknown = [], 0
     for words, found in sentences(low):
