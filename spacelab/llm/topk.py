@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
 Vectors are turned into integers once and stored, candidates in one table, queries in another that is parted into blocks
-of about ``BLOCK`` by a hash.  A block is broadcast (its size is fixed by the block and the dimension); every candidate
+of about ``BLOCK`` queries or ``BLOCK_BYTES`` by a hash.  A block is broadcast; every candidate
 row is scored against it where it lies.  Scores are integers.  Each pass counts scores per query in histogram bins over
 the range that still holds the k-th value; counts are added up before they are compared, and the bin with the k-th value
 becomes the next, finer range, until a bin is one integer.  A last pass returns all scores above the k-th value and, of
@@ -32,7 +32,8 @@ from .common import lean, written
 K = 20
 SCALE = 64
 EVERY = 20
-BLOCK = 8192
+BLOCK = 8192  # queries, fewer where their vectors are long
+BLOCK_BYTES = 32 << 20
 BINS = 256
 _CELLS = 1 << 22  # scores held at once
 _EXACT = 1 << 53
@@ -233,7 +234,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     done = 0
     for size, n in sorted((r["size"], r["n"]) for r in asked.groupBy("size").agg(F.count("*").alias("n")).collect()):  # a row a vector length
-        blocks = -(-n // block)
+        blocks = -(-n // max(1, min(block, BLOCK_BYTES // (8 * max(size, 1)))))
         mine, against = asked.where(F.col("size") == size), rows.where(F.col("size") == size)
         for part in range(blocks):
             held = mine.where(F.pmod("part", F.lit(blocks)) == part).select("id", "size", "vec").toArrow()  # about ``block`` queries
