@@ -11,9 +11,9 @@ leave two untouched, so linked fingerprints agree in both ranges of at least one
 group.  Inside a group fingerprints are sorted by the pivot distance that spreads most, each meets only the window
 within ``DISTANCE`` of its own, the largest difference over all pivots discards, and survivors are verified bit by bit.
 
-A group above ``GROUP`` fingerprints is cut into pivot cells, ranges of ``CELL`` distances to a few pivots.  A linked
-pair lies in the same or in neighbouring cells, so a fingerprint goes to its own cell and, where one of its distances is
-among the first ``DISTANCE`` of a cell, to the cell below: 2^``MOST_SPLITS`` copies at most, however large the group.
+A group above ``GROUP`` fingerprints is dealt again: the bits in which its members may differ are parted in four, and as
+linked fingerprints agree in one of the four, each goes to four smaller groups, again and again until none is crowded;
+few groups take part, and the bits run out before a group can be crowded without end.
 A group yields a spanning star of each local component, not pairs.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; repeated rows share a
@@ -42,8 +42,7 @@ SHINGLE = 3
 DISTANCE = 3
 PIVOTS = 32
 GROUP = 2048
-CELL = 8
-MOST_SPLITS = 6
+FEW_BITS = 11
 #: A fingerprint of more than this share of the rows is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 1 / 1000
 #: (first bit, bits) of the five ranges.
@@ -200,22 +199,50 @@ def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp, pivots, splits) of crowded groups -> (key of the pivot cell, fp, pivots), copies for the cells below."""
+def _parts(rest: int) -> list[int]:
+    """The bits of ``rest`` as four runs of about equal length; three differing bits leave one of them untouched."""
+    bits = [b for b in range(64) if rest >> b & 1]
+    cuts = [len(bits) * k // (DISTANCE + 1) for k in range(DISTANCE + 2)]
+    return [sum(1 << b for b in bits[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+
+def _dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, pivots, rest) of crowded groups -> a copy for each part of the bits that the group may still differ in,
+    with the part's bits in its key and out of ``rest``."""
     for batch in batches:
-        table, splits = _rows_of(batch.column("pivots")), batch.column("splits").to_numpy()
-        place, low = table.astype(np.int64) // CELL, table % CELL < DISTANCE
-        for k in np.unique(splits).tolist():
-            for below in range(1 << k):
-                down = np.array([below >> c & 1 for c in range(k)], bool)
-                rows = np.flatnonzero((splits == k) & (low[:, :k] | ~down).all(axis=1))
-                if len(rows):
-                    key = batch.column("key").to_numpy()[rows].view(np.uint64)
-                    with np.errstate(over="ignore"):
-                        for c in range(k):  # keys of different cells may meet by chance; that only adds pairs to discard
-                            key = (key ^ (key >> np.uint64(29))) * _MIX[0] + (place[rows, c] - int(down[c]) + 1).astype(np.uint64) * _MIX[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), batch.column("fp").take(pa.array(rows)), batch.column("pivots").take(pa.array(rows))], names=["key", "fp", "pivots"])
+        keys, fps, rests = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "fp", "rest"))
+        for rest in np.unique(rests).tolist():
+            rows = np.flatnonzero(rests == rest)
+            for k, part in enumerate(_parts(rest)):
+                with np.errstate(over="ignore"):  # groups may meet by chance; that only adds pairs to discard
+                    key = (keys[rows] ^ (keys[rows] >> np.uint64(29))) * _MIX[0] + np.uint64(k + 1)
+                    key = (key ^ (key >> np.uint64(31))) * _MIX[1] + ((fps[rows] & np.uint64(part)) * _MIX[0] >> np.uint64(1)) * _MIX[1]
+                at = pa.array(rows)
+                left = np.full(len(rows), rest & ~part, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), batch.column("fp").take(at), batch.column("pivots").take(at), pa.array(left.view(np.int64))],
+                    names=["key", "fp", "pivots", "rest"])
+
+
+def _groups(rows: DataFrame, group: int) -> DataFrame:
+    """(key, fp, pivots) in groups of at most ``group``: crowded groups of ``rows`` (with rest) are dealt again until none is.
+
+    Groups that may differ in ``FEW_BITS`` bits have 2^``FEW_BITS`` members at most, so this ends.
+    """
+    done, salts = None, 16  # a group may hold a third of all rows; the join has to spread it
+    while True:
+        counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.bit_count("rest")).alias("bits"))
+        crowded = written(counted.where((F.col("n") > group) & (F.col("bits") > FEW_BITS)).select("key"))
+        if crowded.isEmpty():
+            small = rows.select("key", "fp", "pivots")
+            return small if done is None else done.unionByName(small)
+        spread = crowded.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("crowded"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["key", "salt"], "left")
+        salted = written(salted.select("key", "fp", "pivots", "rest", "crowded"))
+        small = salted.where("crowded IS NULL").select("key", "fp", "pivots")
+        done = small if done is None else done.unionByName(small)
+        again = salted.where("crowded").select("key", "fp", "pivots", "rest")
+        rows = written(again.mapInArrow(lean(_dealt_again), "key long, fp long, pivots binary, rest long"))
 
 
 def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
@@ -225,20 +252,12 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
         F.lit(k << 26).bitwiseOR(F.shiftleft(bits[a], 13)).bitwiseOR(bits[b])
         for k, (a, b) in enumerate(combinations(range(len(RANGES)), 2))
     ]
-    each = F.explode(F.array(*keys)).alias("key")
-    crowded = written(distinct.select(each).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group))
+    masks = [((1 << n) - 1) << at for at, n in RANGES]
+    rests = [~(masks[a] | masks[b]) & ((1 << 64) - 1) for a, b in combinations(range(len(RANGES)), 2)]
+    each = F.explode(F.array(*(F.struct(k.alias("key"), F.lit(r - (1 << 64) if r >> 63 else r).cast("long").alias("rest")) for k, r in zip(keys, rests)))).alias("x")
     table = distinct if "pivots" in distinct.columns else written(pivoted(distinct.select("fp")))
-    rows = table.select(each, "fp", "pivots")
-    dealt = rows
-    if not crowded.isEmpty():
-        salts = 16  # a group may hold a third of all rows; the join has to spread it
-        splits = F.least(F.ceil(F.log2(F.col("n") / (group // 2))), F.lit(MOST_SPLITS)).cast("int").alias("splits")
-        spread = crowded.select("key", splits, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["key", "salt"], "left")
-        salted = written(salted.select("key", "fp", "pivots", "splits"))
-        dealt = salted.where("splits IS NULL").select("key", "fp", "pivots").union(
-            salted.where("splits IS NOT NULL").mapInArrow(_cells, "key long, fp long, pivots binary"))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_link_sorted), "u long, v long")
+    rows = table.select(each, "fp", "pivots").select("x.key", "fp", "pivots", "x.rest")
+    return _groups(rows, group).repartition("key").sortWithinPartitions("key").mapInArrow(lean(_link_sorted), "u long, v long")
 
 
 def classes(fps: DataFrame) -> DataFrame:

@@ -375,3 +375,28 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert Counter({r["doc_id"]: r["doc_tokens"] for r in pieces}.keys()) == Counter(i for i, _ in left) and (184 in {i for i, _ in left})
     assert 20 < len(left) < 150
+
+
+def test_crowded_fingerprint_groups_are_dealt_again(spark):
+    """Forty thousand fingerprints that share 26 bits: no group stays crowded, no link is lost."""
+    rng = np.random.default_rng(5)
+    own = np.unique(rng.integers(0, 1 << 38, 40_000, dtype=np.uint64) << np.uint64(26))
+    planted = own[:200] ^ (np.uint64(1) << rng.integers(26, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(26, 64, 200).astype(np.uint64))
+    fps = np.unique(np.concatenate([own, planted]))
+    table = simhash.pivoted(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"))
+    rows = table.select(F.lit(1).cast("long").alias("key"), "fp", "pivots", F.lit(-(1 << 26)).cast("long").alias("rest"))
+    sizes = [r["count"] for r in simhash._groups(rows, simhash.GROUP).groupBy("key").count().collect()]
+    assert max(sizes) <= simhash.GROUP and sum(sizes) == 4 * len(fps)
+    edges = {tuple(sorted((r["u"], r["v"]))) for r in simhash.links(table.select("fp")).collect()}
+    root = {int(x): int(x) for x in fps.view(np.int64)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        assert (u ^ v).bit_count() <= 3 if (u ^ v) >= 0 else ((u ^ v) & (2**64 - 1)).bit_count() <= 3
+        root[find(u)] = find(v)
+    for a, b in zip(own[:200].view(np.int64).tolist(), planted.view(np.int64).tolist()):
+        assert find(a) == find(b)
