@@ -415,6 +415,21 @@ def birthday_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_counts(spacings(kept, CellCodec(40)), 40, 3).drop("rep")
 
 
+_FULL = f"(SELECT {_wide('l_orderkey')} * {_wide(M64)} + {_wide('l_partkey * 8 + l_linenumber')} AS cell FROM lineitem)"
+
+
+@_query("birthday_lineitem_128_bits", f"""WITH c AS {_FULL},
+s AS (SELECT spacing FROM (SELECT cell - lag(cell) OVER (ORDER BY cell) AS spacing FROM c) WHERE spacing IS NOT NULL
+      UNION ALL SELECT {_wide(2**128 - 1)} - max(cell) + min(cell) + {_wide(1)} FROM c HAVING max(cell) > min(cell))
+SELECT CAST(k AS BIGINT) AS klass, CAST(sum(n) AS BIGINT) AS spacings, CAST(sum(n - 1) AS BIGINT) AS collisions
+FROM (SELECT spacing % {_wide(8)} AS k, spacing, count(*) AS n FROM s GROUP BY spacing) GROUP BY k""")
+def birthday_lineitem_128_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of 128 bits from two whole columns; most rows share their upper words' leading bits."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("low"))
+    kept = _one(points(table_draws(lines, ["l_orderkey", "low"]), Grid(64, 2)))
+    return class_counts(spacings(kept, CellCodec(128)), 128, 3).drop("rep")
+
+
 def _ordered(spark: SparkSession, sf_dir: str, name: str, columns: list[str], order: list[str], grid: Grid) -> tuple[DataFrame, int]:
     draws, samples = ordered_draws(spark.read.parquet(f"{sf_dir}/{name}.parquet"), columns, order)
     return points(draws, grid), samples
