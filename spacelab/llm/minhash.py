@@ -54,7 +54,7 @@ BITS = 4
 FINE = 1024
 SIGMAS = 5
 GROUP = 4096
-QUOTAS = (2, 256)  # of the second and third round; sixteen times as many in each that follows
+QUOTAS = (2, 1024)  # of the second and third round; sixteen times as many in each that follows
 SEED = 12
 #: A class of more than this share of the rows is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 1 / 1000
@@ -236,7 +236,7 @@ def _salted(rows: DataFrame, keys: DataFrame, by: str, spread: str, salts: int =
 
 
 def _buckets(classes: DataFrame, group: int) -> DataFrame:
-    """(key, node, sig): the members of every bucket of two classes or more; crowded buckets are dealt again."""
+    """(key, node, sig, bands): the members of every bucket of two classes or more; crowded buckets are dealt again."""
     each = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     counted = written(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = written(_salted(each, counted, "key", "node"))
@@ -249,7 +249,7 @@ def _buckets(classes: DataFrame, group: int) -> DataFrame:
         cell = _size_cell()
         again = again.select("node", F.explode(F.array(cell, cell + 1)).alias("cell"), "key", "second")
         dealt = dealt.unionByName(again.select(F.xxhash64("key", "second", "cell").alias("key"), "node"))
-    return written(dealt.join(classes.select("node", "sig").hint("merge"), "node").select("key", "node", "sig"))
+    return written(dealt.join(classes.select("node", "sig", "bands").hint("merge"), "node").select("key", "node", "sig", "bands"))
 
 
 def _stream_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -284,12 +284,15 @@ def _firsts(node: np.ndarray, signatures: np.ndarray, bound: int, most: int = 16
             return
 
 
-def _likeliest(label: np.ndarray, node: np.ndarray, signatures: np.ndarray, bound: int, quota: int) -> Iterator[tuple[int, int, int, bool]]:
+def _likeliest(
+    key: int, label: np.ndarray, node: np.ndarray, signatures: np.ndarray, bands: np.ndarray, bound: int, quota: int
+) -> Iterator[tuple[int, int, int, bool]]:
     """For each class outside the largest component its ``quota`` likeliest links to other components.
 
-    A pair of two components, neither the largest, is looked at once, from the later one.  The last column tells whether
-    the class has more.
+    A pair of two components, neither the largest, is looked at once, from the later one, and a pair that meets in
+    several buckets only in that of its first band.  The last column tells whether the class has more.
     """
+    own = np.flatnonzero((bands == key).all(axis=0))  # the bucket's band, none for one that was dealt again
     names, size = np.unique(label, return_counts=True)
     largest = names[size.argmax()]
     rows = np.flatnonzero(label != largest)
@@ -298,15 +301,17 @@ def _likeliest(label: np.ndarray, node: np.ndarray, signatures: np.ndarray, boun
         equal = np.concatenate([matches(signatures, i, np.arange(to, min(to + (1 << 14), len(node)))) for to in range(0, len(node), 1 << 14)], axis=1)
         ours, theirs = label[i][:, None], label[None, :]
         equal[(ours == theirs) | ((theirs != largest) & (theirs > ours)) | (equal < bound)] = -1
-        counts = (equal >= 0).sum(axis=1)
-        for a in np.flatnonzero(counts).tolist():
+        for a in np.flatnonzero((equal >= 0).any(axis=1)).tolist():
             found = np.flatnonzero(equal[a] >= 0)
-            if counts[a] > quota:
+            if len(own):
+                found = found[~(bands[found, : own[0]] == bands[i[a], : own[0]]).any(axis=1)]
+            count = len(found)
+            if count > quota:
                 found = found[np.lexsort((node[found], -equal[a, found]))[:quota]]
             u = int(node[i[a]])
             for k in found.tolist():
                 v = int(node[k])
-                yield min(u, v), max(u, v), int(equal[a, k]), bool(counts[a] > quota)
+                yield min(u, v), max(u, v), int(equal[a, k]), count > quota
 
 
 def _apart(quota: int | None, bound: int):
@@ -327,8 +332,9 @@ def _apart(quota: int | None, bound: int):
             if len(node) < 2 or (label == label[0]).all():
                 continue
             signatures = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(node), -1)
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
             order = np.lexsort((node, label))
-            label, node, signatures = label[order], node[order], signatures[order]
+            label, node, signatures, bands = label[order], node[order], signatures[order], bands[order]
             key = table.column("key")[0].as_py()
             if quota is None:  # the best first link of each class goes on
                 for u, v, equal, more in _firsts(node, signatures, bound):
@@ -339,7 +345,7 @@ def _apart(quota: int | None, bound: int):
                     best.clear()
                     yield sent()
                 continue
-            for pair in _likeliest(label, node, signatures, bound, quota):
+            for pair in _likeliest(key, label, node, signatures, bands, bound, quota):
                 out.append((key, *pair))
                 if len(out) >= 1 << 16:
                     yield sent()
@@ -400,7 +406,7 @@ def _fine(buckets: DataFrame, sets: DataFrame) -> DataFrame:
 
     asked = sets.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi")
     made = written(asked.mapInArrow(lean(run), "node long, sig binary"))
-    return written(buckets.select("key", "node").join(made.hint("merge"), "node").select("key", "node", "sig"))
+    return written(buckets.select("key", "node", "bands").join(made.hint("merge"), "node").select("key", "node", "sig", "bands"))
 
 
 def _components(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, group: int) -> DataFrame:
@@ -413,7 +419,7 @@ def _components(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         # first links: a class meets its like in many buckets, so a quarter of them is enough to start with
         named = buckets if quota else buckets.where(F.col("key").bitwiseAND(3) == 0)
         label = F.col("node").alias("label") if roots is None else F.coalesce("root", "node").alias("label")
-        named = (named if roots is None else named.join(roots.hint("merge"), "node", "left")).select("key", "node", "sig", label)
+        named = (named if roots is None else named.join(roots.hint("merge"), "node", "left")).select("key", "node", "sig", "bands", label)
         found = named.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_apart(quota, bound)), "key long, u long, v long, equal int, more boolean")
         found = written(found)
         if quota is None:  # a class's likeliest link first: most classes are joined by it
