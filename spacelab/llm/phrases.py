@@ -26,6 +26,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,8 @@ LONGEST = 5
 BEST = 2000
 SEED = 11
 RUN = 1 << 20  # bytes of a text read at once
-HELD = 1 << 18  # phrases that a task adds up before it sends them
+PORTION = 8 << 20  # bytes of texts that are counted together
+TOKENS = 1 << 22
 
 #: A-Z become lower case, tabs blanks, the nine separators full stops, which no word then holds.
 _FOLD = bytes(
@@ -93,69 +95,69 @@ class _Portion:
         self.langs.append(np.full(len(ids) + 1, lang, np.int64))
         self.size += len(ids) + 1
 
-    def grams(self, k: int, langs: list[bytes], frequent: Bitmap | None) -> Iterator[tuple[int, bytes, int]]:
-        """(language, phrase, occurrences) of the k-grams that may be frequent."""
+    def grams(self, k: int, langs: list[bytes], frequent: Bitmap | None) -> pa.RecordBatch | None:
+        """(lang, phrase, f): the k-grams that may be frequent, each once, with their occurrences here."""
         ids, lang = np.concatenate(self.ids), np.concatenate(self.langs)
         n = len(ids) - k + 1
         if n <= 0:
-            return
+            return None
         whole = np.ones(n, bool)
         for i in range(k):
             whole &= ids[i : i + n] > 0
+        names, at = list(self.index), np.flatnonzero(whole)
         if frequent is not None:
-            names = list(self.index)
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in names), np.uint64, len(names))[ids]
             state = np.array([_start(x) for x in langs], np.uint64)[lang]
             for i in range(k - 1):
                 state = _grown(state[: len(ids) - i], hashes[i:])
             # state[i] now stands for the k-1 words from i on
-            at = np.flatnonzero(whole)
             at = at[frequent.holds(state[at])]
             at = at[frequent.holds(state[at + 1])]
-        else:
-            names, at = list(self.index), np.flatnonzero(whole)
         if not len(at):
-            return
-        code = lang[at]
-        for i in range(k):
-            code = np.unique(code * len(names) + ids[at + i], return_inverse=True)[1]
+            return None
+        code, size = lang[at], len(langs)
+        for i in range(k):  # numbers of equal phrases, made small again before they pass 63 bits
+            if size * len(names) >> 62:
+                known, code = np.unique(code, return_inverse=True)
+                size = len(known)
+            code, size = code * len(names) + ids[at + i], size * len(names)
         _, first, many = np.unique(code, return_index=True, return_counts=True)
-        for a, m in zip(at[first].tolist(), many.tolist()):
-            yield int(lang[a]), b" ".join([names[i] for i in ids[a : a + k].tolist()]), m
+        at = at[first]
+        words = pa.array(names, pa.binary())
+        parts = [words.take(pa.array(ids[at + i])) for i in range(k)]
+        phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k > 1 else parts[0]
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()).take(pa.array(lang[at])), phrase, pa.array(many.astype(np.int64))], names=["lang", "phrase", "f"])
+
+    def words(self, langs: list[bytes]) -> pa.RecordBatch:
+        """(lang, null, words of the language here)."""
+        many = np.bincount(np.concatenate(self.langs)[np.concatenate(self.ids) > 0], minlength=len(langs))
+        some = np.flatnonzero(many)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([langs[i] for i in some], pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(many[some].astype(np.int64))], names=["lang", "phrase", "f"])
 
 
 def _level(rows: DataFrame, k: int, frequent: Bitmap | None) -> DataFrame:
-    """(lang, phrase, f) of the k-grams that may be frequent, in full counts; at level 1 also each language's words under a null phrase."""
+    """(lang, phrase, f) of the k-grams that may be frequent, in full counts; at level 1 also each language's words under a null phrase.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: defaultdict[tuple[bytes, bytes | None], int] = defaultdict(int)
-        weight = 0
-
-        def sent() -> pa.RecordBatch:
-            keys = list(held)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in keys], pa.binary()), pa.array([x for _, x in keys], pa.binary()), pa.array(list(held.values()), pa.int64())],
-                names=["lang", "phrase", "f"])
-            held.clear()
-            return out
-
-        def counted(portion: _Portion, langs: list[bytes]) -> None:
-            nonlocal weight
-            for lang, phrase, m in portion.grams(k, langs, frequent):
-                held[langs[lang], phrase] += m
-                weight += len(phrase)
-            if k == 1:
-                ids, lang = np.concatenate(portion.ids), np.concatenate(portion.langs)
-                for i, m in enumerate(np.bincount(lang[ids > 0], minlength=len(langs)).tolist()):
-                    if m:
-                        held[langs[i], None] += m
+    A task counts a portion of texts at a time; its portions are added up before the shuffle.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in portions(whole, "text"):
+            for batch in portions(whole, "text", PORTION):
                 names = [x or b"" for x in text_bytes(batch.column("lang"))]
                 langs = sorted(set(names))
                 number = {x: i for i, x in enumerate(langs)}
                 portion = _Portion()
+
+                def counted() -> Iterator[pa.RecordBatch]:
+                    if portion.size:
+                        found = portion.grams(k, langs, frequent)
+                        if found is not None:
+                            yield found
+                        if k == 1:
+                            yield portion.words(langs)
+
                 for name, text in zip(names, text_bytes(batch.column("text"))):
                     tail: list[bytes] = []
                     for tokens in token_runs(text):
@@ -163,18 +165,10 @@ def _level(rows: DataFrame, k: int, frequent: Bitmap | None) -> DataFrame:
                             portion.add(tail + tokens[: k - 1], number[name])
                         portion.add(tokens, number[name])
                         tail = (tail + tokens)[-(k - 1) :] if k > 1 else []
-                        if portion.size > RUN:
-                            counted(portion, langs)
+                        if portion.size > TOKENS:
+                            yield from counted()
                             portion = _Portion()
-                            if len(held) > HELD or weight > 1 << 26:
-                                yield sent()
-                                weight = 0
-                if portion.size:
-                    counted(portion, langs)
-                if len(held) > HELD or weight > 1 << 26:
-                    yield sent()
-                    weight = 0
-        yield sent()
+                yield from counted()
 
     made = rows.mapInArrow(lean(run), "lang binary, phrase binary, f long")
     named = made.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "f")
