@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, id_type, keyed_text, lean, pieces, text_bytes, written
+from .common import fresh, id_type, keyed_text, lean, pieces, portions, text_bytes, written
 from .components import connected_components
 
 SEED = 42
@@ -80,7 +80,7 @@ def _bit_counts(words: list[bytes], width: int) -> np.ndarray:
 
 
 def _column(batch: pa.RecordBatch) -> pa.Array:
-    values = np.array([fingerprint(x) for x in text_bytes(batch.column("text"))], np.uint64)
+    values = np.array([fingerprint(x) for part in portions(batch, "text") for x in text_bytes(part.column("text"))], np.uint64)
     return pa.array(values.view(np.int64))
 
 
