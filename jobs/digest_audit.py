@@ -26,8 +26,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import command_line, config_of, log
+from spacelab.functions.columns import expected_collisions_of
 from spacelab.operators.cells import CellCodec
-from spacelab.plans.tables import class_report, pass_report, repetition_report, seen_by
+from spacelab.operators.spacings import spacings
+from spacelab.plans.tables import class_report, counted_cells, repetition_counts, seen_by, with_p
 from spacelab.sources.storage import stored
 
 DIGESTS = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}
@@ -68,17 +70,21 @@ def audit(spark: SparkSession, documents: str, output: str, config: dict) -> Dat
     digests = F.explode(F.array(*(F.struct(F.lit(d).alias("digest"), DIGESTS[d]("word").alias("hex")) for d in config["digests"]))).alias("d")
     rep = F.xxhash64("d.digest", "lang").alias("rep")  # one repetition for each digest and language
     # short cuts of the digests are kept, never words again
-    cut = known.select("lang", "word", digests)
+    hashed = known.select("lang", "word", digests)
     bits, steps = config["collision_bits"], config["spacing_bits"]
-    cells = stored(cut.select(rep, "lang", F.col("d.digest").alias("digest"), _first_bits(F.col("d.hex"), bits).alias("cell"), _first_bits(F.col("d.hex"), steps).alias("far")))
+    cells = stored(hashed.select(rep, "lang", F.col("d.digest").alias("digest"), _first_bits(F.col("d.hex"), bits).alias("cell"), _first_bits(F.col("d.hex"), steps).alias("far")))
     names = cells.select("rep", "lang", "digest").distinct()
-    here, far = cells.select("rep", "cell"), cells.select("rep", F.col("far").alias("cell"))
-    whole = F.lit(0)
+    near, far = CellCodec(bits), CellCodec(steps)
+    counted = counted_cells(cells.select("rep", "cell"), near)
+    spread = counted_cells(cells.select("rep", F.col("far").alias("cell")), far)
+    gaps = spacings(spread, far, counted=True)
+    cut = config["interval_bits"]
+    intervals = counted.groupBy("rep", near.top(cut).alias("unit")).agg(F.sum("n").alias("points"), F.sum(F.col("n") - 1).alias("collisions"))
     parts = [
-        _rounded(repetition_report(here, CellCodec(bits)), whole, "points", "collision"),
-        _rounded(pass_report(here, CellCodec(bits), config["interval_bits"]), F.col("pass"), "points", "collision_by_interval"),
-        _rounded(repetition_report(far, CellCodec(steps), birthday=True), whole, "points", "birthday"),
-        _rounded(class_report(far, CellCodec(steps), config["class_bits"]), F.col("klass"), "spacings", "birthday_by_class")]
+        _rounded(with_p(repetition_counts(counted, near)), F.lit(0), "points", "collision"),
+        _rounded(with_p(intervals.withColumn("mean", expected_collisions_of("points", 2.0 ** (bits - cut)))), F.col("unit"), "points", "collision_by_interval"),
+        _rounded(with_p(repetition_counts(spread, far, gaps)), F.lit(0), "points", "birthday"),
+        _rounded(class_report(spread, gaps, far, config["class_bits"]), F.col("klass"), "spacings", "birthday_by_class")]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -44,7 +44,8 @@ def in_repetitions(kept: DataFrame, samples: int, reps: int) -> DataFrame:
     return kept.withColumn("rep", (F.when(j < longer, F.floor(j / (base + 1))).otherwise(rest) + 1).cast("int"))
 
 
-def _with_p(df: DataFrame, count: str, mean: str, prefix: str) -> DataFrame:
+def with_p(df: DataFrame, count: str = "collisions", mean: str = "mean", prefix: str = "") -> DataFrame:
+    """``df`` with the p-value of a count and, near 1, its distance to 1."""
     p = p_value_of(count, mean)
     return df.withColumn("_p", p).select(*df.columns, F.col("_p.value").alias(f"{prefix}p_value"), F.col("_p.eps").alias(f"{prefix}p_eps"))
 
@@ -55,16 +56,33 @@ def pass_report(kept: DataFrame, codec: CellCodec, b: int) -> DataFrame:
     found = running_sums(pass_counts(kept, codec, b), ["rep"], "pass", {"cum_points": "points", "cum_collisions": "collisions"}, top=max(b, 1))
     found = found.withColumn("mean", expected_collisions_of("points", part)).withColumn(
         "cum_mean", expected_collisions_of("cum_points", (F.col("pass") + 1).cast("double") * part))
-    return _with_p(_with_p(found, "collisions", "mean", ""), "cum_collisions", "cum_mean", "cum_")
+    return with_p(with_p(found), "cum_collisions", "cum_mean", "cum_")
 
 
-def class_report(kept: DataFrame, codec: CellCodec, b: int) -> DataFrame:
-    """(rep, klass, spacings, collisions, mean, p_value, p_eps): a class's mean is its share of that of the points kept."""
-    counted = stored(kept.groupBy("rep", *codec.columns).agg(F.count("*").alias("n")))
-    found = class_counts(spacings(counted, codec, counted=True), codec.width, b)
+def counted_cells(kept: DataFrame, codec: CellCodec) -> DataFrame:
+    """(rep, cell words, n): distinct cells with their points, stored."""
+    return stored(kept.groupBy("rep", *codec.columns).agg(F.count("*").alias("n")))
+
+
+def class_report(counted: DataFrame, found: DataFrame, codec: CellCodec, b: int) -> DataFrame:
+    """(rep, klass, spacings, collisions, mean, p_value, p_eps) from ``counted_cells`` and their ``spacings``.
+
+    A class's mean is its share of that of the points kept.
+    """
     loads = counted.groupBy("rep").agg(F.sum("n").alias("points"))
-    found = found.join(loads, "rep").withColumn("mean", birthday_mean_of("points", 2.0**codec.width) / 2.0**b).drop("points")
-    return _with_p(found, "collisions", "mean", "")
+    each = class_counts(found, codec.width, b).join(loads, "rep")
+    return with_p(each.withColumn("mean", birthday_mean_of("points", 2.0**codec.width) / 2.0**b).drop("points"))
+
+
+def repetition_counts(counted: DataFrame, codec: CellCodec, found: DataFrame | None = None) -> DataFrame:
+    """(rep, points, collisions, mean) from ``counted_cells``; with their ``spacings``, of the birthday-spacings test."""
+    loads = counted.groupBy("rep").agg(F.sum("n").alias("points"), F.sum(F.col("n") - 1).alias("collisions"))
+    cells = 2.0**codec.width
+    if found is None:
+        return loads.withColumn("mean", expected_collisions_of("points", cells))
+    equal = class_counts(found, codec.width).select("rep", "collisions")
+    every = loads.drop("collisions").join(equal, "rep", "left").select("rep", "points", F.coalesce("collisions", F.lit(0)).alias("collisions"))
+    return every.withColumn("mean", birthday_mean_of("points", cells))
 
 
 def repetition_report(kept: DataFrame, codec: CellCodec, birthday: bool = False) -> DataFrame:
@@ -72,26 +90,17 @@ def repetition_report(kept: DataFrame, codec: CellCodec, birthday: bool = False)
 
     A repetition's mean depends on the points that it kept; means and counts of all up to it add up.
     """
-    cells = 2.0**codec.width
-    if birthday:
-        counted = kept.groupBy("rep", *codec.columns).agg(F.count("*").alias("n"))
-        counted = stored(counted)
-        each = CellCodec(codec.width, SPACING).columns
-        equal = spacings(counted, codec, counted=True).groupBy("rep", *each).agg(F.sum("n").alias("n")).groupBy("rep").agg(F.sum(F.col("n") - 1).alias("collisions"))
-        found = counted.groupBy("rep").agg(F.sum("n").alias("points")).join(equal, "rep", "left").select(
-            "rep", "points", F.coalesce("collisions", F.lit(0)).alias("collisions"))
-        found = found.withColumn("mean", birthday_mean_of("points", cells))
-    else:
-        found = pass_counts(kept, codec).select("rep", "points", "collisions").withColumn("mean", expected_collisions_of("points", cells))
+    counted = counted_cells(kept, codec)
+    found = repetition_counts(counted, codec, spacings(counted, codec, counted=True) if birthday else None)
     at = found.withColumn("_at", F.col("rep").cast("long"))
     summed = running_sums(at, [], "_at", {"cum_points": "points", "cum_collisions": "collisions", "cum_mean": "mean"}, top=31).drop("_at")
-    return _with_p(_with_p(summed, "collisions", "mean", ""), "cum_collisions", "cum_mean", "cum_")
+    return with_p(with_p(summed), "cum_collisions", "cum_mean", "cum_")
 
 
 def checkpoint_report(kept: DataFrame, codec: CellCodec, samples: int, stages: int) -> DataFrame:
     """(rep, stage, points, collisions, mean, p_value, p_eps), each for all samples up to the stage's end."""
     found = checkpoint_counts(kept, codec, samples, stages).withColumn("mean", expected_collisions_of("points", 2.0**codec.width))
-    return _with_p(found, "collisions", "mean", "")
+    return with_p(found)
 
 
 # ----- loads -----
@@ -188,7 +197,7 @@ def combined(spark: SparkSession, path: str, grid: Grid, b: int) -> DataFrame:
     if (n["rows"], n["units"]) != (1 << b, 1 << b) or (n["low"], n["high"]) != (0, (1 << b) - 1):
         raise IncompleteRun(f"{n['units']} different units in {n['rows']} rows, not the {1 << b} of this run")
     whole = kept.agg(F.sum("points").alias("points"), F.sum("collisions").alias("collisions"))
-    return _with_p(whole.withColumn("mean", expected_collisions_of("points", 2.0**grid.width)), "collisions", "mean", "")
+    return with_p(whole.withColumn("mean", expected_collisions_of("points", 2.0**grid.width)))
 
 
 def check_shares(shares: int, b: int) -> None:

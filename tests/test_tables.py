@@ -207,7 +207,8 @@ def test_reports_of_passes_and_checkpoints(spark):
     assert found[-1]["cum_points"] == 3000 and math.isclose(found[-1]["cum_mean"], stats.expected_collisions(3000, 1024), rel_tol=1e-12)
     last = tables.checkpoint_report(rows, CellCodec(10), 3000, 5).where("stage = 5").first()
     assert (last["points"], last["collisions"]) == (3000, 3000 - 1013) and math.isclose(last["p_value"], stats.p_value(1987, last["mean"]).value, rel_tol=1e-9)
-    classes = tables.class_report(rows, CellCodec(10), 1).collect()
+    counted = tables.counted_cells(rows, CellCodec(10))
+    classes = tables.class_report(counted, spacings(counted, CellCodec(10), counted=True), CellCodec(10), 1).collect()
     assert sum(r["spacings"] for r in classes) == 3000
 
 
