@@ -7,12 +7,14 @@ pushes into the Parquet scan; the exact predicate on the cell stays, so results
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import signed
 from ..plans.spec import Grid, SpecError
-from ..sources.storage import shared_folder
+from ..sources.storage import delete_at_exit, shared_folder
 from .cells import CellCodec
 
 
@@ -47,14 +49,14 @@ def in_pass(df: DataFrame, column: str, grid: Grid, b: int, only: int) -> DataFr
 def by_pass(points: DataFrame, codec: CellCodec, b: int, path: str | None = None) -> DataFrame:
     """``points`` written once, in a folder for each pass, and read back with a column pass; replaying a pass reads its folder only.
 
-    2^b folders, so b is at most 12.  ``path``: below the shared folder if None.
+    2^b folders, so b is at most 12.  ``path``: below the shared folder if None, and gone with the application.
     """
-    import uuid
-
     if b > 12:
         raise SpecError("more than 2^12 folders; count more passes in one go")
     spark = points.sparkSession
     place = path or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    if path is None:
+        delete_at_exit(spark, place)
     points.withColumn("pass", codec.top(b)).write.mode("overwrite").partitionBy("pass").parquet(place)
     fields = ", ".join(f"{c} {t}" for c, t in points.dtypes)
     return spark.read.schema(f"{fields}, pass long").parquet(place)

@@ -18,7 +18,7 @@ from ..operators.pruning import by_pass, in_pass
 from ..operators.spacings import class_counts, interval_bits, spacings
 from ..sources.generators import PHI, ROMU32, ROMU64, WY4_ADD, WY4_XOR, WY_ADD, WY_XOR
 from ..sources.orbit import orbit
-from ..sources.storage import shared_folder
+from ..sources.storage import delete_at_exit, shared_folder
 from ..sources.table import table_draws
 from ..streaming.progress import change_writer, latest
 from .runner import execute, run_points
@@ -539,6 +539,7 @@ def shares_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run of 64 units in five shares, counted one after the other, kept, and combined."""
     path = f"{shared_folder(spark)}/shares-{uuid.uuid4().hex}"
     grid = Grid(14, 1, 50)
+    delete_at_exit(spark, path)
     run_shares(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_custkey"], grid, 6, 5, path)
     return combined(spark, path, grid, 6).select("points", "collisions", F.round("mean", 6).alias("mean"))
 
@@ -549,6 +550,7 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     place, grid = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", Grid(8, 2, 56)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
     events.repartition(6, "event_id").write.parquet(f"{place}/in")
+    delete_at_exit(spark, place)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
     writer = change_writer(table_draws(stream, ["event_id", "user_id"]), grid, f"{place}/out", 3)
     writer.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
