@@ -544,6 +544,18 @@ def shares_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combined(spark, path, grid, 6).select("points", "collisions", F.round("mean", 6).alias("mean"))
 
 
+@_query("shares_events_spacings", f"""
+WITH c AS ({_classes_sql(_EVENTS, 24)})
+SELECT CAST(spacings AS BIGINT) AS points, collisions, round(CAST(spacings AS DOUBLE) * spacings * spacings / (4 * pow(2, 24)), 6) AS mean FROM c""")
+def shares_events_spacings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spacing classes of the events in two shares, combined."""
+    path = f"{shared_folder(spark)}/shares-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    grid = Grid(12, 2, 52)
+    run_shares(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_id", "user_id"], grid, 4, 2, path, birthday=True)
+    return combined(spark, path, grid, 4, birthday=True).select("points", "collisions", F.round("mean", 6).alias("mean"))
+
+
 @_query("stream_events", _collisions_sql("(SELECT ((event_id & 255) << 8) | (user_id & 255) AS cell FROM events)", "cell >> 13"))
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events dealt into six files and read as a stream of one file a batch; the last change of each pass."""

@@ -148,16 +148,23 @@ def share_units(b: int, shares: int, share: int) -> range:
     return range((share << b) // shares, ((share + 1) << b) // shares)
 
 
-def count_share(df: DataFrame, columns: list[str], grid: Grid, b: int, shares: int, share: int, mixed: bool = False) -> DataFrame:
-    """(share, unit, points, collisions) of every unit of a share, empty units included."""
+def count_share(df: DataFrame, columns: list[str], grid: Grid, b: int, shares: int, share: int, mixed: bool = False, birthday: bool = False) -> DataFrame:
+    """(share, unit, points, collisions) of every unit of a share, empty units included.
+
+    Units are value intervals, or for the birthday-spacings test classes, whose points are their spacings; a share of
+    classes looks at all points, since any two neighbours may belong to it.
+    """
     codec, units = CellCodec(grid.width), share_units(b, shares, share)
-    rows = df
-    if not mixed and len(units):  # the share's range of the first column reaches the scan
+    rows, unit = df, codec.top(b)
+    if not mixed and not birthday and len(units):  # the share's range of the first column reaches the scan
         low = (units.start ^ (units.stop - 1)).bit_length()
         rows = in_pass(df, columns[0], grid, b - low, units.start >> low)
-    unit = codec.top(b)
-    kept = points(table_draws(rows, columns, mixed=mixed), grid).where((unit >= units.start) & (unit < units.stop)).withColumn("rep", F.lit(1))
-    found = pass_counts(kept, codec, b).select(F.col("pass").alias("unit"), "points", "collisions")
+    kept = points(table_draws(rows, columns, mixed=mixed), grid).withColumn("rep", F.lit(1))
+    if birthday:
+        found = class_counts(spacings(kept, codec), codec.width, b).where((F.col("klass") >= units.start) & (F.col("klass") < units.stop))
+        found = found.select(F.col("klass").alias("unit"), F.col("spacings").alias("points"), "collisions")
+    else:
+        found = pass_counts(kept.where((unit >= units.start) & (unit < units.stop)), codec, b).select(F.col("pass").alias("unit"), "points", "collisions")
     every = df.sparkSession.range(units.start, units.stop).select(F.col("id").alias("unit"))
     none = F.lit(0).cast("long")
     return every.join(found, "unit", "left").select(
@@ -180,24 +187,27 @@ def shares_there(spark: SparkSession, path: str, b: int, shares: int) -> set[int
     return {k for k in range(shares) if counts.get(k, 0) == len(share_units(b, shares, k))}
 
 
-def run_shares(df: DataFrame, columns: list[str], grid: Grid, b: int, shares: int, path: str, mixed: bool = False) -> list[int]:
+def run_shares(
+    df: DataFrame, columns: list[str], grid: Grid, b: int, shares: int, path: str, mixed: bool = False, birthday: bool = False
+) -> list[int]:
     """Count the shares that are not there yet, one after the other; what was counted before a driver was lost stays.  Returns them."""
     check_shares(shares, b)
     there = shares_there(df.sparkSession, path, b, shares)
     todo = [k for k in range(shares) if k not in there]
     for k in todo:
-        append_share(count_share(df, columns, grid, b, shares, k, mixed), path)
+        append_share(count_share(df, columns, grid, b, shares, k, mixed, birthday), path)
     return todo
 
 
-def combined(spark: SparkSession, path: str, grid: Grid, b: int) -> DataFrame:
+def combined(spark: SparkSession, path: str, grid: Grid, b: int, birthday: bool = False) -> DataFrame:
     """(points, collisions, mean, p_value, p_eps) of a whole run from its shares; units missing or doubled are an error."""
     kept = spark.read.schema(_SHARE).parquet(path)
     n = kept.agg(F.count("*").alias("rows"), F.countDistinct("unit").alias("units"), F.min("unit").alias("low"), F.max("unit").alias("high")).first()
     if (n["rows"], n["units"]) != (1 << b, 1 << b) or (n["low"], n["high"]) != (0, (1 << b) - 1):
         raise IncompleteRun(f"{n['units']} different units in {n['rows']} rows, not the {1 << b} of this run")
     whole = kept.agg(F.sum("points").alias("points"), F.sum("collisions").alias("collisions"))
-    return with_p(whole.withColumn("mean", expected_collisions_of("points", 2.0**grid.width)))
+    mean = birthday_mean_of if birthday else expected_collisions_of
+    return with_p(whole.withColumn("mean", mean("points", 2.0**grid.width)))
 
 
 def check_shares(shares: int, b: int) -> None:

@@ -310,6 +310,15 @@ def test_shares_resume_and_combine(spark, tmp_path, monkeypatch):
         tables.run_shares(table, ["v"], grid, 2, 5, path)
 
 
+def test_shares_of_spacing_classes(spark, tmp_path):
+    table = spark.range(3000).select((F.col("id") * F.col("id") % 50_021).alias("v"))
+    grid, path = Grid(17, 1, 47), str(tmp_path / "units")
+    assert tables.run_shares(table, ["v"], grid, 3, 3, path, birthday=True) == [0, 1, 2]
+    got = tables.combined(spark, path, grid, 3, birthday=True).first()
+    want = equal_gaps([i * i % 50_021 for i in range(3000)], 2**17)[0]
+    assert (got["points"], got["collisions"]) == want and math.isclose(got["mean"], 3000**3 / 2**19, rel_tol=1e-12)
+
+
 # ----- streams -----
 
 
